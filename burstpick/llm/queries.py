@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstpick.llm import chat_format, quality_rules
+from burstpick.llm import best_fit, chat_format, exact_topk, language_id, quality_rules
 from burstpick.llm.common import read
 
 
@@ -77,5 +77,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op9_quality_rules": op9_quality_rules}
-ORACLES = {"op2_chat_format": OP2_SQL, "op9_quality_rules": OP9_SQL}
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.best_fit(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op4_language_id": op4_language_id,
+    "op8_best_fit": op8_best_fit,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_exact_topk": op10_exact_topk,
+}
+ORACLES = {"op2_chat_format": OP2_SQL, "op9_quality_rules": OP9_SQL, "op10_exact_topk": OP10_SQL}
