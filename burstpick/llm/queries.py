@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstpick.llm import best_fit, chat_format, exact_topk, language_id, quality_rules
+from burstpick.llm import (
+    best_fit,
+    chat_format,
+    exact_topk,
+    language_id,
+    license_scan,
+    piece_codec,
+    quality_rules,
+    token_counts,
+)
 from burstpick.llm.common import read
 
 
@@ -105,11 +114,36 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of every document; ``decoded_sha256`` is of the text that the ids spell."""
+    encoded = piece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = encoded.withColumn("ids_crc32", F.crc32("ids"))
+    keep = ["doc_id", "rank", "score", "n_pieces", "ids_crc32"]
+    return piece_codec.decode(digests, keep).select(*keep, F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
+    "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
+    "op5_piece_codec": op5_piece_codec,
     "op8_best_fit": op8_best_fit,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_topk": op10_exact_topk,
 }
-ORACLES = {"op2_chat_format": OP2_SQL, "op9_quality_rules": OP9_SQL, "op10_exact_topk": OP10_SQL}
+ORACLES = {
+    "op1_license_scan": license_scan.oracle(),
+    "op2_chat_format": OP2_SQL,
+    "op9_quality_rules": OP9_SQL,
+    "op10_exact_topk": OP10_SQL,
+}
