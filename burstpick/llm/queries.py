@@ -11,6 +11,7 @@ from burstpick.llm import (
     exact_topk,
     language_id,
     license_scan,
+    line_dedup,
     piece_codec,
     quality_rules,
     token_counts,
@@ -131,12 +132,44 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.decode(digests, keep).select(*keep, F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents WHERE text IS NOT NULL
+), li AS (
+  SELECT doc_id, i, l[i] AS line, len(regexp_extract_all(l[i], '[^\x20\x09-\x0D]+')) AS w, l FROM d, unnest(range(1, len(l) + 1)) AS u(i)
+), c AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM li
+), win AS (
+  SELECT a.doc_id, 0 AS side, a.i AS lo, min(b.i) AS hi, any_value(a.l) AS l FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 50 AND b.s - a.s + a.w >= 50 GROUP BY a.doc_id, a.i
+  UNION ALL
+  SELECT a.doc_id, 1, max(b.i), a.i, any_value(a.l) FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 50 AND a.i AND a.s - b.s + b.w >= 50 GROUP BY a.doc_id, a.i
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY side, array_to_string(l[lo:hi], chr(10)) ORDER BY doc_id, lo) AS n FROM win
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM k WHERE n > 1
+), g AS (SELECT doc_id, list(i) AS i FROM gone GROUP BY doc_id
+), parts AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS a, l, coalesce(g.i, []) AS gone FROM d LEFT JOIN g USING (doc_id)
+), placed AS (
+  SELECT *, list_filter(range(1, len(a) + 1), lambda j: regexp_matches(a[j], '[^\x20\x09-\x0D]')) AS p FROM parts
+)
+SELECT doc_id, len(l)::BIGINT AS n_lines, len(gone)::BIGINT AS n_deleted,
+  CASE WHEN len(gone) = 0 THEN text WHEN len(gone) = len(l) THEN ''
+    ELSE array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda j: NOT list_contains(list_transform(gone, lambda x: p[x]), j)), lambda j: a[j]), chr(10)) END AS text
+FROM placed UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_piece_codec": op5_piece_codec,
+    "op6_line_dedup": op6_line_dedup,
     "op8_best_fit": op8_best_fit,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_topk": op10_exact_topk,
@@ -144,6 +177,7 @@ QUERIES = {
 ORACLES = {
     "op1_license_scan": license_scan.oracle(),
     "op2_chat_format": OP2_SQL,
+    "op6_line_dedup": OP6_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
 }
