@@ -12,6 +12,7 @@ from burstpick.llm import (
     language_id,
     license_scan,
     line_dedup,
+    ngram_join,
     piece_codec,
     quality_rules,
     token_counts,
@@ -163,6 +164,10 @@ SELECT doc_id, len(l)::BIGINT AS n_lines, len(gone)::BIGINT AS n_deleted,
 FROM placed UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
@@ -170,6 +175,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_piece_codec": op5_piece_codec,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_best_fit": op8_best_fit,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_topk": op10_exact_topk,
