@@ -9,6 +9,7 @@ similarity of 0.8 or more; the document with the smallest doc_id of each group s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from burstpick.llm import best_fit, language_id, line_dedup, ngram_join, quality_rules
 from burstpick.llm.common import read, written
@@ -23,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_repeated(docs)
+    return line_dedup.drop_repeated(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
