@@ -19,12 +19,12 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import written
+from burstpick.llm.common import arrow_rows, written
 from burstpick.llm.word_tokens import word_ids
 
 CAPACITY = 2048
@@ -45,23 +45,21 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY)
     """PIECES of ``docs (doc_id, text)``: ``rank`` counts the pieces of one length in the partition ``part``."""
     tokenizer = tokenizer or default_tokenizer()
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, part = word_ids(tokenizer), TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, part, rows_of = word_ids(tokenizer), TaskContext.get().partitionId(), arrow_rows(PIECES)
+        seen = [0] * (capacity + 1)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 data = memoryview(ids.of_text(text or "") + END_ID.to_bytes(4, "little"))
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at : at + 4 * capacity]
                     n = len(own) // 4
                     rows.append((doc_id, piece, at // 4, n, zlib.crc32(own), part, seen[n]))
                     seen[n] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield out
+            yield rows_of(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(of_partition, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(of_partition, PIECES)
 
 
 def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -99,20 +97,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     places = pieces.sparkSession.sparkContext.broadcast(runs)  # its size is bounded by the capacity
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = places.value
         key = (run[:, 0] << 45) + run[:, 1]
         for batch in batches:
+            length = batch["length"].to_numpy()
             rank = batch["rank"].to_numpy() + batch["first"].to_numpy()
-            at = run[np.searchsorted(key, (batch["length"].to_numpy() << 45) + rank, side="right") - 1]
+            at = run[np.searchsorted(key, (length << 45) + rank, side="right") - 1]
             nth, place = np.divmod(rank - at[:, 1], at[:, 2])
-            out = batch[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield out.assign(sequence_id=at[:, 3] + nth, offset=at[:, 4] + place * at[:, 0])
+            out = batch.drop_columns(["rank", "first"]).append_column("sequence_id", pa.array(at[:, 3] + nth))
+            yield out.append_column("offset", pa.array(at[:, 4] + place * length))
 
     return pieces.join(first, ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "rank", "first"
-    ).mapInPandas(of_partition, PACKED)
+    ).mapInArrow(of_partition, PACKED)
 
 
 def best_fit(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,5 +37,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def boxed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, ``_row``: whatever they are called, they clash with nothing and come back by
+    ``select("_row.*")``."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")
+
+
+def arrow_rows(schema: str) -> Callable[[list[tuple]], pa.RecordBatch]:
+    """A function from rows to a record batch of ``schema`` (a DDL string of long, int, double, string and binary): unlike a
+    data frame it keeps integers beside nulls whole."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+
+    def of_rows(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return of_rows
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

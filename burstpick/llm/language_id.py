@@ -16,10 +16,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from burstpick.llm.common import written
+from burstpick.llm.common import boxed, written
 
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 512
@@ -80,11 +82,12 @@ def learn(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str
     return langs, logs
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """``docs`` with the columns ``keep`` and ``lang_pred, score``."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: Column | str) -> DataFrame:
+    """The columns ``keep`` of ``docs``, untouched, and ``_lang_pred, _score`` of its ``text``."""
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))
-    schema = docs.select(*keep).schema.add("_lang_pred", "string").add("_score", "double")
+    kept = docs.select(*keep)
+    schema = T.StructType([*kept.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
 
     def of_text(text: str | None) -> tuple[str, float]:
         if not langs or not has_letter(text):
@@ -94,13 +97,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
         best = int(total.argmax())
         return langs[best], float(1 / np.exp(total - total[best]).sum())
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [of_text(x) for x in batch["_text"]]
-            out = batch.drop(columns="_text")
-            yield out.assign(_lang_pred=[x for x, _ in found], _score=[x for _, x in found])
+            found = [of_text(x) for x in batch.column("_text").to_pylist()]
+            out = batch.drop_columns(["_text"])
+            out = out.append_column("_lang_pred", pa.array([x for x, _ in found], pa.string()))
+            yield out.append_column("_score", pa.array([x for _, x in found], pa.float64()))
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(of_partition, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(of_partition, schema)
 
 
 def held_out():
@@ -111,11 +115,11 @@ def held_out():
 def language_id(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row of ``docs (doc_id, text, lang)``."""
     model = learn(docs.filter(~held_out()), max_languages)
-    out = predict(docs.select("doc_id", "text"), model, ["doc_id"])
+    out = predict(docs.select("doc_id", "text"), model, "doc_id")
     return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has a language with some certainty; the model is learned from all of them."""
-    out = predict(docs, learn(docs), docs.columns)
-    return out.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= min_score)).select(docs.columns)
+    out = predict(docs, learn(docs), boxed(docs))
+    return out.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= min_score)).select("_row.*")

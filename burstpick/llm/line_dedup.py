@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import WHITE, let, written
+from burstpick.llm.common import WHITE, boxed, let, written
 
 #: A repeated run counts from this many words on.
 MIN_WORDS = 50
@@ -114,29 +114,27 @@ def _pair_ranks(pairs: DataFrame) -> DataFrame:
 
 
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with ``_lines``, ``_deleted`` and the new ``text``."""
+    """``_row, doc_id, n_lines, n_deleted`` and the new ``text``; ``_row`` is the whole row of ``docs``."""
     gone = later_runs(docs, min_words).select(*_KEY, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
-    gone = gone.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set("i").alias("_gone"))
+    gone = gone.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set("i").alias("gone"))
     all_lines = F.split("text", "\n")
     places = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda j: F.translate(F.get(a, j), WHITE, "") != "")
-    without = lambda a, p: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.transform(F.col("_gone"), lambda i: F.get(p, i)))
+    without = lambda a, p: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.transform(F.col("gone"), lambda i: F.get(p, i)))
     kept = let(all_lines, lambda a: let(places(a), lambda p: F.array_join(F.transform(without(a, p), lambda j: F.get(a, j)), "\n")))
     n_lines = F.size(F.filter(all_lines, lambda x: F.translate(x, WHITE, "") != ""))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).when(F.size("_gone") == n_lines, F.lit("")).otherwise(kept)
-    out = _with_key(docs).join(gone, ["_d", "_h"], "left")
-    return out.withColumn("_lines", F.coalesce(n_lines, F.lit(0)).cast("long")).withColumn(
-        "_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    ).withColumn("text", text)
+    text = F.when(F.col("gone").isNull(), F.col("text")).when(F.size("gone") == n_lines, F.lit("")).otherwise(kept)
+    rows = _with_key(docs.select(boxed(docs), "doc_id", "text")).join(gone, ["_d", "_h"], "left")
+    count = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return rows.select("_row", "doc_id", count(n_lines, "n_lines"), count(F.size("gone"), "n_deleted"), text.alias("text"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, n_lines, n_deleted, text`` for each row of ``docs (doc_id, text)``: lines with a word, how many of them
     go, and the text without them."""
-    out = _deduped(docs.select("doc_id", "text"), min_words)
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), "text")
+    return _deduped(docs.select("doc_id", "text"), min_words).drop("_row")
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with shorter texts, without the rows that have lost all of theirs."""
-    out = _deduped(docs, min_words).filter((F.col("_deleted") == 0) | (F.col("_deleted") < F.col("_lines")))
-    return out.select(docs.columns)
+    out = _deduped(docs, min_words).filter((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])

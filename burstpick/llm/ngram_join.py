@@ -30,11 +30,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import written
+from burstpick.llm.common import arrow_rows, written
 from burstpick.llm.components import components
 
 SKETCH_BITS, CHUNK = 22, 1 << 14
@@ -43,6 +44,7 @@ BLOCK_SHINGLES, BLOCK_DOCS = 1 << 18, 512
 #: Words whose hashes a worker remembers.
 CACHE = 500_000
 
+SURVEY = "doc_id long, n long, digest binary, chunk int, counts binary"
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
@@ -113,33 +115,21 @@ def signatures(h: np.ndarray, place: np.ndarray, percent: int, small: int) -> np
 def _survey(docs: DataFrame, k: int) -> DataFrame:
     """Two kinds of rows: ``doc_id, n, digest`` of each document; ``chunk, counts`` of the task's shingle counts."""
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, rows_of = np.zeros(1 << SKETCH_BITS, np.uint32), arrow_rows(SURVEY)
         for batch in batches:
-            sets = [shingles(x, k) for x in batch["text"]]
+            sets = [shingles(x, k) for x in batch["text"].to_pylist()]
             where = np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - SKETCH_BITS)
             at, n = np.unique(where, return_counts=True)
             cells[at.astype(np.int64)] += n.astype(np.uint32)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield _survey_rows(pd.array(batch["doc_id"], dtype="Int64"), [len(s) for s in sets], digest, None, None)
-        used = [c for c in range(0, len(cells), CHUNK) if cells[c : c + CHUNK].any()]
-        for part in range(0, len(used), 32):
-            own = used[part : part + 32]
-            counts = [cells[c : c + CHUNK].tobytes() for c in own]
-            yield _survey_rows(pd.array([None] * len(own), dtype="Int64"), [None] * len(own), None, [c // CHUNK for c in own], counts)
-
-    return docs.select("doc_id", "text").mapInPandas(of_partition, "doc_id long, n long, digest binary, chunk int, counts binary")
-
-
-def _survey_rows(doc_id, n, digest, chunk, counts) -> pd.DataFrame:
-    rows = len(doc_id)
-    return pd.DataFrame(
-        {
-            "doc_id": doc_id, "n": pd.array(n, dtype="Int64"), "digest": digest if digest is not None else [None] * rows,
-            "chunk": pd.array(chunk if chunk is not None else [None] * rows, dtype="Int32"),
-            "counts": counts if counts is not None else [None] * rows,
-        }
-    )
+            yield rows_of([(i, len(s), d, None, None) for i, s, d in zip(batch["doc_id"].to_pylist(), sets, digest, strict=True)])
+        for c in range(0, len(cells), CHUNK):
+            own = cells[c : c + CHUNK]
+            if own.any():
+                yield rows_of([(None, None, None, c // CHUNK, own.tobytes())])
+
+    return docs.select("doc_id", "text").mapInArrow(of_partition, SURVEY)
 
 
 def _cells(survey: DataFrame) -> np.ndarray:

@@ -16,14 +16,17 @@ from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from burstpick.llm.common import arrow_rows
 from burstpick.llm.unigram import Memo, Vocabulary, default_vocabulary, vocabulary
 
 #: Segmentations of a text.
 N_BEST = 3
-CACHE = 120_000
+#: Units that a worker remembers (twice as many at most), and bytes of ids that it gathers before it hands them on.
+CACHE, HELD = 120_000, 32 << 20
 _MEMOS: dict[tuple[str, int], Memo] = {}
 
 ENCODED = "doc_id long, rank int, score double, n_pieces long, ids binary"
@@ -49,41 +52,33 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
     """ENCODED: a row for each of the ``n`` best segmentations (fewer, if there are fewer), ``rank`` from 1."""
     path = path or default_vocabulary()
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(path)
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, rows_of = vocabulary(path), arrow_rows(ENCODED)
         of_unit = lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, n)]
         memo = _MEMOS.setdefault((path, n), Memo(of_unit, CACHE))
         for batch in batches:
             rows, size = [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 for rank, (score, ids) in enumerate(encode_text(text or "", words, memo, n), 1):
                     rows.append((doc_id, rank, score, len(ids) // 4, ids))
                     size += len(ids)
-                if size > 32 << 20:
-                    yield _frame(rows)
+                if size > HELD:
+                    yield rows_of(rows)
                     rows, size = [], 0
-            yield _frame(rows)
-
-    return docs.select("doc_id", "text").mapInPandas(of_partition, ENCODED)
-
+            yield rows_of(rows)
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "rank", "score", "n_pieces", "ids"])
-    out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-    return out
+    return docs.select("doc_id", "text").mapInArrow(of_partition, ENCODED)
 
 
 def decode(encoded: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """The columns ``keep`` of ``encoded`` and the ``text`` that its ``ids`` spell."""
     path = path or default_vocabulary()
-    schema = encoded.select(*keep).schema.add("text", "string")
+    schema = T.StructType([*encoded.select(*keep).schema, T.StructField("text", T.StringType())])
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            texts = [words.decode(np.frombuffer(x, "<u4").tolist()) for x in batch["_ids"]]
-            yield batch.drop(columns="_ids").assign(text=texts)
-
-    return encoded.select(*keep, encoded["ids"].alias("_ids")).mapInPandas(of_partition, schema)
-
+            texts = [words.decode(np.frombuffer(x.as_py(), "<u4").tolist()) for x in batch["_ids"]]
+            yield batch.drop_columns(["_ids"]).append_column("text", pa.array(texts, pa.string()))
 
+    return encoded.select(*keep, encoded["ids"].alias("_ids")).mapInArrow(of_partition, schema)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import WHITE, let, written
+from burstpick.llm.common import WHITE, boxed, let, written
 
 #: Words in a window of ``n_repeat_words``.
 WINDOW = 8
@@ -128,8 +128,6 @@ def keep_good(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     stats = docs.select(F.col("source").alias("host"), document_stats(F.col("text")).alias("s"))
     stats = written(stats.select("host", *[f"s.{c}" for c in STATS]), "quality")
     hosts = host_verdicts(stats, max_rate).filter(~F.col("host_kept")).select(F.col("host").alias("_host"))
-    s = document_stats(F.col("text"))
-    good = docs.withColumn("_s", s).filter(
-        (F.col("_s.n_words") >= MIN_WORDS) & (100 * F.col("_s.n_repeat_words") <= MAX_REPEAT_PCT * F.col("_s.n_words"))
-    )
-    return good.drop("_s").join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left_anti").select(docs.columns)
+    rows = docs.select(boxed(docs), F.col("source").alias("_source"), document_stats(F.col("text")).alias("_s"))
+    good = rows.filter((F.col("_s.n_words") >= MIN_WORDS) & (100 * F.col("_s.n_repeat_words") <= MAX_REPEAT_PCT * F.col("_s.n_words")))
+    return good.join(hosts, F.col("_source").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")

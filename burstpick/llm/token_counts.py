@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from burstpick.llm.common import arrow_rows
 from burstpick.llm.unigram import Memo, default_vocabulary, vocabulary
 
 CACHE = 250_000
+COUNTED = "doc_id long, n_tokens long, score double"
 _MEMOS: dict[str, Memo] = {}
 
 
@@ -21,15 +23,14 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, score`` for each row of ``docs (doc_id, text)``."""
     path = path or default_vocabulary()
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(path)
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, rows_of = vocabulary(path), arrow_rows(COUNTED)
         memo = _MEMOS.setdefault(path, Memo(words.count, CACHE))
         for batch in batches:
-            counts, scores = [], []
-            for text in batch["text"]:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 found = list(map(memo.__getitem__, words.units(text or "")))
-                counts.append(sum(n for n, _ in found))
-                scores.append(float(sum(s for _, s in found)))
-            yield pd.DataFrame({"doc_id": pd.array(batch["doc_id"], dtype="Int64"), "n_tokens": counts, "score": scores})
+                rows.append((doc_id, sum(n for n, _ in found), float(sum(s for _, s in found))))
+            yield rows_of(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(of_partition, "doc_id long, n_tokens long, score double")
+    return docs.select("doc_id", "text").mapInArrow(of_partition, COUNTED)
