@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burstpick.tables import with_row_numbers
 
@@ -65,8 +66,8 @@ def _split(batches: Iterable[pd.DataFrame], keys: list[str], threshold: int) ->
         codes = list(zip(*(batch[k] for k in keys), strict=True))
         n = len(batch)
         starts = [i for i in range(n) if i == 0 or codes[i] != codes[i - 1]] + [n]
-        known = batch["phash"].notna().to_numpy()
-        bits = batch["phash"].fillna(0).to_numpy(np.int64)
+        known = batch["_known"].to_numpy(bool)
+        bits = batch["_bits"].to_numpy(np.int64).view(np.uint64)
         out = np.zeros(n, np.int64)
         for a, b in zip(starts, starts[1:], strict=False):
             at = a
@@ -79,7 +80,7 @@ def _split(batches: Iterable[pd.DataFrame], keys: list[str], threshold: int) ->
                 if end < b:
                     anchor, group = bits[end], group + 1
                 at = end
-        yield batch.assign(subgroup=out)
+        yield batch.drop(columns=["_known", "_bits"]).assign(subgroup=out)
 
 
 def split_by_phash(clusters: DataFrame, threshold: int, by: list[str]) -> DataFrame:
@@ -87,8 +88,9 @@ def split_by_phash(clusters: DataFrame, threshold: int, by: list[str]) -> DataFr
     the first one of the current group starts the next. A missing hash never splits, and a cluster that starts
     with one stays whole. Only ids, times and hashes go through Python, sorted, without groups in memory."""
     keys = [*by, "cluster"]
-    slim = clusters.select(*keys, *ORDER, F.col("phash"))
-    schema = slim.schema.add("subgroup", "long")
+    # A missing hash goes beside the bits: a column with nulls would reach pandas as floats of 53 bits.
+    slim = clusters.select(*keys, *ORDER, F.col("phash").isNotNull().alias("_known"), F.coalesce("phash", F.lit(0).cast("long")).alias("_bits"))
+    schema = T.StructType([*slim.drop("_known", "_bits").schema, T.StructField("subgroup", T.LongType())])
     ordered = slim.repartition(*keys).sortWithinPartitions(*keys, *ORDER)
     return ordered.mapInPandas(lambda it: _split(it, keys, threshold), schema)
 
