@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import arrow_rows, written
+from burstpick.llm.common import arrow_rows, boxed, written
 from burstpick.llm.components import components
 
 SKETCH_BITS, CHUNK = 22, 1 << 14
@@ -266,4 +266,4 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """The rows of ``docs`` whose doc_id is the smallest of its component; rows with a null doc_id stay."""
     found = written(ngram_join(docs, words, percent), "components")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.select(boxed(docs), "doc_id").join(gone, "doc_id", "left_anti").select("_row.*")
