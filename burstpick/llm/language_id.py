@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstpick.llm.common import boxed, written
+from burstpick.llm.common import boxed, discard, written
 
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 512
@@ -74,6 +74,7 @@ def learn(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str
     if n_langs > max_languages:
         raise ValueError(f"{n_langs} languages; max_languages is {max_languages}")
     found = sums.toPandas()  # at most max_languages * (BUCKETS + 1) rows
+    discard(sums)
     langs = sorted(found["lang"].unique())
     counts = np.zeros((len(langs), BUCKETS + 1))
     counts[found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"]

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import WHITE, boxed, let, written
+from burstpick.llm.common import WHITE, boxed, discard, let, written
 
 #: A repeated run counts from this many words on.
 MIN_WORDS = 50
@@ -78,8 +78,9 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``d, h, first, n``: runs of ``n`` lines from line ``first`` on that are later copies."""
     lines = written(line_table(docs, min_words), "lines")
-    known = lines.join(_ranked(lines, ["code"]), "code").drop("code").dropDuplicates([*_KEY, "i"])
-    known = written(known, "known")
+    ranks = _ranked(lines, ["code"])
+    known = written(lines.join(ranks, "code").drop("code").dropDuplicates([*_KEY, "i"]), "known")
+    discard(lines, ranks)
     levels = {1: known.select(*_KEY, "i", "rank")}
     longest = known.agg(F.max(F.greatest("ahead", "behind"))).first()[0] or 0
     k = 1
@@ -87,8 +88,10 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         own = levels[k]
         after = own.select(*_KEY, (F.col("i") - k).alias("i"), F.col("rank").alias("then"))
         pairs = written(own.join(after, [*_KEY, "i"]), "pairs")
-        ranks = _pair_ranks(pairs)
-        levels[2 * k] = written(pairs.join(ranks, ["rank", "then"]).select(*_KEY, "i", F.col("new").alias("rank")), "level")
+        ranks = _ranked(pairs.select(F.col("rank").alias("a"), F.col("then").alias("b")), ["a", "b"])
+        new = ranks.select(F.col("a").alias("rank"), F.col("b").alias("then"), F.col("rank").alias("new"))
+        levels[2 * k] = written(pairs.join(new, ["rank", "then"]).select(*_KEY, "i", F.col("new").alias("rank")), "level")
+        discard(pairs, ranks)
         k *= 2
 
     i = F.col("i")
@@ -103,16 +106,13 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         own = own.join(head, [*_KEY, "first"])
         parts.append(own.withColumn("tail", F.col("head")) if k == 1 else own.join(tail, [*_KEY, "last"]))
     told = written(reduce(DataFrame.unionByName, [p.select(*_KEY, "side", "first", "n", "head", "tail") for p in parts]), "runs")
+    discard(known, *[level for k, level in levels.items() if k > 1])
     group, place = ["side", "n", "head", "tail"], F.struct("d", "h", "first")
     origin = told.groupBy(group).agg(F.min(place).alias("origin"), F.max(place).alias("end")).filter(F.col("origin") < F.col("end"))
+    origin = written(origin.drop("end"), "origins")  # a table: so the join below can split a run that stands very often
     return told.join(origin, group).filter(place > F.col("origin")).select(*_KEY, "first", "n")
 
 
-def _pair_ranks(pairs: DataFrame) -> DataFrame:
-    named = pairs.select(F.col("rank").alias("a"), F.col("then").alias("b"))
-    return _ranked(named, ["a", "b"]).select(F.col("a").alias("rank"), F.col("b").alias("then"), F.col("rank").alias("new"))
-
-
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
     """``_row, doc_id, n_lines, n_deleted`` and the new ``text``; ``_row`` is the whole row of ``docs``."""
     gone = later_runs(docs, min_words).select(*_KEY, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
