@@ -3,13 +3,13 @@
 A set links with another when ``100 * intersection >= percent * union``. The join is size-aware:
 
 1. Sets are 64-bit shingle hashes. Equal sets (told by a 128-bit digest) become one class; its smallest doc_id stands
-   for it. The same pass counts shingles in a table of ``2 ** SKETCH_BITS`` cells, which gives every shingle a place
-   in one order, rare ones first. (The order only steers the cost; any order is right.)
+   for it. All sets are read in one order: shingles whose hash is 0 modulo ``LEVELS`` come first, the rarest of them
+   first; then the others by hash. Only the first ones (a quarter) need counting, over all documents.
 2. A set of n shares at least ``ceil(percent * n / 100)`` shingles with any it links with. So of its first
-   ``n - that + 1`` shingles it shares one, and of one more than those it shares two. Large sets give each of the former
-   as an inverted-list entry; small sets give every pair of the latter, and single ones too if a large set can be
-   near enough in size. The boundary between small and large is where the pairs of a set begin to outnumber its
-   entries times the mean length of the lists that they scan.
+   ``n - that + 1`` shingles it shares one, and of one more than those it shares two. Shingles of one document fill the
+   first places and drop out. Large sets give each of the rest as an inverted-list entry; small sets give every pair
+   of the rest, and single ones too if a large set can be near enough in size. The boundary between small and
+   large is where the pairs of a set begin to outnumber its entries times the mean length of the lists that they scan.
 3. Documents that share a signature are linked to the smallest one of them; the components of these links hold all
    true links, since each true link shares a signature.
 4. The whole sets of each such component meet in blocks of bounded size: all pairs of blocks, each pair one task's
@@ -32,19 +32,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import arrow_rows, boxed, written
+from burstpick.llm.common import boxed, discard, let, written
 from burstpick.llm.components import components
 
-SKETCH_BITS, CHUNK = 22, 1 << 14
+#: One shingle in so many stands in the first part of the order.
+LEVELS = 4
+#: Bits of the filters that keep out of shuffles what surely has no partner (some passes; a join follows): for shingles, for
+#: documents.
+SHINGLE_BITS, DOC_BITS = 25, 23
 #: A block's shingles and documents: about these many.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 18, 512
 #: Words whose hashes a worker remembers.
 CACHE = 500_000
 
-SURVEY = "doc_id long, n long, digest binary, chunk int, counts binary"
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
@@ -95,67 +98,73 @@ def boundary(mean_list: float, percent: int, most: int = 256) -> int:
     return out
 
 
-def signatures(h: np.ndarray, place: np.ndarray, percent: int, small: int) -> np.ndarray:
-    """Of a set's shingles ``h`` with their places in the order, the signatures."""
+def leading(h: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Of a set's shingles, those that its first ``n - least + 2`` are among, and how many of them are of the first part."""
     n = len(h)
-    p = n - int(least_shared(n, percent)) + 1
-    if p < 1:
-        return np.zeros(0, np.uint64)
-    near = h[np.lexsort((h, place))[: p + 1]]
-    single, out = near[:p], []
-    if n > small or 100 * n >= percent * small:
-        out.append(_mixed(single + np.uint64(_MIX[2])))
-    if n <= small:
-        a, b = np.triu_indices(len(near), 1)
-        low, high = np.minimum(near[a], near[b]), np.maximum(near[a], near[b])
-        out.append(_mixed(_mixed(low * np.uint64(_MIX[1])) + high))
-    return np.concatenate(out)
-
-
-def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """Two kinds of rows: ``doc_id, n, digest`` of each document; ``chunk, counts`` of the task's shingle counts."""
+    need = n - int(least_shared(n, percent)) + 2
+    if need < 2:
+        return h[:0], 0
+    level = h % np.uint64(LEVELS)
+    first = h[level == 0]
+    if len(first) < need:
+        rest = h[level != 0]
+        order = np.lexsort((rest, rest % np.uint64(LEVELS)))
+        return np.concatenate([first, rest[order[: need - len(first)]]]), len(first)
+    return first, len(first)
+
+
+def _survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``doc_id, n, digest, lead, n_first`` of each document: its set's size and digest, and ``leading``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("lead", pa.list_(pa.int64())), ("n_first", pa.int64())])
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, rows_of = np.zeros(1 << SKETCH_BITS, np.uint32), arrow_rows(SURVEY)
         for batch in batches:
             sets = [shingles(x, k) for x in batch["text"].to_pylist()]
-            where = np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - SKETCH_BITS)
-            at, n = np.unique(where, return_counts=True)
-            cells[at.astype(np.int64)] += n.astype(np.uint32)
+            lead = [leading(s, percent) for s in sets]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield rows_of([(i, len(s), d, None, None) for i, s, d in zip(batch["doc_id"].to_pylist(), sets, digest, strict=True)])
-        for c in range(0, len(cells), CHUNK):
-            own = cells[c : c + CHUNK]
-            if own.any():
-                yield rows_of([(None, None, None, c // CHUNK, own.tobytes())])
-
-    return docs.select("doc_id", "text").mapInArrow(of_partition, SURVEY)
+            ends = pa.array(np.cumsum([0, *(len(x) for x, _ in lead)]), pa.int32())
+            flat = pa.array(np.concatenate([*(x for x, _ in lead), np.zeros(0, np.uint64)]).view(np.int64))
+            columns = [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array([n for _, n in lead], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(of_partition, "doc_id long, n long, digest binary, lead array<long>, n_first long")
+
+
+def _prefix(shared: Column, n: Column, n_first: Column, percent: int) -> Column:
+    """Of a set's leading shingles that other documents hold too (``shared``: structs ``rest, df, shingle``), those among its
+    first ``n - least + 2``: the first part's rarest, as far as its shingles that no other holds leave places, and all
+    of the rest."""
+    apart = -(-percent // (100 - percent))
+    need = n - F.greatest(F.ceil(n * percent / 100), F.lit(apart)) + 2
+    of_sorted = lambda s: let(
+        F.size(F.filter(s, lambda x: x["rest"] == 0)),
+        lambda held: F.concat(
+            F.slice(s, F.lit(1), F.greatest(F.lit(0), F.least(need, n_first) - (n_first - held)).cast("int")),
+            F.filter(s, lambda x: x["rest"] == 1),
+        ),
+    )
+    return F.transform(let(F.sort_array(shared), of_sorted), lambda x: x["shingle"])
 
 
-def _cells(survey: DataFrame) -> np.ndarray:
-    """The summed table, on the driver: ``2 ** SKETCH_BITS`` cells of one byte, the logarithm of the count in quarters."""
+def _signatures(prefix: Column, n: Column, percent: int, small: int) -> Column:
+    """Singles of large sets and of those near their size, pairs of small ones."""
+    singles = F.transform(prefix, lambda x: F.xxhash64(x))
+    pairs = F.flatten(F.transform(F.sort_array(prefix), lambda x, i: F.transform(F.slice(F.sort_array(prefix), i + 2, F.size(prefix)), lambda y: F.xxhash64(x, y))))
+    none = F.filter(singles, lambda x: F.lit(False))
+    return F.concat(F.when(100 * n >= percent * small, singles).otherwise(none), F.when(n <= small, pairs).otherwise(none))
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CHUNK, np.uint64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, np.uint32)
-        level = np.minimum(255, np.round(4 * np.log2(total.astype(float) + 1))).astype(np.uint8)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "level": [level.tobytes()]})
 
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    sums = survey.filter(F.col("chunk").isNotNull()).select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, level binary")
-    for row in sums.collect():  # at most 2 ** SKETCH_BITS bytes in all
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["level"], np.uint8)
+def _filter_bits(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` bits, those of ``slots (slot)`` set; built by Spark, 4 KB a row."""
+    one = F.col("slot") + 1  # Spark counts bits from 1 on, 32,768 to a row
+    own = slots.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in own.collect():
+        at = (row["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def _mean_list(cells: np.ndarray) -> float:
-    """How many entries an inverted list holds besides those that chance puts into a cell, in the mean."""
-    count = 2.0 ** (cells / 4) - 1
-    usual = np.median(count[count > 0]) if (count > 0).any() else 0.0
-    return float(np.maximum(0, count - 2 * usual).sum() / max(1.0, count.sum()) * 8)
-
-
 def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     out = []
     for _, part in pdf.groupby(["cluster", "low", "high"], sort=False):
@@ -206,31 +215,41 @@ def _linked(sets: list[np.ndarray], docs: np.ndarray, percent: int) -> np.ndarra
 
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs (doc_id, text)``."""
-    survey = written(_survey(docs, words), "survey")
-    own = survey.filter(F.col("chunk").isNull()).select("doc_id", "n", "digest")
-    classes = written(
-        own.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")),
-        "classes",
-    )
-    cells = _cells(survey)
-    small = boundary(_mean_list(cells), percent)
-    order = docs.sparkSession.sparkContext.broadcast(cells)  # its size is fixed
-
-    def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = order.value
+    survey = written(_survey(docs, words, percent), "survey")
+    own = survey.select("doc_id", "n", "digest")
+    known_rows = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    classes = written(own.filter(known_rows).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes")
+
+    held = survey.filter(known_rows).select(F.explode("lead").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    held = written(held.filter(F.col("df") > 1), "held")
+    entries, squares = held.agg(F.sum("df"), F.sum(F.col("df") * F.col("df"))).first()
+    small = boundary((squares or 0) / (entries or 1), percent)
+    shingle_slot = F.shiftrightunsigned("shingle", 64 - SHINGLE_BITS)
+    maybe = docs.sparkSession.sparkContext.broadcast(_filter_bits(held.select(shingle_slot.alias("slot")), SHINGLE_BITS))  # its size is fixed
+
+    def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x, words) for x in batch["text"]]
-            found = [signatures(s, place[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], percent, small).view(np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "signature": found})
+            lead = batch["lead"]
+            flat = lead.flatten().to_numpy()
+            at = flat.view(np.uint64) >> np.uint64(64 - SHINGLE_BITS)
+            passes = maybe.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+            row = np.repeat(np.arange(len(batch)), lead.value_lengths().to_numpy())[passes]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row)), pa.array(flat[passes])], names=["doc_id", "shingle"])
 
-    known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    signed = known.mapInPandas(sign, "doc_id long, signature array<long>").filter(F.size("signature") > 0)
     stands = classes.select(F.col("first").alias("doc_id")).distinct()
-    signed = written(signed.join(stands, "doc_id", "left_semi"), "signatures")
+    leads = survey.filter(known_rows).select("doc_id", "lead").mapInArrow(thin, "doc_id long, shingle long")
+    leads = leads.join(held, "shingle").join(stands, "doc_id", "left_semi")
+    rest = F.when(F.pmod(F.col("shingle"), F.lit(LEVELS)) == 0, 0).otherwise(1).alias("rest")  # LEVELS divides 2 ** 64
+    leads = leads.groupBy("doc_id").agg(F.collect_set(F.struct(rest, "df", "shingle")).alias("shared"))
+    sized = survey.filter(known_rows).groupBy("doc_id").agg(F.max(F.struct("n", "n_first")).alias("s"))
+    signed = leads.join(sized, "doc_id").select("doc_id", "s.n", _prefix(F.col("shared"), F.col("s.n"), F.col("s.n_first"), percent).alias("prefix"))
+    signed = written(signed.select("doc_id", _signatures(F.col("prefix"), F.col("n"), percent, small).alias("signature")), "signatures")
     entries = signed.select("doc_id", F.explode("signature").alias("signature"))
     shared = entries.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(F.col("low") < F.col("high"))
+    shared = written(shared, "shared")
     near = entries.join(shared, "signature").filter(F.col("doc_id") != F.col("low")).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     clusters = components(near)
+    discard(signed, shared, held)
 
     sizes = clusters.join(classes.select(F.col("first").alias("node"), "n").dropDuplicates(["node"]), "node")
     sizes = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
@@ -239,11 +258,17 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     groups = max(1, int((sizes.agg(F.sum("total")).first()[0] or 0) // BLOCK_SHINGLES))
     members = written(clusters.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "blocks"), "members")
 
+    known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS))
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(members.select(slot.alias("slot")), DOC_BITS))  # its size is fixed
+
     def take(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(shingles=[shingles(x, words).tobytes() for x in batch["text"]])
+            at = batch["slot"].to_numpy()
+            own = batch[wanted.value[at >> 3] >> (at & 7) & 1 == 1]
+            yield pd.DataFrame({"doc_id": own["doc_id"], "shingles": [shingles(x, words).tobytes() for x in own["text"]]})
 
-    sets = known.join(members, "doc_id").mapInPandas(take, "doc_id long, cluster long, blocks int, shingles binary")
+    sets = known.select("doc_id", "text", slot.alias("slot")).mapInPandas(take, "doc_id long, shingles binary").join(members, "doc_id")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = sets.withColumn("block", block).withColumn("other", pair)
@@ -252,6 +277,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     met = met.withColumn("group", group).drop("blocks")
     links = met.groupBy("group").applyInPandas(lambda pdf: _block_links(pdf, percent), "a long, b long")
     found = components(links)
+    discard(clusters, sizes, members)
 
     roots = found.select(F.col("node").alias("first"), "root")
     rooted = classes.join(roots, "first", "left").select("digest", F.coalesce("root", "first").alias("root"))

@@ -73,21 +73,26 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert got == brute.near_groups(docs, 4, 85)
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_signatures_meet(percent):
-    """Any two sets that link share a signature, whatever the boundary between small and large."""
-    rng = np.random.default_rng(percent)
-    for _ in range(400):
-        n = int(rng.integers(6, 120))
-        a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
-        cut = rng.integers(0, len(a) // 6 + 1)
-        b = np.unique(np.r_[a[cut:], rng.integers(0, 1 << 60, rng.integers(0, 6)).astype(np.uint64)])
-        both = len(np.intersect1d(a, b))
-        if 100 * both < percent * (len(a) + len(b) - both) or len(a) == len(b) == both:
+def test_leading_shingles():
+    """They hold the first places of the order; the first part alone where it is enough."""
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 6, 7, 30, 400):
+        h = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        lead, first = ngram_join.leading(h, 85)
+        need = n - int(ngram_join.least_shared(n, 85)) + 2
+        if need < 2:
+            assert len(lead) == 0
             continue
-        for small in (0, 20, len(a), len(b), 200):
-            mine, other = (ngram_join.signatures(x, (x % np.uint64(7)).astype(int), percent, small) for x in (a, b))
-            assert len(np.intersect1d(mine, other)), (len(a), len(b), small)
+        assert first == (h % 4 == 0).sum() and len(lead) == max(first, min(n, need)) and (lead[:first] % 4 == 0).all()
+
+
+@pytest.mark.parametrize("small", [0, 10, 40, 500])
+def test_any_boundary(spark, monkeypatch, small):
+    """Small sets, large sets, and links between the two: the boundary changes the cost alone."""
+    monkeypatch.setattr(ngram_join, "boundary", lambda *_: small)
+    docs = copies(21, 96)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute.near_groups(docs, 4, 85)
 
 
 def test_overlaps():
