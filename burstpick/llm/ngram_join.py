@@ -234,15 +234,16 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             at = flat.view(np.uint64) >> np.uint64(64 - SHINGLE_BITS)
             passes = maybe.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
             row = np.repeat(np.arange(len(batch)), lead.value_lengths().to_numpy())[passes]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row)), pa.array(flat[passes])], names=["doc_id", "shingle"])
+            keys = [batch[c].take(pa.array(row)) for c in ("doc_id", "digest")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(flat[passes])], names=["doc_id", "digest", "shingle"])
 
-    stands = classes.select(F.col("first").alias("doc_id")).distinct()
-    leads = survey.filter(known_rows).select("doc_id", "lead").mapInArrow(thin, "doc_id long, shingle long")
-    leads = leads.join(held, "shingle").join(stands, "doc_id", "left_semi")
+    stands, key = classes.select(F.col("first").alias("doc_id"), "digest"), ["doc_id", "digest"]
+    leads = survey.filter(known_rows).select(*key, "lead").mapInArrow(thin, "doc_id long, digest binary, shingle long")
+    leads = leads.join(stands, key, "left_semi").join(held, "shingle")
     rest = F.when(F.pmod(F.col("shingle"), F.lit(LEVELS)) == 0, 0).otherwise(1).alias("rest")  # LEVELS divides 2 ** 64
-    leads = leads.groupBy("doc_id").agg(F.collect_set(F.struct(rest, "df", "shingle")).alias("shared"))
-    sized = survey.filter(known_rows).groupBy("doc_id").agg(F.max(F.struct("n", "n_first")).alias("s"))
-    signed = leads.join(sized, "doc_id").select("doc_id", "s.n", _prefix(F.col("shared"), F.col("s.n"), F.col("s.n_first"), percent).alias("prefix"))
+    leads = leads.groupBy(key).agg(F.collect_set(F.struct(rest, "df", "shingle")).alias("shared"))
+    sized = survey.filter(known_rows).join(stands, key, "left_semi").select(*key, "n", "n_first").dropDuplicates(key)
+    signed = leads.join(sized, key).select("doc_id", "n", _prefix(F.col("shared"), F.col("n"), F.col("n_first"), percent).alias("prefix"))
     signed = written(signed.select("doc_id", _signatures(F.col("prefix"), F.col("n"), percent, small).alias("signature")), "signatures")
     entries = signed.select("doc_id", F.explode("signature").alias("signature"))
     shared = entries.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(F.col("low") < F.col("high"))

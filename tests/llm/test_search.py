@@ -115,6 +115,14 @@ def test_join_edges(spark, edges):
     assert kept.columns == edges.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, 7, None, 2**60 + 1]))
 
 
+def test_rows_of_one_id(spark):
+    """Two texts under one doc_id are one node: what either links with is joined."""
+    base = [[f"{c}{i}" for i in range(40)] for c in "ab"]
+    rows = [(1, " ".join(base[0])), (2, " ".join([*base[0], "x"])), (2, " ".join([*base[1], "y"])), (3, " ".join(base[1])), (4, "alone " * 9)]
+    got = [tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).select("doc_id", "component_id").collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(100, 260)] + [(rng.randint(300, 420), rng.randint(300, 420)) for _ in range(60)] + [(500, 500 + i) for i in range(1, 60)]
