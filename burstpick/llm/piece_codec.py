@@ -11,7 +11,9 @@ count each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import product
 
@@ -26,9 +28,10 @@ from burstpick.llm.unigram import Memo, Vocabulary, default_vocabulary, vocabula
 #: Segmentations of a text.
 N_BEST = 3
 #: Units that a worker remembers (twice as many at most), and bytes of ids that it gathers before it hands them on.
-CACHE, HELD = 120_000, 32 << 20
+CACHE, HELD = 120_000, 8 << 20
 _MEMOS: dict[tuple[str, int], Memo] = {}
 
+DIGESTS = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, decoded_sha256 string"
 ENCODED = "doc_id long, rank int, score double, n_pieces long, ids binary"
 
 
@@ -53,15 +56,12 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
     path = path or default_vocabulary()
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows_of = vocabulary(path), arrow_rows(ENCODED)
-        of_unit = lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, n)]
-        memo = _MEMOS.setdefault((path, n), Memo(of_unit, CACHE))
+        rows_of = arrow_rows(ENCODED)
         for batch in batches:
             rows, size = [], 0
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for rank, (score, ids) in enumerate(encode_text(text or "", words, memo, n), 1):
-                    rows.append((doc_id, rank, score, len(ids) // 4, ids))
-                    size += len(ids)
+            for doc_id, rank, score, ids in _encoded(batch, path, n):
+                rows.append((doc_id, rank, score, len(ids) // 4, ids))
+                size += len(ids)
                 if size > HELD:
                     yield rows_of(rows)
                     rows, size = [], 0
@@ -70,6 +70,32 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(of_partition, ENCODED)
 
 
+def _encoded(batch: pa.RecordBatch, path: str, n: int) -> Iterator[tuple[int | None, int, float, bytes]]:
+    words = vocabulary(path)
+    of_unit = lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, n)]
+    memo = _MEMOS.setdefault((path, n), Memo(of_unit, CACHE))
+    for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for rank, (score, ids) in enumerate(encode_text(text.as_py() or "", words, memo, n), 1):
+            yield doc_id.as_py(), rank, score, ids
+
+
+def digests(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
+    """DIGESTS: ``encode`` and ``decode`` in one pass that hands on neither ids nor texts; ``decoded_sha256`` is of the text
+    that the ids spell."""
+    path = path or default_vocabulary()
+
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, rows_of = vocabulary(path), arrow_rows(DIGESTS)
+        for batch in batches:
+            rows = []
+            for doc_id, rank, score, ids in _encoded(batch, path, n):
+                text = words.decode(np.frombuffer(ids, "<u4").tolist())
+                rows.append((doc_id, rank, score, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text.encode()).hexdigest()))
+            yield rows_of(rows)
+
+    return docs.select("doc_id", "text").mapInArrow(of_partition, DIGESTS)
+
+
 def decode(encoded: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """The columns ``keep`` of ``encoded`` and the ``text`` that its ``ids`` spell."""
     path = path or default_vocabulary()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from burstpick.llm import (
     best_fit,
@@ -127,10 +126,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best segmentations of every document; ``decoded_sha256`` is of the text that the ids spell."""
-    encoded = piece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    digests = encoded.withColumn("ids_crc32", F.crc32("ids"))
-    keep = ["doc_id", "rank", "score", "n_pieces", "ids_crc32"]
-    return piece_codec.decode(digests, keep).select(*keep, F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return piece_codec.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

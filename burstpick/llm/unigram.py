@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from functools import cached_property
 
 MARK = "▁"
 #: Stands in units for a MARK of the text itself, which is no blank: it is unknown there.
@@ -45,7 +46,6 @@ class Memo(dict):
 
 class Vocabulary:
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,16 +53,23 @@ class Vocabulary:
         kept = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.unknown = min(model.get_score(i) for i in kept) - UNKNOWN_COST
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in kept if model.is_byte(i)}
+        #: Piece -> its id and score.
         self.pieces = {model.id_to_piece(i): (i, float(model.get_score(i))) for i in kept if not model.is_byte(i)}
         #: Bytes that an id stands for.
         self.spelled = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
-        self.automaton = ahocorasick.Automaton()
-        for piece, (i, score) in self.pieces.items():
-            self.automaton.add_word(piece, (len(piece), score, i))
-        self.automaton.make_automaton()
         feed = any("\n" in p for p in self.pieces)
         self.cut = re.compile(r" [^ ]*" if feed else r"\n| ?[^ \n]+| ")
 
+    @cached_property
+    def automaton(self):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for piece, (i, score) in self.pieces.items():
+            found.add_word(piece, (len(piece), score, i))
+        found.make_automaton()
+        return found
+
     def units(self, text: str) -> list[str]:
         return self.cut.findall(" " + text) if text else []
 

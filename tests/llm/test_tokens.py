@@ -1,6 +1,8 @@
 """Token counts, the codec, packing."""
 
+import hashlib
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -106,6 +108,9 @@ def test_codec_edges(spark, edges):
     got = sorted(((str(r["doc_id"]), r["text"]) for r in back.collect() if r["rank"] == 1), key=repr)
     assert got == sorted(((str(r["doc_id"]), r["text"] or "") for r in edges.collect()), key=repr)
     assert piece_codec.encode(edges.limit(0)).count() == 0
+    own = {(str(r["doc_id"]), r["rank"], r["n_pieces"], r["ids_crc32"], r["decoded_sha256"]) for r in piece_codec.digests(edges, n=2).collect()}
+    text = {str(r["doc_id"]): hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in edges.collect()}
+    assert own == {(str(r["doc_id"]), r["rank"], r["n_pieces"], zlib.crc32(r["ids"]), text[str(r["doc_id"])]) for r in encoded.collect()}
 
 
 def test_memo():
