@@ -1,7 +1,7 @@
 """SentencePiece encoding with N best segmentations, and decoding.
 
-The N best paths of a unit come from A-star over its piece lattice (``unigram``); those of a text are the best
-combinations of its units' paths. Only the ``N - 1`` units whose second path costs least (the earlier one where two cost
+The N best paths of a part of a unit come from A-star over its piece lattice (``unigram``); those of a unit, and of a
+text, are the best combinations of its parts' and units' paths. Only the ``N - 1`` units whose second path costs least (the earlier one where two cost
 the same) can leave their best path in an N best path of the text, so only their combinations are compared. Equal
 costs: the paths are compared unit by unit from the last one, by the rank of the unit's path.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import product
 
@@ -35,9 +36,8 @@ DIGESTS = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, d
 ENCODED = "doc_id long, rank int, score double, n_pieces long, ids binary"
 
 
-def encode_text(text: str, words: Vocabulary, memo: Memo, n: int) -> list[tuple[float, bytes]]:
-    """Score and ids (little-endian unsigned 32-bit) of the ``n`` best segmentations, best first."""
-    paths = list(map(memo.__getitem__, words.units(text)))
+def combined(paths: list[list[tuple[float, bytes]]], n: int) -> list[tuple[float, bytes]]:
+    """The ``n`` best ways to take one path of each list, as score and ids."""
     total = float(sum(p[0][0] for p in paths))
     best = [p[0][1] for p in paths]
     free = heapq.nsmallest(n - 1, ((p[0][0] - p[1][0], at) for at, p in enumerate(paths) if len(p) > 1)) if n > 1 else []
@@ -51,6 +51,22 @@ def encode_text(text: str, words: Vocabulary, memo: Memo, n: int) -> list[tuple[
     return out
 
 
+def path_memo(words: Vocabulary, n: int) -> Memo:
+    """Unit -> score and ids (little-endian unsigned 32-bit) of its ``n`` best paths. A unit's come from those of its parts."""
+    parts = Memo(lambda p: [(s, array("I", i).tobytes()) for s, i in words.n_best(p, n)], CACHE)
+
+    def of_unit(unit: str) -> list[tuple[float, bytes]]:
+        own = words.parts(unit)
+        return parts[unit] if len(own) == 1 else combined(list(map(parts.__getitem__, own)), n)
+
+    return Memo(of_unit, CACHE)
+
+
+def encode_text(text: str, words: Vocabulary, memo: Memo, n: int) -> list[tuple[float, bytes]]:
+    """Score and ids of the ``n`` best segmentations, best first."""
+    return combined(list(map(memo.__getitem__, words.units(text))), n)
+
+
 def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
     """ENCODED: a row for each of the ``n`` best segmentations (fewer, if there are fewer), ``rank`` from 1."""
     path = path or default_vocabulary()
@@ -72,8 +88,9 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
 
 def _encoded(batch: pa.RecordBatch, path: str, n: int) -> Iterator[tuple[int | None, int, float, bytes]]:
     words = vocabulary(path)
-    of_unit = lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, n)]
-    memo = _MEMOS.setdefault((path, n), Memo(of_unit, CACHE))
+    if (path, n) not in _MEMOS:
+        _MEMOS[path, n] = path_memo(words, n)
+    memo = _MEMOS[path, n]
     for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
         for rank, (score, ids) in enumerate(encode_text(text.as_py() or "", words, memo, n), 1):
             yield doc_id.as_py(), rank, score, ids

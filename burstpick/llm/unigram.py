@@ -70,6 +70,20 @@ class Vocabulary:
         found.make_automaton()
         return found
 
+    @cached_property
+    def pairs(self) -> set[str]:
+        """Neighbouring characters within pieces."""
+        return {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+
+    def parts(self, unit: str) -> list[str]:
+        """The unit cut between characters that no piece holds side by side: no path crosses there."""
+        spelled, out, at = unit.replace(MARK, LITERAL).replace(" ", MARK), [], 0
+        for i in range(1, len(spelled)):
+            if spelled[i - 1 : i + 1] not in self.pairs:
+                out.append(unit[at:i])
+                at = i
+        return [*out, unit[at:]]
+
     def units(self, text: str) -> list[str]:
         return self.cut.findall(" " + text) if text else []
 
@@ -137,6 +151,7 @@ class Vocabulary:
         """
         unit, best, back, ends = self.lattice(unit)
         heap, out = [(-best[-1], ((1,),), len(unit), 0.0, ())], []
+        least = [best[-1]]  # the n smallest costs so far, negated, the largest of them first
         while heap and len(out) < n:
             cost, key, place, tail, left = heapq.heappop(heap)
             out.append((-cost, self.ids(unit, self._spans(len(unit), back, dict(left)))))
@@ -147,8 +162,12 @@ class Vocabulary:
                     if start == back[place] and own is None:
                         own = score
                         continue
+                    cost = -(gone + score + best[start])
+                    if len(least) == n and cost > -least[0]:  # n paths cost less
+                        continue
+                    (heapq.heappush if len(least) < n else heapq.heappushpop)(least, -cost)
                     side = (0, -place, start) if start < back[place] else (2, place, start)
-                    heapq.heappush(heap, (-(gone + score + best[start]), (*key[:-1], side, (1,)), start, gone + score, (*left, (place, start))))
+                    heapq.heappush(heap, (cost, (*key[:-1], side, (1,)), start, gone + score, (*left, (place, start))))
                 gone, place = gone + own, back[place]
         return out
 

@@ -44,7 +44,7 @@ def ids(data):
 def test_best_path_is_the_tokenizer_s(words, reference, duck):
     texts = random_texts(800) + [r[0] for r in duck.sql("SELECT text FROM documents WHERE text IS NOT NULL LIMIT 60").fetchall()]
     memo = unigram.Memo(words.count, 50)
-    paths = unigram.Memo(lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, 1)], 50)
+    paths = piece_codec.path_memo(words, 1)
     for text in texts:
         want = reference(text)
         assert sum(memo[u][0] for u in words.units(text)) == len(want)
@@ -81,10 +81,10 @@ def test_n_best_of_a_unit(words):
 
 
 def test_n_best_of_a_text(words):
-    memo = unigram.Memo(lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, 4)], 500)
+    memo = piece_codec.path_memo(words, 4)
     rng = random.Random(5)
     for _ in range(60):
-        text = " ".join("".join(rng.choices("anthe", k=rng.randint(1, 3))) for _ in range(rng.randint(1, 4)))
+        text = " ".join("".join(rng.choices("anthe.,", k=rng.randint(1, 3))) for _ in range(rng.randint(1, 4)))
         scores = [0.0]
         for unit in words.units(text):
             scores = [a - s for a in scores for s, _, _ in all_paths(words, unit)]
