@@ -1,7 +1,7 @@
 """SentencePiece encoding with N best segmentations, and decoding.
 
-The N best paths of a part of a unit come from A-star over its piece lattice (``unigram``); those of a unit, and of a
-text, are the best combinations of its parts' and units' paths. Only the ``N - 1`` units whose second path costs least (the earlier one where two cost
+The N best paths of a unit come from A-star over its piece lattice (``unigram``); those of a text are the best
+combinations of its units' paths. Only the ``N - 1`` units whose second path costs least (the earlier one where two cost
 the same) can leave their best path in an N best path of the text, so only their combinations are compared. Equal
 costs: the paths are compared unit by unit from the last one, by the rank of the unit's path.
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import product
 
@@ -52,14 +51,8 @@ def combined(paths: list[list[tuple[float, bytes]]], n: int) -> list[tuple[float
 
 
 def path_memo(words: Vocabulary, n: int) -> Memo:
-    """Unit -> score and ids (little-endian unsigned 32-bit) of its ``n`` best paths. A unit's come from those of its parts."""
-    parts = Memo(lambda p: [(s, array("I", i).tobytes()) for s, i in words.n_best(p, n)], CACHE)
-
-    def of_unit(unit: str) -> list[tuple[float, bytes]]:
-        own = words.parts(unit)
-        return parts[unit] if len(own) == 1 else combined(list(map(parts.__getitem__, own)), n)
-
-    return Memo(of_unit, CACHE)
+    """Unit -> score and ids (little-endian unsigned 32-bit) of its ``n`` best paths."""
+    return Memo(lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, n)], CACHE)
 
 
 def encode_text(text: str, words: Vocabulary, memo: Memo, n: int) -> list[tuple[float, bytes]]:

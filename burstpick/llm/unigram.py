@@ -70,20 +70,6 @@ class Vocabulary:
         found.make_automaton()
         return found
 
-    @cached_property
-    def pairs(self) -> set[str]:
-        """Neighbouring characters within pieces."""
-        return {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-
-    def parts(self, unit: str) -> list[str]:
-        """The unit cut between characters that no piece holds side by side: no path crosses there."""
-        spelled, out, at = unit.replace(MARK, LITERAL).replace(" ", MARK), [], 0
-        for i in range(1, len(spelled)):
-            if spelled[i - 1 : i + 1] not in self.pairs:
-                out.append(unit[at:i])
-                at = i
-        return [*out, unit[at:]]
-
     def units(self, text: str) -> list[str]:
         return self.cut.findall(" " + text) if text else []
 
