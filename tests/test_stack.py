@@ -28,7 +28,7 @@ def loop(rows, gap, bits):
         if last is None or ts - last > gap * 1000:
             out.append([i])
             anchor = h
-        elif anchor is not None and h is not None and bin(anchor ^ h).count("1") > bits:
+        elif anchor is not None and h is not None and bin((anchor ^ h) & (2**64 - 1)).count("1") > bits:
             out.append([i])
             anchor = h
         else:
