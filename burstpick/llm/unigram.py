@@ -1,17 +1,19 @@
 """A unigram lattice over the pieces of a SentencePiece vocabulary file, read as a unigram vocabulary with the scores
 that the file holds.
 
-A text is its units: a blank starts a unit (the text counts as having one before it), and where no piece holds a line
-feed, each line feed is a unit of its own. Pieces never cross units, so the best path of a text is the best paths of
-its units, and a worker remembers those of the units that it has met. An Aho-Corasick automaton finds every piece
-in a unit. A character that is no piece is unknown: it costs ``lowest score - 10`` and stands for its UTF-8 bytes.
-Ties follow the tokenizer's rule: of paths with one score to a place, the one whose last piece is longer wins.
+A text is its units (it counts as having a blank before it): where no piece holds a blank behind another character, a run
+of blanks and the word after it are a unit, and where no piece holds a line feed, each line feed is a unit of its own.
+So no piece of the vocabulary crosses units, the best path of a text is the best paths of its units, and a worker
+remembers those of the units that it has met. An Aho-Corasick automaton finds every piece in a unit. A character
+that is no piece is unknown: it costs ``lowest score - 10`` and stands for its UTF-8 bytes. Ties follow the tokenizer's rule:
+of paths with one score to a place, the one whose last piece is longer wins.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterable
 from functools import cached_property
 
 MARK = "▁"
@@ -57,8 +59,15 @@ class Vocabulary:
         self.pieces = {model.id_to_piece(i): (i, float(model.get_score(i))) for i in kept if not model.is_byte(i)}
         #: Bytes that an id stands for.
         self.spelled = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
-        feed = any("\n" in p for p in self.pieces)
-        self.cut = re.compile(r" [^ ]*" if feed else r"\n| ?[^ \n]+| ")
+        self.cut = self.units_of(self.pieces)
+
+    @staticmethod
+    def units_of(pieces: Iterable[str]) -> re.Pattern[str]:
+        """Finds the units of a text: as short as may be without one of the pieces crossing them."""
+        feed = any("\n" in p for p in pieces)
+        if any(MARK in p.lstrip(MARK) for p in pieces):
+            return re.compile(r"(?s:.+)" if feed else r"\n|[^\n]+")
+        return re.compile(r" *[^ ]+| +" if feed else r"\n| *[^ \n]+| +")
 
     @cached_property
     def automaton(self):

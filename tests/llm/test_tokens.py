@@ -159,3 +159,49 @@ def test_packing_edges(spark, edges):
     assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
     assert brute.check_packing([(r["sequence_id"], r["offset"], r["length"]) for r in rows]) == brute.best_fit_bins([w[3] for w in want], 2048)
     assert best_fit.best_fit(edges.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def whole():
+    """As ``reference``, over the lattice of the whole text."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    model = sentencepiece.SentencePieceProcessor(model_file=unigram.default_vocabulary())
+    special = lambda i: model.is_control(i) or model.is_unknown(i)
+    vocab = [(f"\U0010ffff{i}", 0.0) if special(i) else (model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    t = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram.MARK, prepend_scheme="never", split=False)
+    return lambda text: t.encode(unigram.MARK + text.replace(" ", unigram.MARK), add_special_tokens=False).ids if text else []
+
+
+def test_best_path_of_the_whole_text(words, whole, duck):
+    rng = random.Random(7)
+    blanks = ["".join(rng.choice(["a", "the", "x =", "\n", "中", ""]) + " " * rng.choice([1, 2, 3, 4, 7, 16, 17, 40]) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    texts = random_texts(800) + blanks + [b + "x" for b in blanks] + ["a   b", "def f():\n    return 1", "x         y", " ", " " * 9]
+    texts += [r[0] for r in duck.sql("SELECT text FROM documents WHERE text IS NOT NULL LIMIT 60").fetchall()]
+    memo, paths = unigram.Memo(words.count, 50), piece_codec.path_memo(words, 1)
+    for text in texts:
+        want = whole(text)
+        assert sum(memo[u][0] for u in words.units(text)) == len(want)
+        assert ids(piece_codec.encode_text(text, words, paths, 1)[0][1]) == want
+
+
+def test_n_best_over_blanks(words):
+    memo = piece_codec.path_memo(words, 3)
+    for text in ["a   b", "x    y", "   a", "a  ", "  ", "a\n   b", "a  b   c"]:
+        want = [-s for s, _, _ in all_paths(words, " " + text)[:3]]
+        got = piece_codec.encode_text(text, words, memo, 3)
+        assert [s for s, _ in got] == pytest.approx(want, rel=0, abs=1e-3)
+        assert len({i for _, i in got}) == 3 and all(words.decode(ids(i)) == text for _, i in got)
+
+
+@pytest.mark.parametrize("more", ["a▁b", "\n", "a▁\nb"])
+def test_no_piece_crosses_units(words, more):
+    own = unigram.Vocabulary.__new__(unigram.Vocabulary)
+    own.__dict__ |= {k: v for k, v in words.__dict__.items() if k != "automaton"} | {"pieces": words.pieces | {more: (99, -1.0)}}
+    own.cut = own.units_of(own.pieces)
+    for text in ["xa b", "x\n\n y", "a \nb  c", "   "]:
+        want = all_paths(own, " " + text)[0]
+        assert sum(own.count(u)[1] for u in own.units(text)) == pytest.approx(-want[0])
+        assert "".join(own.units(text)) == " " + text
