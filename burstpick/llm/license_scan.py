@@ -1,9 +1,12 @@
 """License scans: known sentences, then rules over their order. DataFrame functions only.
 
-A text is cut into sentences at line ends and at ``.``, ``!`` or ``?`` before white space; a sentence is normalised
-(A-Z lower-cased, every run of other characters than a-z and 0-9 one space). Known sentences get their identifiers,
-any run of others is one gap. The rules are tried in order, longest notices first; a rule whose identifiers stand in
-the sequence one after another names its licence and takes them out, so a shorter rule cannot claim them again.
+A text is normalised: A-Z lower-cased, every run of other characters than a-z and 0-9 one space (so comment marks go). A
+sentence ends at ``.``, ``!`` or ``?`` before white space and at an empty line; it may end at a line end or ``;``, but a
+known sentence may also be wrapped there. So a known sentence is found where its words stand between two such places,
+on a line of its own, on part of one or over several; of two that begin at one place the longer counts, and a list
+number or letter before it belongs to it. Known sentences get their identifiers, any run of others is one gap. The rules
+are tried in order, longest notices first; a rule whose identifiers stand in the sequence one after another names its
+licence and takes them out, so a shorter rule cannot claim them again.
 
 Defined cases: a null or empty text has no sentence and no licence. Repeated rows count each. An empty table gives
 an empty result. Other columns are ignored.
@@ -66,6 +69,8 @@ RULES = [
     ("Proprietary", (22,)),
 ]
 GAP = "00;"
+#: Before a sentence in a list: ``1.``, ``(b)``, ``iv)``.
+LIST_MARK = "(?:[0-9]{1,2}|[ivx]{1,4}|[a-z])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,16 +78,26 @@ def code(ids: tuple[int, ...]) -> str:
     return "".join(f"{i:02d};" for i in ids)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, empty ones too."""
-    ends = F.regexp_replace(F.translate(text, UPPER, LOWER), f"[.!?]+[{WHITE}]+", "\n")
-    return F.transform(F.split(F.regexp_replace(ends, "[^a-z0-9\n]+", " "), "\n"), lambda s: F.trim(s))
+def normalised(text: Column) -> Column:
+    """The words of the text between one space, ``|`` (a sentence ends) or a line feed (it may end)."""
+    t = F.translate(text, UPPER + "|{", LOWER + "  ")
+    t = F.regexp_replace(F.concat(F.lit("\n"), t, F.lit("\n")), f"[.!?]+[{WHITE}]+|\n[^a-z0-9\n]*\n", "|")
+    t = F.regexp_replace(t, "[^a-z0-9|;\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(t, "[ ;\n]*[|][ |;\n]*", "|"), " ?[;\n][ ;\n]*", "\n")
+
+
+def wrapped(sentence: str) -> str:
+    """Pattern of a known sentence, wherever its lines end; ``v.`` ends no sentence."""
+    return r"[ \n]".join(sentence.split(" ")).replace(r"]v[ \n]", r"]v[ |\n]")
 
 
 def sequence(text: Column) -> Column:
     """Identifiers of the text's sentences, each as ``NN;``; a run of unknown sentences as one GAP."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, code((i,)))])
-    codes = F.transform(F.filter(sentences(text), lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(known, s), F.lit(GAP)))
+    any_known = "|".join(wrapped(s) for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    marked = F.regexp_replace(normalised(text), f"([|\n])(?:{LIST_MARK}[ |])?({any_known})(?=[|\n])", "$1{$2{")
+    of_part = lambda s: F.when(s.rlike("[a-z0-9]"), F.coalesce(F.try_element_at(known, F.translate(s, "|\n", "  ")), F.lit(GAP))).otherwise("")
+    codes = F.transform(F.split(marked, "[{]"), of_part)
     return F.regexp_replace(F.array_join(codes, ""), f"({GAP})+", GAP)
 
 

@@ -133,3 +133,67 @@ def test_license(spark, edges):
     assert [r["licenses"] for r in license_scan.license_scan(df).orderBy("doc_id").collect()] == [w for _, w in texts]
     assert license_scan.license_scan(edges).filter("licenses <> ''").count() == 0
     assert license_scan.license_scan(edges.limit(0)).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not
+use this file except in compliance with the License. You may obtain a copy of
+the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD_2 = """1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3 = f"""{BSD_2}
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = [(MIT, "10;11;12;", "MIT"), (APACHE, "13;14;15;", "Apache-2.0"), (GPL, "16;17;", "GPL-3.0-or-later"), (BSD_2, "18;19;", "BSD-2-Clause"), (BSD_3, "18;19;20;", "BSD-3-Clause"), (MPL, "21;", "MPL-2.0")]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_standard_notices(spark, mark):
+    ways = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: f"Copyright 2020 A. Body\n\n{t}\n\nimport os", lambda t: "\n".join(" ".join(p.split()) for p in t.split("\n\n"))]
+    texts = [("\n".join(mark + x for x in way(t).split("\n")), s, w) for t, s, w in NOTICES for way in ways]
+    texts += [(f"Released under the MIT License\n{GPL}", "01;16;17;", "GPL-3.0-or-later,MIT"), (BSD_3.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "iii) "), "18;19;20;", "BSD-3-Clause")]
+    texts += [("Released under\n\nthe MIT License", "", ""), ("Released under. The MIT License", "", ""), ("Not released under\nthe MIT License", "", "")]
+    df = spark.createDataFrame([(n, t) for n, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    got = [(r["sequence"].replace("00;", ""), r["licenses"]) for r in license_scan.license_scan(df).orderBy("doc_id").collect()]
+    assert got == [(s, w) for _, s, w in texts]
+
+
+def test_wrapped_anywhere(spark):
+    """Each known sentence, broken between any two of its words."""
+    rows = [(i, "\n".join((" ".join(w[:at]), " ".join(w[at:])))) for i, s in license_scan.SENTENCES.items() for w in [s.split()] for at in range(1, len(w))]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # the first line of 13 may be 2 as well; the longer one counts
+    assert [r for r in got if r["sequence"] != f"{r['doc_id']:02d};"] == []
