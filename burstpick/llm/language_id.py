@@ -2,7 +2,9 @@
 
 Counts of the hashed 1- to 3-grams of all labelled training texts are summed by task, then by Spark; the matrix of
 log probabilities (languages x buckets, at most ``max_languages`` x ``BUCKETS``) is broadcast, and each text is
-scored whole by gathering its n-grams' columns.
+scored whole by gathering its n-grams' columns. That score only weighs the learned languages against each other and is 1
+for most texts; whether a text is in any of them is told by its mean log probability an n-gram, against those of the
+training texts of its language (``fit``). A close relative of a learned language can pass.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text when nothing was
 learned. Ties go to the language that sorts first. Rows with null text or null lang teach nothing. A null doc_id is
@@ -30,6 +32,8 @@ UNKNOWN = "und"
 SLICE = 1 << 20
 #: Added to each count.
 SMOOTHING = 0.5
+#: Least deviation among the texts of a language, for those with few.
+MIN_SPREAD = 0.25
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -83,27 +87,64 @@ def learn(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str
     return langs, logs
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: Column | str) -> DataFrame:
-    """The columns ``keep`` of ``docs``, untouched, and ``_lang_pred, _score`` of its ``text``."""
+def fit(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> np.ndarray:
+    """By language of ``model``, over all its texts in ``docs (text, lang)`` that have a letter: mean and variance of their mean
+    log probability an n-gram, and mean variance of the n-grams within a text."""
+    langs, logs = model
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
+    at = {x: i for i, x in enumerate(langs)}
+
+    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(at), 4))
+        for batch in batches:
+            for text, lang in zip(batch["text"], batch["lang"], strict=True):
+                if has_letter(text):
+                    own = [shared.value[at[lang]][found] for found in grams(text)]
+                    n = sum(map(len, own))
+                    mean = sum(float(x.sum()) for x in own) / n
+                    sums[at[lang]] += 1, mean, mean * mean, sum(float(np.square(x - mean).sum()) for x in own) / n
+        seen = np.flatnonzero(sums[:, 0])
+        yield pd.DataFrame({"i": seen, **{c: sums[seen, k] for k, c in enumerate("nmsw")}})
+
+    known = docs.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    found = known.mapInPandas(of_partition, "i long, n double, m double, s double, w double").groupBy("i").agg(*[F.sum(c).alias(c) for c in "nmsw"])
+    out = np.zeros((len(langs), 3))
+    for i, n, m, s, w in found.collect():  # a row a language
+        out[i] = m / n, max(0.0, s / n - (m / n) ** 2), w / n
+    return out
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: Column | str, fitted: np.ndarray | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs``, untouched, and ``_lang_pred, _score, _deviation`` of its ``text``. The last is null without
+    ``fitted``: by how many standard deviations the text's mean log probability is below that of its language."""
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))
     kept = docs.select(*keep)
-    schema = T.StructType([*kept.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    added = [T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_deviation", T.DoubleType())]
+    schema = T.StructType([*kept.schema, *added])
 
-    def of_text(text: str | None) -> tuple[str, float]:
+    def of_text(text: str | None) -> tuple[str, float, float | None]:
         if not langs or not has_letter(text):
-            return UNKNOWN, 0.0
-        by_bucket = shared.value
-        total = by_bucket[BUCKETS] + sum(by_bucket[found].sum(0) for found in grams(text))
+            return UNKNOWN, 0.0, None
+        by_bucket, total, n = shared.value, shared.value[BUCKETS].copy(), 0
+        for found in grams(text):
+            total += by_bucket[found].sum(0)
+            n += len(found)
         best = int(total.argmax())
-        return langs[best], float(1 / np.exp(total - total[best]).sum())
+        score = float(1 / np.exp(total - total[best]).sum())
+        if fitted is None:
+            return langs[best], score, None
+        mean, between, within = fitted[best]
+        below = mean - (total[best] - by_bucket[BUCKETS, best]) / n
+        return langs[best], score, float(below / np.sqrt(max(between, MIN_SPREAD**2) + within / n))
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [of_text(x) for x in batch.column("_text").to_pylist()]
             out = batch.drop_columns(["_text"])
-            out = out.append_column("_lang_pred", pa.array([x for x, _ in found], pa.string()))
-            yield out.append_column("_score", pa.array([x for _, x in found], pa.float64()))
+            for k, field in enumerate(added):
+                out = out.append_column(field.name, pa.array([x[k] for x in found], pa.float64() if k else pa.string()))
+            yield out
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(of_partition, schema)
 
@@ -120,7 +161,9 @@ def language_id(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> DataFram
     return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with some certainty; the model is learned from all of them."""
-    out = predict(docs, learn(docs), boxed(docs))
-    return out.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= min_score)).select("_row.*")
+def keep_known(docs: DataFrame, min_score: float = 0.5, max_deviation: float = 8.5) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language with some certainty: it stands out among them, and the text is not
+    too far below their training texts. The model is learned from all of ``docs``."""
+    model = learn(docs)
+    out = predict(docs, model, boxed(docs), fitted=fit(docs, model))
+    return out.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= min_score) & (F.col("_deviation") <= max_deviation)).select("_row.*")

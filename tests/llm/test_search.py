@@ -173,3 +173,31 @@ def test_top_k_of_few_and_huge(spark):
     assert [r[:3] for r in got] == [(0, 1, 3)]
     assert exact_topk.exact_topk(df.limit(0)).count() == 0
     assert exact_topk.exact_topk(df.filter("vec_id = 0")).count() == 0
+
+
+FOREIGN = [
+    "Мы долго шли по тёмному лесу и наконец увидели дом на берегу реки, где старый рыбак чинил сети и рассказывал нам истории о море и кораблях.",
+    "Vanha mies istui talon edessä ja katseli kuinka lapset leikkivät pihalla samalla kun aurinko laski hitaasti metsän taakse ja ilta alkoi hämärtyä kylän yllä.",
+    "我们 昨天 一起 去 了 北京 的 一个 很 大 的 公园 看见 许多 孩子 在 湖边 跑步 和 唱歌 然后 我们 吃 了 晚饭 回家",
+]
+
+
+def test_unlearned_languages_go(spark, tables):
+    """The score of each is above the bound; only what is in a learned language stays."""
+    rng = random.Random(8)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(3, 9))) for _ in range(25)) for _ in range(100)]
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang").filter("size(split(trim(text), ' ')) >= 20")
+    more = spark.createDataFrame([(-1 - n, t, None) for n, t in enumerate(FOREIGN + noise)], "doc_id long, text string, lang string")
+    kept = [r["doc_id"] for r in language_id.keep_known(docs.unionByName(more)).select("doc_id").collect()]
+    assert sorted(kept) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
+def test_fit(spark):
+    rows = [("aa ab", "x"), ("ab ba aa", "x"), ("zz", "y"), ("12", "y"), (None, "y")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    langs, logs = language_id.learn(docs)
+    got = language_id.fit(docs, (langs, logs))
+    for i, lang in enumerate(langs):
+        own = [logs[i][np.concatenate(list(language_id.grams(t)))] for t, x in rows if x == lang and language_id.has_letter(t)]
+        means = [x.mean() for x in own]
+        assert got[i] == pytest.approx([np.mean(means), np.var(means), np.mean([x.var() for x in own])])
