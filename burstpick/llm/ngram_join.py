@@ -2,20 +2,22 @@
 
 A set links with another when ``100 * intersection >= percent * union``. The join is size-aware:
 
-1. Sets are 64-bit shingle hashes. Equal sets (told by a 128-bit digest) become one class; its smallest doc_id stands
-   for it. All sets are read in one order: shingles whose hash is 0 modulo ``LEVELS`` come first, the rarest of them
-   first; then the others by hash. Only the first ones (a quarter) need counting, over all documents.
+1. Sets are 64-bit shingle hashes. Equal sets (told by a 128-bit digest) become one class, a node of the join. All sets
+   are read in one order: shingles whose hash is 0 modulo ``LEVELS`` come first, the rarest of them first; then the
+   others by hash. Only the first ones (a quarter) need counting, over all documents.
 2. A set of n shares at least ``ceil(percent * n / 100)`` shingles with any it links with. So of its first
-   ``n - that + 1`` shingles it shares one, and of one more than those it shares two. Shingles of one document fill the
+   ``n - that + 1`` shingles it shares one, and of one more than those it shares two. Shingles of one class fill the
    first places and drop out. Large sets give each of the rest as an inverted-list entry; small sets give every pair
    of the rest, and single ones too if a large set can be near enough in size. The boundary between small and
    large is where the pairs of a set begin to outnumber its entries times the mean length of the lists that they scan.
-3. Documents that share a signature are linked to the smallest one of them; the components of these links hold all
-   true links, since each true link shares a signature.
-4. The whole sets of each such component meet in blocks of bounded size: all pairs of blocks, each pair one task's
-   group. A block pair counts the overlap of all its pairs exactly and returns the components of its true links, as
-   a star around the smallest doc_id. Every pair is decided; what is returned is linear in the documents.
-5. The components of the stars are the result.
+3. Each list of one signature is scanned. First every node meets the list's smallest one. A pair is decided by sizes, then
+   by bitmaps of the two sets (a bit that only one of them has is a shingle that only it has, which bounds the
+   overlap from above), then by the overlap itself. What they link are components already.
+4. Where a list still holds nodes of several components, those of different ones meet: as rows where the list is short, in
+   blocks of bounded size where it is long (lists of the same nodes are one list). A block pair counts the
+   overlap of all its pairs exactly and returns the components of its true links, as a star around the smallest.
+   So every pair with a signature in common is decided or connected already, and copies are not paired with each other.
+5. The components of all true links, and of the classes that share a doc_id, are the result.
 
 Defined cases: a null text, or one without words, has the empty set and links with nothing. With fewer words than a
 shingle, the whole sequence is the only shingle. Rows with a null doc_id have a null component and link with nothing;
@@ -29,9 +31,9 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,13 @@ from burstpick.llm.components import components
 
 #: One shingle in so many stands in the first part of the order.
 LEVELS = 4
-#: Bits of the filters that keep out of shuffles what surely has no partner (some passes; a join follows): for shingles, for
-#: documents.
-SHINGLE_BITS, DOC_BITS = 25, 23
-#: A block's shingles and documents: about these many.
-BLOCK_SHINGLES, BLOCK_DOCS = 1 << 18, 512
+#: Bits a key of the filters that keep out of shuffles what surely has no partner (some passes; a join follows), and the most
+#: bits of one (log 2: 32 MB). Beyond that a filter lets more pass, and the join does the work.
+KEY_BITS, MOST_BITS = 8, 28
+#: A list of so many nodes is scanned in blocks; a block's nodes and shingles: about these many.
+LONG_LIST, BLOCK_DOCS, BLOCK_SHINGLES = 24, 512, 1 << 18
+#: Rows of a table of ids that is broadcast (8 bytes each).
+MOST_IDS = 4_000_000
 #: Words whose hashes a worker remembers.
 CACHE = 500_000
 
@@ -84,8 +88,12 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 def least_shared(n: np.ndarray | int, percent: int):
     """The fewest shingles that a set of ``n`` shares with another set that it links with."""
-    apart = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # different sets differ in one at least
-    return np.maximum(-(-percent * np.asarray(n, np.int64) // 100), apart)
+    return np.maximum(-(-percent * np.asarray(n, np.int64) // 100), _apart(percent))
+
+
+def _apart(percent: int) -> int:
+    """The same for sets of any size, as different sets differ in one shingle at least."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
 
 def boundary(mean_list: float, percent: int, most: int = 256) -> int:
@@ -113,29 +121,46 @@ def leading(h: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     return first, len(first)
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by its lowest bits, in 64-bit words: a power of two of them, two to four bits a shingle."""
+    bits = max(64, min(1 << 16, 1 << int(2 * len(h) - 1).bit_length())) if len(h) else 64
+    flags = np.zeros(bits, np.uint8)
+    flags[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view("<i8")
+
+
 def _survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``doc_id, n, digest, lead, n_first`` of each document: its set's size and digest, and ``leading``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("lead", pa.list_(pa.int64())), ("n_first", pa.int64())])
+    """``doc_id, n, digest, lead, n_first, bits`` of each document: its set's size and digest, ``leading``, ``bitmap``."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("lead", longs), ("n_first", pa.int64()), ("bits", longs)])
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x, k) for x in batch["text"].to_pylist()]
             lead = [leading(s, percent) for s in sets]
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            ends = pa.array(np.cumsum([0, *(len(x) for x, _ in lead)]), pa.int32())
-            flat = pa.array(np.concatenate([*(x for x, _ in lead), np.zeros(0, np.uint64)]).view(np.int64))
-            columns = [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array([n for _, n in lead], pa.int64())]
+            digest = [digest_of(s) if len(s) else None for s in sets]
+            columns = [
+                batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+                lists([x.view(np.int64) for x, _ in lead]), pa.array([n for _, n in lead], pa.int64()), lists(list(map(bitmap, sets))),
+            ]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(of_partition, "doc_id long, n long, digest binary, lead array<long>, n_first long")
+    return docs.select("doc_id", "text").mapInArrow(of_partition, "doc_id long, n long, digest binary, lead array<long>, n_first long, bits array<long>")
+
+
+def digest_of(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
 def _prefix(shared: Column, n: Column, n_first: Column, percent: int) -> Column:
     """Of a set's leading shingles that other documents hold too (``shared``: structs ``rest, df, shingle``), those among its
     first ``n - least + 2``: the first part's rarest, as far as its shingles that no other holds leave places, and all
     of the rest."""
-    apart = -(-percent // (100 - percent))
-    need = n - F.greatest(F.ceil(n * percent / 100), F.lit(apart)) + 2
+    need = n - F.greatest(F.ceil(n * percent / 100), F.lit(_apart(percent))) + 2
     of_sorted = lambda s: let(
         F.size(F.filter(s, lambda x: x["rest"] == 0)),
         lambda held: F.concat(
@@ -154,24 +179,27 @@ def _signatures(prefix: Column, n: Column, percent: int, small: int) -> Column:
     return F.concat(F.when(100 * n >= percent * small, singles).otherwise(none), F.when(n <= small, pairs).otherwise(none))
 
 
-def _filter_bits(slots: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``2 ** bits`` bits, those of ``slots (slot)`` set; built by Spark, 4 KB a row."""
-    one = F.col("slot") + 1  # Spark counts bits from 1 on, 32,768 to a row
-    own = slots.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+def _filter(keys: DataFrame) -> tuple[Broadcast[np.ndarray], int]:
+    """A bitmap for the 64-bit hashes ``keys (key)``, by their highest bits, and log 2 of its size; built by Spark, 4 KB a row."""
+    bits = min(MOST_BITS, max(15, (KEY_BITS * keys.count()).bit_length()))
+    one = F.shiftrightunsigned("key", 64 - bits) + 1  # Spark counts bits from 1 on, 32,768 to a row
+    own = keys.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in own.collect():
+    for row in own.toLocalIterator():
         at = (row["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    return keys.sparkSession.sparkContext.broadcast(out), bits  # at most 2 ** MOST_BITS bits
+
 
+def _passes(bitmap: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
+    at = key.view(np.uint64) >> np.uint64(64 - bits)
+    return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
-def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    out = []
-    for _, part in pdf.groupby(["cluster", "low", "high"], sort=False):
-        docs = part["doc_id"].to_numpy()
-        root = _linked([np.frombuffer(x, np.uint64) for x in part["shingles"]], docs, percent)
-        out.append(pd.DataFrame({"a": docs, "b": root})[docs != root])
-    return pd.concat(out, ignore_index=True)
+
+def _block_links(block: pa.Table, percent: int) -> pa.Table:
+    docs = block["cid"].to_numpy()
+    root = _linked([x.values.to_numpy().view(np.uint64) for x in block["shingles"]], docs, percent)
+    return pa.table({"a": docs[docs != root], "b": root[docs != root]})
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -213,77 +241,155 @@ def _linked(sets: list[np.ndarray], docs: np.ndarray, percent: int) -> np.ndarra
         root = new
 
 
-def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs (doc_id, text)``."""
-    survey = written(_survey(docs, words, percent), "survey")
-    own = survey.select("doc_id", "n", "digest")
-    known_rows = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
-    classes = written(own.filter(known_rows).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes")
+def _enough(shared: Column, percent: int) -> Column:
+    """Whether ``shared`` is overlap enough for sets of ``na`` and ``nb``."""
+    return 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)
+
+
+def _near_by_bits(a: Column, b: Column) -> Column:
+    """The most shingles that sets of ``na`` and ``nb`` with these bitmaps can share."""
+    halved = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseOR(q))).otherwise(x)
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, c: t + c)
+    most = lambda v: F.least(F.col("na") - only(v["a"], v["b"]), F.col("nb") - only(v["b"], v["a"]))
+    return let(F.struct(halved(a, b).alias("a"), halved(b, a).alias("b")), most)
+
 
-    held = survey.filter(known_rows).select(F.explode("lead").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+def _maybe(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the distinct ``pairs (a, na, b, nb)`` those whose bitmaps let them link."""
+    bits = classes.select("cid", "bits")
+    both = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    return both.filter(_enough(_near_by_bits(F.col("bits_a"), F.col("bits_b")), percent)).select("a", "na", "b", "nb")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``cid, shingles`` of the ``wanted (cid)`` classes, from the texts of their documents."""
+    own = written(classes.join(wanted.distinct(), "cid").select("cid", "digest", F.col("first").alias("doc_id")), "wanted")
+    known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    key = F.xxhash64("doc_id").alias("key")
+    maybe, bits = _filter(own.select(key))
+
+    def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_passes(maybe.value, bits, batch["key"].to_numpy())))
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(x, words) for x in part["text"].to_pylist()]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(map(digest_of, sets), pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "digest", "shingles"])
+
+    sets = known.select("doc_id", "text", key).mapInArrow(take, "doc_id long, digest binary, shingles array<long>")
+    sets = written(sets.join(own, ["doc_id", "digest"]).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
+    discard(own)
+    return sets
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs (a, na, b, nb)`` those that link, as ``a, b``."""
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    return both.filter(_enough(F.size(F.array_intersect("set_a", "set_b")), percent)).select("a", "b")
+
+
+def _entries(docs: DataFrame, survey: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``cid, n, signature``: a written table."""
+    held = survey.filter(_known()).select(F.explode("lead").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     held = written(held.filter(F.col("df") > 1), "held")
     entries, squares = held.agg(F.sum("df"), F.sum(F.col("df") * F.col("df"))).first()
     small = boundary((squares or 0) / (entries or 1), percent)
-    shingle_slot = F.shiftrightunsigned("shingle", 64 - SHINGLE_BITS)
-    maybe = docs.sparkSession.sparkContext.broadcast(_filter_bits(held.select(shingle_slot.alias("slot")), SHINGLE_BITS))  # its size is fixed
+    maybe, bits = _filter(held.select(F.col("shingle").alias("key")))
 
     def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lead = batch["lead"]
             flat = lead.flatten().to_numpy()
-            at = flat.view(np.uint64) >> np.uint64(64 - SHINGLE_BITS)
-            passes = maybe.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
-            row = np.repeat(np.arange(len(batch)), lead.value_lengths().to_numpy())[passes]
-            keys = [batch[c].take(pa.array(row)) for c in ("doc_id", "digest")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(flat[passes])], names=["doc_id", "digest", "shingle"])
-
-    stands, key = classes.select(F.col("first").alias("doc_id"), "digest"), ["doc_id", "digest"]
-    leads = survey.filter(known_rows).select(*key, "lead").mapInArrow(thin, "doc_id long, digest binary, shingle long")
-    leads = leads.join(stands, key, "left_semi").join(held, "shingle")
+            passes = _passes(maybe.value, bits, flat)
+            row = pa.array(np.repeat(np.arange(len(batch)), lead.value_lengths().to_numpy())[passes])
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(row) for c in ("cid", "n", "n_first")), pa.array(flat[passes])], names=["cid", "n", "n_first", "shingle"])
+
+    stands = classes.select(F.col("first").alias("doc_id"), "digest", "cid")
+    leads = survey.filter(_known()).select("doc_id", "digest", "n", "n_first", "lead").join(stands, ["doc_id", "digest"])
+    leads = leads.select("cid", "n", "n_first", "lead").mapInArrow(thin, "cid long, n long, n_first long, shingle long")
     rest = F.when(F.pmod(F.col("shingle"), F.lit(LEVELS)) == 0, 0).otherwise(1).alias("rest")  # LEVELS divides 2 ** 64
-    leads = leads.groupBy(key).agg(F.collect_set(F.struct(rest, "df", "shingle")).alias("shared"))
-    sized = survey.filter(known_rows).join(stands, key, "left_semi").select(*key, "n", "n_first").dropDuplicates(key)
-    signed = leads.join(sized, key).select("doc_id", "n", _prefix(F.col("shared"), F.col("n"), F.col("n_first"), percent).alias("prefix"))
-    signed = written(signed.select("doc_id", _signatures(F.col("prefix"), F.col("n"), percent, small).alias("signature")), "signatures")
-    entries = signed.select("doc_id", F.explode("signature").alias("signature"))
-    shared = entries.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(F.col("low") < F.col("high"))
-    shared = written(shared, "shared")
-    near = entries.join(shared, "signature").filter(F.col("doc_id") != F.col("low")).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    clusters = components(near)
-    discard(signed, shared, held)
-
-    sizes = clusters.join(classes.select(F.col("first").alias("node"), "n").dropDuplicates(["node"]), "node")
-    sizes = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
-    sizes = written(sizes.select("root", "total", blocks.alias("blocks")), "clusters")
-    groups = max(1, int((sizes.agg(F.sum("total")).first()[0] or 0) // BLOCK_SHINGLES))
-    members = written(clusters.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "blocks"), "members")
+    leads = leads.join(held, "shingle").groupBy("cid", "n", "n_first").agg(F.collect_set(F.struct(rest, "df", "shingle")).alias("shared"))
+    signed = leads.select("cid", "n", _prefix(F.col("shared"), F.col("n"), F.col("n_first"), percent).alias("prefix"))
+    signed = written(signed.select("cid", "n", F.explode(_signatures(F.col("prefix"), F.col("n"), percent, small)).alias("signature")), "entries")
+    discard(held)
+    return signed
+
+
+def _known() -> Column:
+    return F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+
+
+def _class_links(docs: DataFrame, survey: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: links between classes that leave none of two linked ones in different components."""
+    near_in_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    entries = _entries(docs, survey, classes, percent)
+    node = F.struct("cid", "n")
+    lists = entries.groupBy("signature").agg(F.min(node).alias("low"), F.max("cid").alias("high")).filter(F.col("low.cid") < F.col("high"))
+    lists = written(lists.select("signature", "low"), "lists")
+    stars = entries.join(lists, "signature").select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("low.cid").alias("b"), F.col("low.n").alias("nb"))
+    stars = written(_maybe(stars.filter((F.col("a") != F.col("b")) & near_in_size).distinct(), classes, percent), "stars")
+    one = stars.groupBy("a", "na").agg(F.min(F.struct("b", "nb")).alias("low")).select("a", "na", "low.*")
+    nodes = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    sets = _sets(docs, classes, nodes(stars), words)
+    links = written(_links(one, sets, percent), "links")
+    met = written(components(links), "met")
+
+    roots = met.select(F.col("node").alias("cid"), "root")
+    entries_of = entries.join(lists.select("signature"), "signature").join(roots, "cid", "left").select("cid", "n", "signature", F.coalesce("root", "cid").alias("root"))
+    entries_of = written(entries_of, "scanned")
+    mark = F.sum(F.xxhash64("cid").cast("decimal(20,0)"))
+    many = entries_of.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"), mark.alias("mark"))
+    many = written(many.filter(F.col("low") < F.col("high")).groupBy("size", "total", "mark").agg(F.min("signature").alias("signature")), "lists")
+    short, long = (many.filter(c).select("signature", "size", "total") for c in (F.col("size") < LONG_LIST, F.col("size") >= LONG_LIST))
+    own = entries_of.join(short.select("signature"), "signature")
+    left, right = own.toDF("signature", "a", "na", "ra"), own.toDF("signature", "b", "nb", "rb")
+    pairs = left.join(right, "signature").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near_in_size)
+    ends = lambda c, r: roots.toDF(c, r)
+    rest = stars.join(ends("a", "ra"), "a", "left").join(ends("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    pairs = _maybe(pairs.select("a", "na", "b", "nb").distinct(), classes, percent).unionByName(rest.select("a", "na", "b", "nb"))
+    pairs = written(pairs.distinct(), "pairs")
+    members = written(entries_of.join(long, "signature").select("cid", F.col("signature").alias("cluster"), "size", "total"), "members")
+    more = _sets(docs, classes, nodes(pairs).unionByName(members.select("cid")), words)
+    links = links.unionByName(_links(pairs, more, percent)).unionByName(_long_lists(members, more, percent))
+    links = written(links, "links")
+    discard(entries, lists, stars, sets, met, entries_of, many, pairs, members, more)
+    return links
+
+
+def _long_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within the lists ``members (cid, cluster, size, total)``: their blocks meet, all pairs of them."""
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("size") / BLOCK_DOCS)).cast("int")
+    met = members.select("cid", "cluster", blocks.alias("blocks")).join(sets, "cid")
+    met = met.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cid", "cluster", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return met.groupBy("cluster", "low", "high").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
 
-    known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS))
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(members.select(slot.alias("slot")), DOC_BITS))  # its size is fixed
 
-    def take(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = batch["slot"].to_numpy()
-            own = batch[wanted.value[at >> 3] >> (at & 7) & 1 == 1]
-            yield pd.DataFrame({"doc_id": own["doc_id"], "shingles": [shingles(x, words).tobytes() for x in own["text"]]})
-
-    sets = known.select("doc_id", "text", slot.alias("slot")).mapInPandas(take, "doc_id long, shingles binary").join(members, "doc_id")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = sets.withColumn("block", block).withColumn("other", pair)
-    met = met.select("doc_id", "cluster", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "blocks")
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.xxhash64("cluster", "low", "high"))
-    met = met.withColumn("group", group).drop("blocks")
-    links = met.groupBy("group").applyInPandas(lambda pdf: _block_links(pdf, percent), "a long, b long")
-    found = components(links)
-    discard(clusters, sizes, members)
-
-    roots = found.select(F.col("node").alias("first"), "root")
-    rooted = classes.join(roots, "first", "left").select("digest", F.coalesce("root", "first").alias("root"))
-    least = classes.join(roots, "first").groupBy("root").agg(F.min("first").alias("least"))
-    named = rooted.join(least, "root", "left").select("digest", F.coalesce("least", "root").alias("component_id"))
+def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs (doc_id, text)``."""
+    survey = written(_survey(docs, words, percent), "survey")
+    own = survey.select("doc_id", "n", "digest")
+    classes = survey.filter(_known()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    links = _class_links(docs, survey, classes, words, percent)
+
+    firsts = classes.select("digest", "cid", "first")
+    twice = own.filter(_known()).groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter(F.col("low") < F.col("high"))
+    twice = own.join(twice.select("doc_id"), "doc_id").join(firsts, "digest").groupBy("doc_id", "cid").agg(F.min("first").alias("first"))
+    hub = twice.groupBy("doc_id").agg(F.min("cid").alias("b"))
+    same = twice.join(hub, "doc_id").select(F.col("cid").alias("a"), "b").filter(F.col("a") != F.col("b"))
+    found = components(links.unionByName(same))
+    discard(links)
+
+    roots = found.select(F.col("node").alias("cid"), "root")
+    rooted = firsts.join(roots, "cid").select("digest", "root", "first")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    moved = rooted.join(least, "root").filter(F.col("least") < F.col("first")).select("digest", "least")
+    named = written(firsts.join(moved, "digest", "left").select("digest", F.coalesce("least", "first").alias("component_id")), "named")
+    discard(found, classes)
     out = own.join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -291,6 +397,8 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    found = written(ngram_join(docs, words, percent), "components")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    found = ngram_join(docs, words, percent)
+    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    if gone.count() <= MOST_IDS:  # else the texts are shuffled
+        gone = F.broadcast(gone)
     return docs.select(boxed(docs), "doc_id").join(gone, "doc_id", "left_anti").select("_row.*")
