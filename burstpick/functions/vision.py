@@ -6,7 +6,7 @@ A detection is ``struct<cx, cy, w, h, confidence>`` (centre form, model pixels),
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -180,17 +180,63 @@ def decode_images(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(name.try_cast("long").alias("image_id"), "image")
 
 
-def pixels(image: dict | T.Row) -> np.ndarray | None:
+def pixels(image: Mapping) -> np.ndarray | None:
     """RGB pixels of a row of the image source (its bytes are blue first); None where it was not decoded."""
     h, w, n = image["height"], image["width"], image["nChannels"]
-    if h < 1 or w < 1 or not image["data"]:
+    if not image["data"] or not h or not w or h < 1 or w < 1:
         return None
     img = np.frombuffer(image["data"], np.uint8).reshape(h, w, n)
     return np.repeat(img, 3, axis=2) if n == 1 else img[..., 2::-1]
 
 
-def _focus(image: dict, box: dict | None) -> tuple:
-    rgb = pixels(image)
+def _rows(images: pd.DataFrame) -> Iterator[dict]:
+    """The rows of a column of images, one by one."""
+    parts = (images[c] for c in ("height", "width", "nChannels", "data"))
+    return ({"height": int(h), "width": int(w), "nChannels": int(n), "data": d} if d is not None else {"height": 0, "width": 0, "nChannels": 0, "data": None} for h, w, n, d in zip(*parts, strict=True))
+
+
+def pixel_function(of_pixels: Callable[[np.ndarray], object], return_type: str) -> Callable[[Column | str], Column]:
+    """A column function of images from one of RGB pixels; null where an image was not decoded."""
+
+    def of_images(images: pd.DataFrame) -> pd.Series:
+        decoded = map(pixels, _rows(images))
+        return pd.Series([None if rgb is None else of_pixels(rgb) for rgb in decoded], dtype=object)
+
+    return F.pandas_udf(of_images, return_type)
+
+
+def to_gray(image: Column | str) -> Column:
+    """8-bit luma, a byte a pixel, row by row."""
+    return pixel_function(lambda rgb: imaging.to_gray(rgb).tobytes(), "binary")(image)
+
+
+def variance_of_laplacian(image: Column | str) -> Column:
+    return pixel_function(lambda rgb: imaging.variance_of_laplacian(imaging.to_gray(rgb)), "double")(image)
+
+
+def estimate_noise(image: Column | str) -> Column:
+    return pixel_function(lambda rgb: imaging.estimate_noise(imaging.to_gray(rgb)), "double")(image)
+
+
+def perceptual_hash(image: Column | str) -> Column:
+    return pixel_function(lambda rgb: imaging.perceptual_hash(imaging.to_gray(rgb)), "long")(image)
+
+
+def resize_exact(image: Column | str, w: int, h: int) -> Column:
+    """RGB bytes at the new size."""
+    return pixel_function(lambda rgb: imaging.resize_exact(rgb, w, h).tobytes(), "binary")(image)
+
+
+def letterbox(image: Column | str, w: int = 640, h: int = 640) -> Column:
+    """RGB bytes of the canvas; its transform is ``letterbox_transform``."""
+    return pixel_function(lambda rgb: imaging.letterbox(rgb, w, h)[0].tobytes(), "binary")(image)
+
+
+def to_tensor(image: Column | str, mean=(0.0, 0.0, 0.0), std=(1.0, 1.0, 1.0), layout: str = "NCHW") -> Column:
+    return pixel_function(lambda rgb: imaging.to_tensor(rgb, mean, std, layout).ravel(), "array<float>")(image)
+
+
+def _focus(rgb: np.ndarray | None, box: Mapping | None) -> tuple:
     if rgb is None:
         return 0.0, 0.0, 0.0, "center", None
     gray = imaging.to_gray(rgb)
@@ -211,53 +257,79 @@ def _focus(image: dict, box: dict | None) -> tuple:
 def score_sharpness(images: DataFrame) -> DataFrame:
     """FOCUS for each row of ``images (image_id, image, face_bbox)``: score and perceptual hash in one pass over the pixels,
     which go no further. A failed decode scores 0 and has no hash."""
+    return images.select("image_id", focus()("image", "face_bbox", F.col("face_bbox")).alias("_s")).select("image_id", *[f"_s.{f.split()[0]}" for f in FOCUS.split(", ")])
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [_focus(i, b) for i, b in zip(batch["image"], batch["face_bbox"], strict=True)]
-            out = pd.DataFrame(rows, columns=["sharpness_score", "raw_variance", "noise_estimate", "scored_region", "phash"])
-            out["phash"] = out["phash"].astype("Int64")
-            yield pd.concat([batch[["image_id"]].reset_index(drop=True), out], axis=1)
 
-    return images.select("image_id", "image", "face_bbox").mapInPandas(of_partition, f"image_id long, {FOCUS}")
+def in_batches(make_predict: Callable, inputs: Iterable[np.ndarray | None], batch_size: int) -> Iterator[np.ndarray | None]:
+    """What a model says of each input, none where there is none. ``make_predict()`` opens the model and returns a function from
+    a batch of tensors to a batch of outputs; it runs when the first tensor is there."""
+    predict, waiting = None, []
+
+    def said() -> Iterator[np.ndarray | None]:
+        nonlocal predict
+        held = [x for x in waiting if x is not None]
+        if held:
+            predict = predict or make_predict()
+        outputs = iter(predict(np.stack(held))) if held else iter(())
+        yield from [None if x is None else next(outputs) for x in waiting]
+        waiting.clear()
+
+    for x in inputs:
+        waiting.append(x)
+        if len(waiting) == batch_size:
+            yield from said()
+    yield from said()
 
 
 def score_with_model(make_predict: Callable, return_type: T.DataType, shape: list[int], batch_size: int = 32) -> Callable:
-    """A column function that runs a model: ``make_predict()`` runs once a worker (there it opens a session, one thread)
-    and returns a function from a batch of tensors of ``shape`` to a batch of outputs."""
+    """A column function that runs a model on tensors that stand in a column: ``make_predict()`` runs once a worker (there it
+    opens a session, one thread) and returns a function from a batch of tensors of ``shape`` to a batch of outputs."""
     return predict_batch_udf(make_predict, return_type=return_type, batch_size=batch_size, input_tensor_shapes=[shape])
 
 
-def face_tensors(images: DataFrame, side: int = 640) -> DataFrame:
-    """``image_id, tensor, transform``: letterboxed images as flat NCHW tensors for a detector."""
+def face_outputs(make_predict: Callable, batch_size: int = 16, side: int = 640) -> Callable[[Column], Column]:
+    """A column function from images to ``raw``, the detector's output for the letterboxed image, and its ``transform``. Tensors
+    live for one batch of the model in the worker; they are in no column."""
+    names = ["scale", "pad_x", "pad_y", "orig_width", "orig_height"]
+
+    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for images in batches:
+            transforms = []
+
+            def tensors(images: pd.DataFrame = images, transforms: list = transforms) -> Iterator[np.ndarray | None]:
+                for rgb in map(pixels, _rows(images)):
+                    canvas, t = imaging.letterbox(rgb, side, side) if rgb is not None else (None, None)
+                    transforms.append(dict(zip(names, t, strict=True)) if t else None)
+                    yield None if t is None else imaging.to_tensor(canvas)[0]
+
+            raw = [None if y is None else np.ravel(y).astype(np.float32) for y in in_batches(make_predict, tensors(), batch_size)]
+            yield pd.DataFrame({"raw": pd.Series(raw, dtype=object), "transform": pd.Series(transforms, dtype=object)})
+
+    return F.pandas_udf(of_batches, f"raw array<float>, transform struct<{', '.join(f'{n}: double' for n in names)}>")
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for image_id, image in zip(batch["image_id"], batch["image"], strict=True):
-                rgb = pixels(image)
-                if rgb is None:
-                    continue
-                canvas, t = imaging.letterbox(rgb, side, side)
-                names = ["scale", "pad_x", "pad_y", "orig_width", "orig_height"]
-                yield pd.DataFrame({"image_id": [image_id], "tensor": [imaging.to_tensor(canvas).ravel()], "transform": [dict(zip(names, t, strict=True))]})
 
-    transform = "struct<scale:double,pad_x:double,pad_y:double,orig_width:double,orig_height:double>"
-    return images.select("image_id", "image").mapInPandas(of_partition, f"image_id long, tensor array<float>, transform {transform}")
+def focus(make_mesh: Callable | None = None, batch_size: int = 16, side: int = 192) -> Callable[..., Column]:
+    """A column function from images, face boxes and face crops to FOCUS and ``raw``, the landmarks that a model finds in the crop
+    (none without a model or a face)."""
+    names = [f.split()[0] for f in FOCUS.split(", ")]
 
+    def of_batches(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for images, boxes, crops in batches:
+            scores = []
 
-def mesh_tensors(images: DataFrame, side: int = 192) -> DataFrame:
-    """``image_id, tensor``: the face with its margin, resized, as flat NHWC tensors for a landmark model; from ``images
-    (image_id, image, face_bbox)``."""
-    crop = face_crop(F.col("face_bbox"), F.col("image.width"), F.col("image.height"))
-    faces = images.filter(F.col("face_bbox").isNotNull()).select("image_id", "image", crop.alias("crop"))
+            def faces(images=images, boxes=boxes, crops=crops, scores=scores) -> Iterator[np.ndarray | None]:
+                for image, box, crop in zip(_rows(images), boxes.to_dict("records"), crops.to_dict("records"), strict=True):
+                    found = box["x"] is not None and box["x"] == box["x"]
+                    rgb = pixels(image)
+                    scores.append(_focus(rgb, box if found else None))
+                    cut = None
+                    if make_mesh and found and rgb is not None:
+                        x, y, w, h = (int(crop[c]) for c in ("x", "y", "width", "height"))
+                        cut = rgb[y : y + h, x : x + w]
+                    yield imaging.to_tensor(imaging.resize_exact(cut, side, side), layout="NHWC")[0] if cut is not None and cut.size else None
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for image_id, image, c in zip(batch["image_id"], batch["image"], batch["crop"], strict=True):
-                rgb = pixels(image)
-                cut = rgb[c["y"] : c["y"] + c["height"], c["x"] : c["x"] + c["width"]] if rgb is not None else np.zeros((0, 0, 3))
-                if cut.size:
-                    flat = imaging.to_tensor(imaging.resize_exact(cut, side, side), layout="NHWC").ravel()
-                    yield pd.DataFrame({"image_id": [image_id], "tensor": [flat]})
+            raw = [None if y is None else np.ravel(y).astype(np.float32) for y in in_batches(make_mesh, faces(), batch_size)]
+            out = pd.DataFrame(scores, columns=names).assign(raw=pd.Series(raw, dtype=object))
+            yield out.assign(phash=pd.array([s[-1] for s in scores], dtype="Int64"))
 
-    return faces.mapInPandas(of_partition, "image_id long, tensor array<float>")
+    return F.pandas_udf(of_batches, f"{FOCUS}, raw array<float>")

@@ -26,38 +26,46 @@ def cull_scored(photos: DataFrame, config: CullConfig, by: list[str] | None = No
     """From ``photos (image_id, ts_ms, phash, sharpness_score, has_face, blink_detected)``, already scored."""
     scenes = stack.stack_scenes(photos, config.burst_threshold_secs, config.phash_similarity_threshold, by)
     scenes = written(scenes, "scenes")
-    keepers = select.select_keepers(scenes, photos)
-    verdicts = select.assign_verdicts(photos, keepers)
+    scored = written(scenes.select("scene_id", "pos_in_scene", "image_id").join(photos.drop("scene_id", "pos_in_scene"), "image_id"), "scored")
+    keepers = select.pick_scene_keepers(scored)
+    verdicts = select.assign_verdicts_in_scene(scored.drop("verdict", "reject_reason").join(keepers, "scene_id"))
+    verdicts = verdicts.select(*[f"`{c}`" for c in photos.columns if c not in ("scene_id", "pos_in_scene", "verdict", "reject_reason")], "verdict", "reject_reason")
     return Cull(scenes, keepers, verdicts, select.cull_totals(scenes, verdicts))
 
 
+def _once(value: Column, name: str) -> Column:
+    """``value`` as a generator's column: the optimizer cannot copy a Python function into the expressions that read it."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def analyze_images(
-    images: DataFrame, config: CullConfig, detect: Callable[[Column], Column] | None = None, rows: int = 5, columns: int = 0,
-    mesh: Callable[[Column], Column] | None = None,
+    images: DataFrame, config: CullConfig, detect: Callable | None = None, rows: int = 5, columns: int = 0, mesh: Callable | None = None,
+    batch_size: int = 16,
 ) -> DataFrame:
     """``image_id, sharpness_score, has_face, face_bbox, blink_detected, eye_aspect_ratio, phash`` from ``images (image_id,
-    image)``. ``detect`` and ``mesh`` are model columns (``vision.score_with_model``) over flat tensors; ``rows`` and
-    ``columns`` are the detector's output shape. Whatever fails leaves its default: no face, score 0, no blink."""
+    image)``. ``detect`` and ``mesh`` make the models' functions (``vision.in_batches``): from letterboxed NCHW images to
+    outputs of ``rows`` x ``columns``, and from NHWC faces to landmarks. Whatever fails leaves its default: no face, score 0, no
+    blink.
+
+    The images stay where they are read: one pass finds the faces, a second one on the same rows scores, hashes and meshes;
+    pixels and tensors are in no exchange, and each model sees an image once."""
+    no_box = F.lit(None).cast("struct<x:double,y:double,width:double,height:double>")
     if detect is None:
-        faces = images.select("image_id", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>").alias("face_bbox"))
-    else:
-        raw = vision.face_tensors(images).select("image_id", "transform", detect(F.col("tensor")).alias("raw"))
-        found = vision.decode_yolo(F.col("raw"), rows, columns, config.face_detection_confidence)
-        best = vision.primary_face(vision.non_max_suppression(found, config.nms_iou_threshold))
-        faces = raw.withColumn("_d", best).select(
-            "image_id", F.when(F.col("_d").isNotNull(), vision.to_original_coords(F.col("_d"), F.col("transform"))).alias("face_bbox")
-        )
-    placed = images.select("image_id", "image").join(faces, "image_id", "left")
-    scores = vision.score_sharpness(placed)
-    if mesh is None or detect is None:
-        blinks = faces.select("image_id", F.lit(None).cast("struct<blink_detected:boolean,average_ear:double>").alias("b"))
+        placed = images.select("image_id", "image", no_box.alias("face_bbox"))
     else:
-        points = vision.mesh_tensors(placed).select("image_id", mesh(F.col("tensor")).alias("raw"))
-        blinks = points.select("image_id", vision.detect_blink(F.col("raw"), config.blink_ear_threshold).alias("b"))
-    out = scores.join(faces, "image_id", "left").join(blinks, "image_id", "left")
+        found = images.select("image_id", "image", _once(vision.face_outputs(detect, batch_size)("image"), "_f"))
+        boxes = vision.decode_yolo(F.col("_f.raw"), rows, columns, config.face_detection_confidence)
+        best = vision.primary_face(vision.non_max_suppression(boxes, config.nms_iou_threshold))
+        found = found.select("image_id", "image", best.alias("_d"), F.col("_f.transform").alias("_t"))
+        box = F.when(F.col("_d").isNotNull(), vision.to_original_coords(F.col("_d"), F.col("_t")))
+        placed = found.select("image_id", "image", box.alias("face_bbox"))
+    crop = vision.face_crop(F.col("face_bbox"), F.col("image.width"), F.col("image.height"))
+    scored = placed.select("image_id", "face_bbox", _once(vision.focus(mesh if detect else None, batch_size)("image", "face_bbox", crop), "_s"))
+    blink = F.when(F.col("_s.raw").isNotNull(), vision.detect_blink(F.col("_s.raw"), config.blink_ear_threshold))
+    out = scored.select("image_id", "face_bbox", "_s", blink.alias("_b"))
     return out.select(
-        "image_id", "sharpness_score", F.col("face_bbox").isNotNull().alias("has_face"), "face_bbox",
-        F.coalesce("b.blink_detected", F.lit(False)).alias("blink_detected"), F.col("b.average_ear").alias("eye_aspect_ratio"), "phash",
+        "image_id", F.col("_s.sharpness_score").alias("sharpness_score"), F.col("face_bbox").isNotNull().alias("has_face"), "face_bbox",
+        F.coalesce("_b.blink_detected", F.lit(False)).alias("blink_detected"), F.col("_b.average_ear").alias("eye_aspect_ratio"), F.col("_s.phash").alias("phash"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from burstpick.operators.review import verdict_label
 from burstpick.operators.select import KEEPER, REJECT, UNRATED
+from burstpick.tables import written
 
 TOOL = "burstpick"
 
@@ -66,8 +67,17 @@ def sidecars(entries: DataFrame, tool: str = TOOL) -> DataFrame:
 
 
 def _write(path: str, data: bytes) -> str | None:
-    """Written beside and moved into place, so that a second try does no harm. The error, if any."""
+    """Written beside and moved into place, so that a second try does no harm; where ``path`` names a store (``s3://``,
+    ``hdfs://``, ``file://``), through its file system, which shows a file once it is whole. The error, if any."""
     try:
+        if "://" in path and not path.startswith("file://"):
+            from pyarrow import fs
+
+            store, inside = fs.FileSystem.from_uri(path)
+            with store.open_output_stream(inside) as f:
+                f.write(data)
+            return None
+        path = path.removeprefix("file://")
         beside = f"{path}.{os.getpid()}.part"
         with open(beside, "wb") as f:
             f.write(data)
@@ -96,14 +106,20 @@ def write_xmp_sidecars(entries: DataFrame, tool: str = TOOL) -> DataFrame:
 
 
 def export_summary(status: DataFrame) -> DataFrame:
-    """One row: files_written, files_skipped, errors (``path: error``)."""
+    """One row: files_written, files_skipped, n_errors."""
     n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).cast("long")
-    failed = F.when(F.col("status") == "error", F.concat("xmp_path", F.lit(": "), "error"))
-    return status.agg(n("written").alias("files_written"), n("skipped").alias("files_skipped"), F.sort_array(F.collect_list(failed)).alias("errors"))
+    return status.agg(n("written").alias("files_written"), n("skipped").alias("files_skipped"), F.count_if(F.col("status") == "error").alias("n_errors"))
 
 
-def export_xmp(images: DataFrame, verdicts: DataFrame, tool: str = TOOL) -> DataFrame:
-    return export_summary(write_xmp_sidecars(export_entries(images, verdicts), tool))
+def export_errors(status: DataFrame) -> DataFrame:
+    """``error``: a row ``path: error`` for each file that could not be written."""
+    return status.filter(F.col("status") == "error").select(F.concat("xmp_path", F.lit(": "), "error").alias("error"))
+
+
+def export_xmp(images: DataFrame, verdicts: DataFrame, tool: str = TOOL) -> tuple[DataFrame, DataFrame]:
+    """Writes the sidecars, once, and returns their summary and errors."""
+    status = written(write_xmp_sidecars(export_entries(images, verdicts), tool), "status")
+    return export_summary(status), export_errors(status)
 
 
 def write_previews(df: DataFrame, folder: str) -> DataFrame:
@@ -135,35 +151,46 @@ def write_manifest(folder: str, scenes: DataFrame, keepers: DataFrame, verdicts:
     told.write.mode("overwrite").json(f"{folder}/image_scores", ignoreNullFields=False)
 
 
-def manifest_json(scenes: DataFrame, keepers: DataFrame, verdicts: DataFrame, totals: DataFrame, seconds: float = 0.0) -> DataFrame:
-    """One row, ``json``: the whole manifest as one pretty document. For one shoot: it is one value."""
+def manifests(scenes: DataFrame, keepers: DataFrame, verdicts: DataFrame, by: list[str], seconds: float = 0.0) -> DataFrame:
+    """``by, json``: a whole manifest for each shoot, one pretty document. ``by`` stands in ``scenes`` and ``verdicts``; what has no
+    value in them is null in the document. A document is one value, so a shoot must fit in one; ``write_manifest`` takes
+    any size."""
     ordered = F.sort_array(F.collect_list(F.struct("pos_in_scene", "image_id")))
-    listed = scenes.groupBy("scene_id").agg(F.transform(ordered, lambda x: x["image_id"]).alias("image_ids")).join(keepers, "scene_id", "left")
-    listed = listed.agg(F.sort_array(F.collect_list(F.struct(F.col("scene_id").alias("id"), "image_ids", "keeper_id"))).alias("scenes"))
-    kept = [c for c in verdicts.columns if c not in ("image_id", "verdict", "reject_reason")]
-    told = F.parse_json(verdict_json(F.col("verdict"), F.col("reject_reason"))).alias("verdict")
-    scored = F.struct("image_id", *kept, told)
-    ranked = verdicts.select(F.col("image_id").alias("_k"), F.to_json(scored, {"ignoreNullFields": "false"}).alias("_j"))
-    texts = ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_j"))), lambda x: x["_j"]).alias("scores"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    totals = totals.withColumnRenamed("scenes", "scenes_n")
-    row = one(totals).join(one(listed), "_one").join(one(texts), "_one")
-    head = [F.col(a).alias(b) for a, b in (("images", "total_images"), ("scenes_n", "total_scenes"), ("keepers", "total_keepers"), ("rejects", "total_rejects"), ("unrated", "total_unrated"))]
-    flat = F.to_json(F.struct(*head, F.lit(seconds).alias("processing_time_secs"), "scenes"), {"ignoreNullFields": "false"})
-    joined = F.concat(F.expr("substring(j, 1, length(j) - 1)"), F.lit(',"image_scores":['), F.array_join("scores", ","), F.lit("]}"))
-    return row.withColumn("j", flat).select(joined.alias("json"))
+    listed = scenes.groupBy(*by, "scene_id").agg(F.transform(ordered, lambda x: x["image_id"]).alias("image_ids")).join(keepers, "scene_id", "left")
+    listed = listed.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col("scene_id").alias("id"), "image_ids", "keeper_id"))).alias("scenes"))
+    kept = [c for c in verdicts.columns if c not in ("image_id", "verdict", "reject_reason", *by)]
+    scored = F.struct("image_id", *kept, verdict_json(F.col("verdict"), F.col("reject_reason")).alias("_v"))
+    of = lambda v: F.count_if(F.col("verdict") == v).alias(f"_{v}")
+    scores = verdicts.groupBy(by).agg(F.sort_array(F.collect_list(scored)).alias("_s"), of(KEEPER), of(REJECT), of(UNRATED))
+    told = F.transform("_s", lambda x: F.struct(x["image_id"].alias("image_id"), *[x[c].alias(c) for c in kept], F.parse_json(x["_v"]).alias("verdict")))
+    n = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    totals = [
+        n(F.size("_s"), "total_images"), n(F.size("scenes"), "total_scenes"), n(F.col(f"_{KEEPER}"), "total_keepers"), n(F.col(f"_{REJECT}"), "total_rejects"),
+        n(F.col(f"_{UNRATED}"), "total_unrated"), F.lit(float(seconds)).alias("processing_time_secs"),
+    ]
+    document = F.struct(*totals, "scenes", told.alias("image_scores"))
+    return scores.join(listed, by).select(*by, F.to_json(document, {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
+
+
+MANIFEST = """
+  total_images long, total_scenes long, total_keepers long, total_rejects long, total_unrated long, processing_time_secs double,
+  scenes array<struct<id:long,image_ids:array<long>,keeper_id:long>>,
+  image_scores array<struct<image_id:long,sharpness_score:double,has_face:boolean,
+    face_bbox:struct<x:double,y:double,width:double,height:double>,blink_detected:boolean,eye_aspect_ratio:double,verdict:variant>>
+"""
+
+
+def parse_manifest(documents: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scenes (exploded, with keeper_id), scores (with the verdict as a word) and totals of manifest documents, each beside the
+    other columns of ``documents``."""
+    kept = [c for c in documents.columns if c != json]
+    doc = documents.select(*kept, F.from_json(json, MANIFEST).alias("_m"))
+    each = doc.select(*kept, F.inline("_m.scenes")).select(*kept, F.col("id").alias("scene_id"), F.posexplode("image_ids").alias("pos", "image_id"), "keeper_id")
+    scenes = each.select(*kept, "scene_id", (F.col("pos") + 1).cast("long").alias("pos_in_scene"), "image_id", "keeper_id")
+    scores = doc.select(*kept, F.inline("_m.image_scores")).withColumn("verdict", verdict_label(F.to_json("verdict")))
+    return scenes, scores, doc.select(*kept, "_m.*").drop("scenes", "image_scores")
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scenes (exploded, with keeper_id), scores (with the verdict as a word) and totals of a manifest document."""
-    schema = """
-      total_images long, total_scenes long, total_keepers long, total_rejects long, total_unrated long, processing_time_secs double,
-      scenes array<struct<id:long,image_ids:array<long>,keeper_id:long>>,
-      image_scores array<struct<image_id:long,sharpness_score:double,has_face:boolean,
-        face_bbox:struct<x:double,y:double,width:double,height:double>,blink_detected:boolean,eye_aspect_ratio:double,verdict:variant>>
-    """
-    doc = spark.read.schema(schema).json(path, multiLine=True)
-    each = doc.select(F.inline("scenes")).select(F.col("id").alias("scene_id"), F.posexplode("image_ids").alias("pos", "image_id"), "keeper_id")
-    scenes = each.select("scene_id", (F.col("pos") + 1).cast("long").alias("pos_in_scene"), "image_id", "keeper_id")
-    scores = doc.select(F.inline("image_scores")).withColumn("verdict", verdict_label(F.to_json("verdict")))
-    return scenes, scores, doc.drop("scenes", "image_scores")
+    """``parse_manifest`` of a file, or of all files of a folder."""
+    return parse_manifest(spark.read.text(path, wholetext=True), "value")

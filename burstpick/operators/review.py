@@ -6,9 +6,9 @@ sharpness_score, verdict, ...), ``overrides`` (image_id, override; one row a pho
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +70,12 @@ def override_stats(effective_verdict: DataFrame, overrides: DataFrame) -> DataFr
     return counts.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def apply_action(state: dict[int, str], action: str, image: int, members: list[int], keeper: int | None, verdict: str) -> None:
+def apply_action(state: dict[int, str], action: str, image: int, members: Container[int], keeper: int | None, verdict: str) -> None:
     """One key press on one photo of a scene, on the scene's overrides ``state``."""
     if action == "K":
-        for other in [x for x in members if state.get(x) == KEEPER]:
+        for other in [x for x, v in state.items() if v == KEEPER]:
             del state[other]
-        if keeper in members and keeper != image:
+        if keeper != image and keeper in members:
             state[keeper] = UNRATED
         state[image] = KEEPER
     elif action == "X":
@@ -96,23 +96,26 @@ def fold_review_actions(actions: DataFrame, scenes: DataFrame, scores: DataFrame
     acts = actions.join(scenes.select("scene_id", "image_id"), "image_id").select("scene_id", "seq", "image_id", "action")
     rows = photos.unionByName(acts, allowMissingColumns=True).repartition("scene_id").sortWithinPartitions("scene_id", F.col("seq").asc_nulls_first(), "image_id")
 
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scene, verdicts, keeper, state = None, {}, None, {}
         for batch in batches:
             done = []
-            for scene_id, image, action, keep, verdict in zip(*(batch[c] for c in ("scene_id", "image_id", "action", "keeper_id", "verdict")), strict=True):
+            for scene_id, image, action, keep, verdict in zip(*(batch[c].to_pylist() for c in ("scene_id", "image_id", "action", "keeper_id", "verdict")), strict=True):
                 if scene_id != scene:
                     done += state.items()
                     scene, verdicts, keeper, state = scene_id, {}, None, {}
                 if action == "":
-                    verdicts[image] = verdict
-                    keeper = int(keep) if pd.notna(keep) else None
+                    verdicts[image], keeper = verdict, keep
                 else:
-                    apply_action(state, action, image, list(verdicts), keeper, verdicts.get(image, UNRATED))
-            yield pd.DataFrame(done, columns=["image_id", "override"])
-        yield pd.DataFrame(list(state.items()), columns=["image_id", "override"])
+                    apply_action(state, action, image, verdicts, keeper, verdicts.get(image, UNRATED))
+            yield rows_of(done)
+        yield rows_of(list(state.items()))
 
-    return rows.mapInPandas(of_partition, "image_id long, override string")
+    def rows_of(pairs: list[tuple[int, str]]) -> pa.RecordBatch:
+        ids, words = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["image_id", "override"])
+
+    return rows.mapInArrow(of_partition, "image_id long, override string")
 
 
 def scene_cards(scenes: DataFrame, images: DataFrame, scores: DataFrame, effective: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEEPER, REJECT, UNRATED, BLINK = "keeper", "reject", "unrated", "blink"
 
 
+def _keeper_rank() -> Column:
+    return F.struct((~F.col("blink_detected")).alias("open"), "sharpness_score", "pos_in_scene")
+
+
 def pick_keeper(df: DataFrame, group: list[str]) -> DataFrame:
     """``group, keeper_id``: the sharpest photo (``pos_in_scene`` breaks ties: the last)."""
     return df.groupBy(group).agg(F.max_by("image_id", F.struct("sharpness_score", "pos_in_scene")).alias("keeper_id"))
@@ -17,9 +21,13 @@ def select_keepers(scenes: DataFrame, scores: DataFrame) -> DataFrame:
     """``scene_id, keeper_id``: the sharpest photo without a blink, else the sharpest. Photos without a score don't count; a
     scene of such photos has no keeper. Aggregated before the shuffle, no sort."""
     own = scores.select("image_id", "sharpness_score", "blink_detected", F.lit(True).alias("_scored"))
-    rank = F.struct((~F.col("blink_detected")).alias("open"), "sharpness_score", "pos_in_scene")
     joined = scenes.select("scene_id", "pos_in_scene", "image_id").join(own, "image_id", "left")
-    return joined.groupBy("scene_id").agg(F.max_by("image_id", F.when(F.col("_scored"), rank)).alias("keeper_id"))
+    return joined.groupBy("scene_id").agg(F.max_by("image_id", F.when(F.col("_scored"), _keeper_rank())).alias("keeper_id"))
+
+
+def pick_scene_keepers(scored: DataFrame) -> DataFrame:
+    """The same from ``scored (scene_id, pos_in_scene, image_id, sharpness_score, blink_detected)``, all of them with a score."""
+    return scored.groupBy("scene_id").agg(F.max_by("image_id", _keeper_rank()).alias("keeper_id"))
 
 
 def assign_verdicts(scores: DataFrame, keepers: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """Scenes: bursts by time gap, split where the look changes.
 
 Tables: photos are ``image_id, ts_ms (null: unknown), phash`` and key columns; scenes are exploded, one row a photo:
-``scene_id, pos_in_scene, image_id``. Order is (ts_ms, image_id). No step needs all rows in one task.
+``scene_id, pos_in_scene, image_id``. Order is (ts_ms, image_id). A null key is a key like any other. No step needs all rows, or
+all rows of a key, in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstpick.tables import with_row_numbers
+from burstpick.tables import with_row_numbers, written
 
 ORDER = ["ts_ms", "image_id"]
 
@@ -31,6 +33,13 @@ def time_clusters(df: DataFrame, threshold_secs: float, by: list[str]) -> DataFr
     return timed.withColumn("cluster", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def _join(df: DataFrame, to: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``to``; null keys are equal."""
+    named = to.withColumnsRenamed({k: f"_to_{k}" for k in keys})
+    same = reduce(Column.__and__, [df[f"`{k}`"].eqNullSafe(named[f"`_to_{k}`"]) for k in keys])
+    return df.join(named, same).drop(*[f"_to_{k}" for k in keys])
+
+
 def time_clusters_stitched(df: DataFrame, threshold_secs: float, by: list[str] | None = None, bucket_ms: int = 86_400_000) -> DataFrame:
     """The same for keys that hold many photos, or without a key: windows reach over a bucket of time only. A bucket's
     first photo is compared with the latest one of the last bucket that holds any, and its clusters are numbered on
@@ -42,11 +51,11 @@ def time_clusters_stitched(df: DataFrame, threshold_secs: float, by: list[str] |
     last = timed.groupBy(keys).agg(F.max("ts_ms").alias("_last")).withColumn("_before", F.lag("_last").over(along)).drop("_last")
     inner = Window.partitionBy(*keys).orderBy(*ORDER)
     gap = F.col("ts_ms") - F.coalesce(F.lag("ts_ms").over(inner), F.col("_before"))
-    marked = timed.join(last, keys).withColumn("_new", F.coalesce((gap > gap_ms(threshold_secs)).cast("long"), F.lit(0)))
+    marked = _join(timed, last, keys).withColumn("_new", F.coalesce((gap > gap_ms(threshold_secs)).cast("long"), F.lit(0)))
     running = F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, -1))
     starts = marked.groupBy(keys).agg(F.sum("_new").alias("_new")).withColumn("_start", F.coalesce(running, F.lit(0))).drop("_new")
     local = F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_local", local).join(starts, keys).withColumn("cluster", F.col("_local") + F.col("_start")).drop(
+    return _join(marked.withColumn("_local", local), starts, keys).withColumn("cluster", F.col("_local") + F.col("_start")).drop(
         "_bucket", "_before", "_new", "_local", "_start"
     )
 
@@ -59,15 +68,15 @@ def hamming_distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _split(batches: Iterable[pd.DataFrame], keys: list[str], threshold: int) -> Iterator[pd.DataFrame]:
+def _split(batches: Iterable[pa.RecordBatch], keys: list[str], threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by ``keys`` and order; what goes on from batch to batch is one cluster's key, anchor and count."""
     key, anchor, group = None, None, 0
     for batch in batches:
-        codes = list(zip(*(batch[k] for k in keys), strict=True))
+        codes = list(zip(*(batch[k].to_pylist() for k in keys), strict=True))
         n = len(batch)
         starts = [i for i in range(n) if i == 0 or codes[i] != codes[i - 1]] + [n]
-        known = batch["_known"].to_numpy(bool)
-        bits = batch["_bits"].to_numpy(np.int64).view(np.uint64)
+        known = batch["phash"].is_valid().to_numpy(zero_copy_only=False)
+        bits = batch["phash"].fill_null(0).to_numpy().view(np.uint64)
         out = np.zeros(n, np.int64)
         for a, b in zip(starts, starts[1:], strict=False):
             at = a
@@ -80,7 +89,7 @@ def _split(batches: Iterable[pd.DataFrame], keys: list[str], threshold: int) ->
                 if end < b:
                     anchor, group = bits[end], group + 1
                 at = end
-        yield batch.drop(columns=["_known", "_bits"]).assign(subgroup=out)
+        yield batch.drop_columns(["phash"]).append_column("subgroup", pa.array(out))
 
 
 def split_by_phash(clusters: DataFrame, threshold: int, by: list[str]) -> DataFrame:
@@ -88,11 +97,10 @@ def split_by_phash(clusters: DataFrame, threshold: int, by: list[str]) -> DataFr
     the first one of the current group starts the next. A missing hash never splits, and a cluster that starts
     with one stays whole. Only ids, times and hashes go through Python, sorted, without groups in memory."""
     keys = [*by, "cluster"]
-    # A missing hash goes beside the bits: a column with nulls would reach pandas as floats of 53 bits.
-    slim = clusters.select(*keys, *ORDER, F.col("phash").isNotNull().alias("_known"), F.coalesce("phash", F.lit(0).cast("long")).alias("_bits"))
-    schema = T.StructType([*slim.drop("_known", "_bits").schema, T.StructField("subgroup", T.LongType())])
+    slim = clusters.select(*keys, *ORDER, "phash")
+    schema = T.StructType([*slim.drop("phash").schema, T.StructField("subgroup", T.LongType())])
     ordered = slim.repartition(*keys).sortWithinPartitions(*keys, *ORDER)
-    return ordered.mapInPandas(lambda it: _split(it, keys, threshold), schema)
+    return ordered.mapInArrow(lambda it: _split(it, keys, threshold), schema)
 
 
 def singleton_scenes(df: DataFrame) -> DataFrame:
@@ -104,7 +112,7 @@ def stack_scenes(df: DataFrame, threshold_secs: float, phash_threshold: int, by:
     """``scene_id, pos_in_scene, image_id`` and ``by``. Scenes are numbered 1, 2, ... by their first photo, those without
     a time last."""
     keys = by or []
-    timed = time_clusters(df, threshold_secs, keys) if keys else time_clusters_global(df, threshold_secs)
+    timed = time_clusters_stitched(df, threshold_secs, keys)
     split = split_by_phash(timed, phash_threshold, keys)
     scene = [*keys, "cluster", "subgroup"]
     placed = split.withColumn("pos_in_scene", F.row_number().over(Window.partitionBy(*scene).orderBy(*ORDER)).cast("long"))
@@ -114,7 +122,7 @@ def stack_scenes(df: DataFrame, threshold_secs: float, phash_threshold: int, by:
         *keys, "image_id", F.lit(1).cast("long").alias("pos_in_scene"),
         F.struct(F.lit(None).cast("long").alias("ts_ms"), F.col("image_id")).alias("_first"),
     )
-    photos = first.unionByName(alone)
+    photos = written(first.unionByName(alone), "photos")  # read twice below
     scenes = photos.filter(F.col("pos_in_scene") == 1).select("_first")
     ids = with_row_numbers(scenes, "scene_id", F.col("_first.ts_ms").asc_nulls_last(), F.col("_first.image_id"))
     ids = ids.select(F.col("_first.image_id").alias("_head"), "scene_id")

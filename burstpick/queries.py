@@ -5,14 +5,19 @@ Scenes are by shoot with a gap of 14,400 s and 14 bits. Doubles are rounded to 6
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burstpick.config import CullConfig
-from burstpick.functions import vision
-from burstpick.jobs.cull import cull_scored
+from burstpick.functions import imaging, vision
+from burstpick.jobs.cull import analyze_images, cull, cull_scored
 from burstpick.operators import export, report, review, select, stack
 from burstpick.sources import exif, files, previews, standin
+from burstpick.tables import shared_dir, written
 
 CONFIG = CullConfig(burst_threshold_secs=14_400.0)
 BY = ["shoot_id"]
@@ -118,7 +123,7 @@ def pick_keeper(spark, sf_dir):
 
 def select_keepers(spark, sf_dir):
     photos = _photos(spark, sf_dir)
-    return select.select_keepers(_scenes(photos), photos.filter(F.col("image_id") % 11 != 0))
+    return select.select_keepers(_scenes(photos), photos)
 
 
 def assign_verdicts(spark, sf_dir):
@@ -144,7 +149,7 @@ def verdict_label(spark, sf_dir):
 
 def effective_verdicts(spark, sf_dir):
     photos, done, over, _ = _reviewed(spark, sf_dir)
-    return review.effective_verdicts(photos, done.verdicts.filter(F.col("image_id") % 11 != 0), over)
+    return review.effective_verdicts(photos, done.verdicts, over)
 
 
 def effective_keepers(spark, sf_dir):
@@ -158,7 +163,7 @@ def override_stats(spark, sf_dir):
 
 def rank_scene_images(spark, sf_dir):
     _, done, _, effective = _reviewed(spark, sf_dir)
-    return review.rank_scene_images(done.scenes, done.verdicts.filter(F.col("image_id") % 11 != 0), effective)
+    return review.rank_scene_images(done.scenes, done.verdicts, effective)
 
 
 def _filtered(mode: str):
@@ -171,7 +176,7 @@ def _filtered(mode: str):
 
 def scene_cards(spark, sf_dir):
     photos, done, _, effective = _reviewed(spark, sf_dir)
-    return review.scene_cards(done.scenes, photos.filter(F.col("image_id") % 17 != 0), done.verdicts, effective)
+    return review.scene_cards(done.scenes, photos, done.verdicts, effective)
 
 
 def fold_review_actions(spark, sf_dir):
@@ -203,26 +208,34 @@ def xmp_sidecars(spark, sf_dir):
     return export.sidecars(export.export_entries(coarse, standin.export_requests(photos)))
 
 
-def export_summary(spark, sf_dir):
+def _export_status(spark, sf_dir):
     photos = _photos(spark, sf_dir)
     entries = export.export_entries(photos, standin.export_requests(photos))
     told = F.when(F.col("verdict") == "unrated", "skipped").when(F.col("image_id") % 1009 == 0, "error").otherwise("written")
     path = export.xmp_path(F.col("raw_file_path")).alias("xmp_path")
     status = entries.select(path, told.alias("status"), F.lit("denied").alias("error"), F.lit(1).cast("long").alias("n"))
-    return export.export_summary(status).withColumn("errors", F.array_join("errors", "|"))
+    return status
+
+
+def export_summary(spark, sf_dir):
+    return export.export_summary(_export_status(spark, sf_dir))
+
+
+def export_errors(spark, sf_dir):
+    return export.export_errors(_export_status(spark, sf_dir))
 
 
 def scene_report(spark, sf_dir):
     photos = _photos(spark, sf_dir)
     done = cull_scored(photos, CONFIG, BY)
-    return report.scene_report(done.scenes, done.keepers, photos.filter(F.col("image_id") % 19 != 0))
+    return report.scene_report(done.scenes, done.keepers, photos)
 
 
 def score_report(spark, sf_dir):
     photos = _photos(spark, sf_dir)
     verdicts = cull_scored(photos, CONFIG, BY).verdicts
     ear = F.when(F.col("image_id") % 3 != 0, F.col("image_id") % 500 / F.lit(1000.0))
-    return report.score_report(verdicts.withColumn("eye_aspect_ratio", ear), photos.filter(F.col("image_id") % 19 != 0))
+    return report.score_report(verdicts.withColumn("eye_aspect_ratio", ear), photos)
 
 
 def _sized(spark, sf_dir):
@@ -242,7 +255,7 @@ def regions(spark, sf_dir):
 
 
 def _detections(spark, sf_dir):
-    return standin.yolo_raw(spark, sf_dir).select("vec_id", vision.decode_yolo(F.col("raw"), 5, 12, 0.1).alias("d"))
+    return standin.yolo_raw(spark, sf_dir).select("vec_id", vision.decode_yolo(F.col("raw"), 5, standin.CELLS, 0.1).alias("d"))
 
 
 def decode_yolo(spark, sf_dir):
@@ -273,6 +286,152 @@ def detect_blink(spark, sf_dir):
     return b.select("vec_id", "n_landmarks", "b.blink_detected", *[F.round(f"b.{c}", 6).alias(c) for c in ("right_ear", "left_ear", "average_ear")])
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one."""
+    path = f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    return path
+
+
+def preview_dimensions(spark, sf_dir):
+    return previews.preview_dimensions(standin.jpeg_headers(_photos(spark, sf_dir))).select("image_id", "preview_width", "preview_height")
+
+
+def export_xmp(spark, sf_dir):
+    """Sidecars as files, read back: those of ten photos share a name."""
+    photos, folder = _photos(spark, sf_dir), _folder(spark, "sidecars")
+    coarse = photos.withColumn("file_path", F.concat(F.lit(folder + "/IMG_"), F.floor(F.col("image_id") / 10).cast("string"), F.lit(".CR2")))
+    export.export_xmp(coarse, standin.export_requests(photos))
+    found = files.read_bytes(files.list_folders(spark, spark.createDataFrame([(folder,)], "folder string")))
+    return found.select("file_name", F.sha2("content", 256).alias("content_sha256"))
+
+
+def manifest_scores(spark, sf_dir):
+    """A manifest for each shoot, read back: its scores."""
+    photos = _photos(spark, sf_dir)
+    done = cull_scored(photos, CONFIG, BY)
+    told = done.verdicts.select("shoot_id", "image_id", "sharpness_score", "has_face", "blink_detected", "verdict", "reject_reason")
+    documents = export.manifests(done.scenes, done.keepers, told, BY, 1.5)
+    return export.parse_manifest(documents)[1].select("shoot_id", "image_id", _r("sharpness_score"), "has_face", "blink_detected", "verdict")
+
+
+def manifest_scenes(spark, sf_dir):
+    photos = _photos(spark, sf_dir)
+    done = cull_scored(photos, CONFIG, BY)
+    documents = export.manifests(done.scenes, done.keepers, done.verdicts.select("shoot_id", "image_id", "verdict", "reject_reason"), BY, 1.5)
+    return export.parse_manifest(documents)[0]
+
+
+def manifest_totals(spark, sf_dir):
+    """Totals of each shoot's manifest, and what a photo took."""
+    photos = _photos(spark, sf_dir)
+    done = cull_scored(photos, CONFIG, BY)
+    documents = export.manifests(done.scenes, done.keepers, done.verdicts.select("shoot_id", "image_id", "verdict", "reject_reason"), BY, 1.5)
+    totals = export.parse_manifest(documents)[2]
+    return totals.withColumn("ms_per_image", F.round(report.ms_per_image(F.col("processing_time_secs"), F.col("total_images")), 6))
+
+
+def _sha(c: Column) -> Column:
+    return F.sha2(F.lower(F.hex(c)), 256)
+
+
+def decoded_images(spark, sf_dir):
+    """Photos written as files, read by the image source, as gray pixels."""
+    folder = _folder(spark, "previews")
+    done = previews_written(standin.bitmaps(spark, sf_dir), folder)
+    found = vision.decode_images(spark, folder).join(done, "image_id")
+    return found.select("image_id", "error", "image.width", "image.height", _sha(vision.to_gray("image")).alias("gray_sha256"))
+
+
+def previews_written(df: DataFrame, folder: str) -> DataFrame:
+    return written(export.write_previews(df, folder), "status").select("image_id", "error")
+
+
+def image_gray(spark, sf_dir):
+    return standin.patches(spark, sf_dir).select("image_id", _sha(vision.to_gray("image")).alias("gray_sha256"))
+
+
+def image_focus(spark, sf_dir):
+    """Of the whole photo: Laplacian variance and noise."""
+    p = standin.patches(spark, sf_dir)
+    measured = p.select("image_id", vision.variance_of_laplacian("image").alias("laplacian_variance"), vision.estimate_noise("image").alias("noise"))
+    return measured.select("image_id", _r("laplacian_variance"), _r("noise"))
+
+
+def image_hash(spark, sf_dir):
+    return standin.patches(spark, sf_dir).select("image_id", vision.perceptual_hash("image").alias("phash"))
+
+
+def image_resize(spark, sf_dir):
+    return standin.patches(spark, sf_dir).select("image_id", _sha(vision.resize_exact("image", 2 * standin.WIDE, standin.HIGH)).alias("rgb_sha256"))
+
+
+def image_letterbox(spark, sf_dir):
+    t = vision.letterbox_transform(F.col("image.width"), F.col("image.height"), 50, standin.HIGH)
+    return standin.patches(spark, sf_dir).select("image_id", _sha(vision.letterbox("image", 50, standin.HIGH)).alias("rgb_sha256"), t["scale"].alias("scale"), t["pad_x"].alias("pad_x"))
+
+
+def image_tensor(spark, sf_dir):
+    """Some values of each photo's tensor, channel by channel."""
+    tensor = vision.to_tensor("image", imaging.IMAGENET_MEAN, imaging.IMAGENET_STD)
+    at = lambda n: F.get("t", F.lit(n)).cast("double")
+    size = standin.WIDE * standin.HIGH
+    return standin.patches(spark, sf_dir).select("image_id", tensor.alias("t")).select("image_id", F.size("t").cast("long").alias("n"), at(0).alias("red"), at(size + 45).alias("green"), at(3 * size - 1).alias("blue"))
+
+
+def score_sharpness(spark, sf_dir):
+    """The middle of each photo."""
+    placed = standin.patches(spark, sf_dir).withColumn("face_bbox", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
+    return vision.score_sharpness(placed).select("image_id", _r("sharpness_score"), _r("raw_variance"), _r("noise_estimate"), "scored_region")
+
+
+def model_scores(spark, sf_dir):
+    """A model over tensors of a column: two weighted sums of each vector."""
+
+    def linear():
+        w = np.stack([np.arange(64) % 5 - 2.0, np.arange(64) % 3 + 1.0])
+        return lambda x: x.astype(np.float64) @ w.T
+
+    score = vision.score_with_model(linear, T.ArrayType(T.DoubleType()), [64])
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", score(F.col("embedding")).alias("s"))
+    return e.select("vec_id", F.round(F.get("s", F.lit(0)), 6).alias("a"), F.round(F.get("s", F.lit(1)), 6).alias("b"))
+
+
+def _detector():
+    """One face; sure of it where the first pixel is red enough."""
+    return lambda x: np.stack([[320, 320, 520, 310, 0.9 if t[0, 0, 53] > 0.3 else 0.1] for t in x]).astype(np.float32)
+
+
+def _mesher():
+    """Closed eyes where the first pixel of the face is red enough."""
+
+    def landmarks(height: float) -> np.ndarray:
+        out = np.zeros((vision.MESH_POINTS, 3), np.float32)
+        for eye in (vision.RIGHT_EYE, vision.LEFT_EYE):
+            out[list(eye), :2] = [(0, 0), (1, height), (2, height), (3, 0), (2, -height), (1, -height)]
+        return out.ravel()
+
+    return lambda x: np.stack([landmarks(0.125 if t[0, 0, 0] > 0.5 else 1.0) for t in x])
+
+
+def _analyzed(spark, sf_dir):
+    return analyze_images(standin.patches(spark, sf_dir), CONFIG, _detector, 5, 1, _mesher)
+
+
+def analyzed_images(spark, sf_dir):
+    """Faces, sharpness and blinks of each photo in one analysis."""
+    box = [F.round(f"face_bbox.{c}", 6).alias(f"face_{c}") for c in ("x", "y", "width", "height")]
+    return _analyzed(spark, sf_dir).select("image_id", _r("sharpness_score"), "has_face", *box, "blink_detected", _r("eye_aspect_ratio"), "phash")
+
+
+def culled_images(spark, sf_dir):
+    """Photos to verdicts: analysed, stacked by shoots of 20, keepers chosen."""
+    at = F.col("image_id")
+    photos = standin.patches(spark, sf_dir).select("image_id", F.floor(at / 20).alias("shoot_id"), F.when(at % 17 != 0, at * 1500 + F.floor(at / 5) * 20_000_000).alias("ts_ms"))
+    return cull(photos, _analyzed(spark, sf_dir), CONFIG, BY).verdicts.select("image_id", "verdict", "reject_reason")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -281,5 +440,7 @@ QUERIES = {
         scene_arrays, scene_stats, pick_keeper, select_keepers, assign_verdicts, cull_totals, verdict_label, effective_verdicts,
         effective_keepers, override_stats, rank_scene_images, scene_cards, fold_review_actions, focus_point, export_entries, xmp_path,
         xmp_sidecars, export_summary, scene_report, score_report, regions, decode_yolo, nms, iou, original_coords, detect_blink,
+        export_errors, export_xmp, manifest_scores, manifest_scenes, manifest_totals, preview_dimensions, decoded_images, image_gray,
+        image_focus, image_hash, image_resize, image_letterbox, image_tensor, score_sharpness, model_scores, analyzed_images, culled_images,
     )
 } | {f"filter_scenes_{mode}": _filtered(mode) for mode in ("all", "keepers", "rejects")}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = [".CR2", ".cr3", ".NEF", ".arw", ".Raf", ".dng", ".ORF", ".rw2", ".jpg", ""]
@@ -49,9 +51,24 @@ OVERRIDES_SQL = """overrides AS (
 )"""
 
 
+#: Key presses: every so manieth photo, the word's place in ``KXUX``.
+PRESSES = [(7, 0), (5, 1), (3, 2), (11, 0), (2, 3)]
+
+
 def actions(captures_df: DataFrame) -> DataFrame:
-    word = F.element_at(F.array(*map(F.lit, "KXUX")), (F.col("image_id") % 4 + 1).cast("int"))
-    return captures_df.filter(F.col("image_id") % 7 == 0).select(F.col("image_id").alias("seq"), "image_id", word.alias("action"))
+    """Key presses, up to five on a photo, in rounds over the archive."""
+    word = lambda n: F.element_at(F.array(*map(F.lit, "KXUX")), ((F.col("image_id") + n) % 4 + 1).cast("int"))
+    rounds = [
+        captures_df.filter(F.col("image_id") % every == 0).select((F.col("image_id") + k * 10**12).alias("seq"), "image_id", word(n).alias("action"))
+        for k, (every, n) in enumerate(PRESSES)
+    ]
+    return reduce(DataFrame.unionAll, rounds)
+
+
+ACTIONS_SQL = "actions AS (" + " UNION ALL ".join(
+    f"SELECT image_id + {k * 10**12} AS seq, image_id, ['K', 'X', 'U', 'X'][((image_id + {n}) % 4 + 1)::INTEGER] AS action FROM captures WHERE image_id % {every} = 0"
+    for k, (every, n) in enumerate(PRESSES)
+) + ")"
 
 
 def previews(captures_df: DataFrame) -> DataFrame:
@@ -117,13 +134,86 @@ LANDMARKS_SQL = """landmarks AS (
 )"""
 
 
+#: Columns of the detector outputs, and the number that the four rows of boxes hold together.
+CELLS = 13
+BOXED = 4 * CELLS
+
+
 def yolo_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector outputs of 5 rows and 12 columns, channel by channel, from ``embeddings``."""
+    """Detector outputs of 5 rows and CELLS columns, channel by channel, from ``embeddings`` (64 values and the first again)."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    scaled = F.transform(F.slice("embedding", 1, 60), lambda x, i: F.abs(x.cast("double")) * F.when(i < 48, 640.0).otherwise(2.0))
+    whole = F.concat("embedding", F.slice("embedding", 1, 1))
+    scaled = F.transform(whole, lambda x, i: F.abs(x.cast("double")) * F.when(i < BOXED, 640.0).otherwise(2.0))
     return e.select("vec_id", scaled.alias("raw"))
 
 
-YOLO_SQL = """yolo AS (
-  SELECT vec_id, list_transform(embedding[1:60], lambda x, i: abs(x::DOUBLE) * CASE WHEN i <= 48 THEN 640.0 ELSE 2.0 END) AS raw FROM embeddings
+YOLO_SQL = f"""yolo AS (
+  SELECT vec_id, list_transform(list_append(embedding, embedding[1]), lambda x, i: abs(x::DOUBLE) * CASE WHEN i <= {BOXED} THEN 640.0 ELSE 2.0 END) AS raw FROM embeddings
 )"""
+
+#: Photos made of embeddings: rows, columns. A tile of 8 x 8 values is repeated, scaled by 1, 2 or 3 from tile to tile; blue, green
+#: and red are 31 apart.
+HIGH, WIDE = 48, 40
+
+
+def _tile() -> Column:
+    return F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 0.6) * 200))).cast("int"))
+
+
+def _hex_bytes(upwards: bool) -> Column:
+    """Bytes of the photo as hex, blue first; ``upwards``: the last row first. The tile is computed once a row."""
+    return F.get(F.transform(F.array(_tile()), lambda tile: _hex_of(tile, upwards)), F.lit(0))
+
+
+def _hex_of(tile: Column, upwards: bool) -> Column:
+
+    def value(k: Column) -> Column:
+        row, x, c = F.floor(k / (3 * WIDE)), F.floor(k / 3) % WIDE, k % 3
+        y = HIGH - 1 - row if upwards else row
+        scale = 1 + (F.floor(y / 8) + 2 * F.floor(x / 8)) % 3
+        return (F.get(tile, ((y % 8) * 8 + x % 8).cast("int")) * scale + 31 * c) % 256
+
+    each = F.transform(F.sequence(F.lit(0), F.lit(3 * WIDE * HIGH - 1)), lambda k: F.lpad(F.hex(value(k)), 2, "0"))
+    return F.array_join(each, "")
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, image`` as the image source gives it."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding")
+    image = F.struct(
+        F.lit("").alias("origin"), F.lit(HIGH).alias("height"), F.lit(WIDE).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"),
+        F.unhex(_hex_bytes(False)).alias("data"),
+    )
+    return e.select("image_id", F.explode(F.array(image)).alias("image"))  # made once, whatever reads it
+
+
+def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, preview_data``: the same photos as BMP files."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding")
+    size = 3 * WIDE * HIGH
+    parts = [(b"BM").hex(), *((n.to_bytes(k, "little")).hex() for n, k in ((54 + size, 4), (0, 4), (54, 4), (40, 4), (WIDE, 4), (HIGH, 4), (1, 2), (24, 2), (0, 4), (size, 4), (2835, 4), (2835, 4), (0, 4), (0, 4)))]
+    return e.select("image_id", F.unhex(F.concat(F.lit("".join(parts)), _hex_bytes(True))).alias("preview_data"))
+
+
+PATCHES_SQL = f"""patches AS (
+  SELECT vec_id AS image_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings
+), tile AS (
+  SELECT image_id, n // 8 AS ty, n % 8 AS tx, least(255, greatest(0, floor((e::DOUBLE + 0.6) * 200)))::BIGINT AS t FROM patches
+), grid AS (
+  SELECT y, x, y % 8 AS ty, x % 8 AS tx FROM unnest(range({HIGH})) AS a(y), unnest(range({WIDE})) AS b(x)
+), base AS (
+  SELECT image_id, y, x, t * (1 + (y // 8 + 2 * (x // 8)) % 3) AS v FROM tile JOIN grid USING (ty, tx)
+), px AS (
+  SELECT image_id, y, x, v % 256 AS b, (v + 31) % 256 AS g, (v + 62) % 256 AS r FROM base
+), gray AS (
+  SELECT image_id, y, x, (2126 * r + 7152 * g + 722 * b) // 10000 AS v FROM px
+)"""
+
+#: Segments before the frame header of a preview, by ``image_id % 4``, as hex; the last two are no JPEG.
+HEADS = ["ffd8", "ffd8ffe000046162ffff", "6162", ""]
+
+
+def jpeg_headers(captures_df: DataFrame) -> DataFrame:
+    side = lambda m: F.lpad(F.hex(F.col("image_id") % m + 1), 4, "0")
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("image_id") % 4 + 1).cast("int"))
+    return captures_df.select("image_id", F.unhex(F.concat(head, F.lit("ffc0001108"), side(500), side(700), F.lit("03" * 12))).alias("preview_data"))

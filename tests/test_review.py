@@ -93,6 +93,17 @@ def test_fold_random(spark):
         assert fold(spark, presses, range(1, 7), 4, verdicts) == state
 
 
+def test_fold_of_large_ids(spark):
+    """Ids beyond 53 bits beside scenes without a keeper."""
+    big = 2**60 + 1
+    scenes = spark.createDataFrame([(1, 1, big), (1, 2, big + 1), (2, 1, big + 2)], SCENES)
+    scores = spark.createDataFrame([(big, "keeper"), (big + 1, "unrated"), (big + 2, "unrated")], "image_id long, verdict string")
+    actions = spark.createDataFrame([(1, big + 1, "K"), (2, big + 2, "X")], "seq long, image_id long, action string")
+    keepers = spark.createDataFrame([(1, big), (2, None)], "scene_id long, keeper_id long")
+    got = {r["image_id"]: r["override"] for r in review.fold_review_actions(actions, scenes, scores, keepers).collect()}
+    assert got == {big: "unrated", big + 1: "keeper", big + 2: "reject"}
+
+
 def test_keeper_taken_away(spark):
     scenes = one_scene(spark, [1, 2])
     keepers = spark.createDataFrame([(1, 1)], "scene_id long, keeper_id long")
@@ -128,9 +139,10 @@ def test_sidecar_text():
 def test_write_sidecars(spark, tmp_path):
     rows = [(1, f"{tmp_path}/A.CR2", "keeper"), (2, f"{tmp_path}/A.DNG", "reject"), (3, f"{tmp_path}/B.NEF", "unrated"), (4, f"{tmp_path}/none/C.NEF", "keeper")]
     entries = spark.createDataFrame(rows, "image_id long, raw_file_path string, verdict string")
-    done = export.export_summary(export.write_xmp_sidecars(entries)).first()
-    assert (done["files_written"], done["files_skipped"]) == (2, 1)
-    assert done["errors"] == [f"{tmp_path}/none/C.xmp: No such file or directory"]
+    images = entries.select("image_id", F.col("raw_file_path").alias("file_path"))
+    summary, errors = export.export_xmp(images, entries.select("image_id", "verdict"))
+    assert summary.first().asDict() == {"files_written": 2, "files_skipped": 1, "n_errors": 1}
+    assert [r["error"] for r in errors.collect()] == [f"{tmp_path}/none/C.xmp: No such file or directory"]
     assert sorted(os.listdir(tmp_path)) == ["A.xmp"]
     assert (tmp_path / "A.xmp").read_text() == export.xmp_text("reject")
 
@@ -144,8 +156,9 @@ def test_previews_written(spark, tmp_path):
 def test_manifest_round_trip(spark, tmp_path):
     photos = spark.createDataFrame([(1, 0, None, 2.0, True, True, 0), (2, 1, None, 1.0, False, True, 0), (3, 99999, None, 3.0, True, False, 0)], "image_id long, ts_ms long, phash long, sharpness_score double, has_face boolean, blink_detected boolean, s long")
     done = cull_scored(photos, CullConfig(), ["s"])
-    kept = done.verdicts.select("image_id", "sharpness_score", "has_face", "blink_detected", F.lit(None).cast("double").alias("eye_aspect_ratio"), "verdict", "reject_reason")
-    text = export.manifest_json(done.scenes.drop("s"), done.keepers, kept, done.totals, 1.5).first()["json"]
+    kept = done.verdicts.select("image_id", "sharpness_score", "has_face", "blink_detected", F.lit(None).cast("double").alias("eye_aspect_ratio"), "verdict", "reject_reason", "s")
+    text = export.manifests(done.scenes, done.keepers, kept, ["s"], 1.5).first()["json"]
+    assert text.startswith('{\n  "total_images"')
     doc = json.loads(text)
     assert doc["total_images"] == 3 and doc["total_scenes"] == 2 and doc["total_keepers"] == 2
     assert [s["verdict"] for s in doc["image_scores"]] == ["Keeper", {"Reject": {"reason": "Blink"}}, "Keeper"]
@@ -154,7 +167,7 @@ def test_manifest_round_trip(spark, tmp_path):
     assert sorted(map(tuple, scenes.collect())) == [(1, 1, 1, 1), (1, 2, 2, 1), (2, 1, 3, 3)]
     assert [r["verdict"] for r in scores.orderBy("image_id").collect()] == ["keeper", "reject", "keeper"]
     assert totals.first()["processing_time_secs"] == 1.5
-    export.write_manifest(str(tmp_path / "big"), done.scenes, done.keepers, kept)
+    export.write_manifest(str(tmp_path / "big"), done.scenes, done.keepers, kept.drop("s"))
     assert spark.read.json(str(tmp_path / "big/scenes")).count() == 2
     assert '"verdict":{"Reject":{"reason":"Blink"}}' in "".join(r[0] for r in spark.read.text(str(tmp_path / "big/image_scores")).collect())
 
@@ -165,6 +178,11 @@ def test_verdict_label(spark):
     assert got == ["keeper", "reject", "unrated", "unrated", "unrated", "unrated"]
 
 
+def test_metrics(spark):
+    row = report.metrics(spark.createDataFrame([(8,)], "images long"), 4.0).first()
+    assert (row["processing_time_secs"], row["ms_per_image"]) == (4.0, 500.0)
+
+
 def test_throughput():
     assert report.throughput(8.0, 0) == 8000 and report.throughput(8.0, 8) == 1000
 

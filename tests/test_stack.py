@@ -101,6 +101,24 @@ def test_long_cluster_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_null_and_large_keys(spark):
+    """Photos without a shoot are a shoot, and ids beyond 53 bits stay whole beside nulls."""
+    big = 2**60 + 1
+    rows = [(1, 0, 0, None), (2, 10, -1, None), (3, 20, -1, None), (4, 0, 0, big), (5, 10, 0, big), (6, 10, 0, big + 1), (7, None, 0, None), (8, 90_000, 0, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert scenes(df) == [[1], [4, 5], [2, 3], [6], [8], [7]]
+    assert {(r["shoot"], r["image_id"]) for r in stack.stack_scenes(df, 3.0, 14, ["shoot"]).collect()} == {(r[3], r[0]) for r in rows}
+
+
+@pytest.mark.parametrize("by", [[], ["shoot"]])
+def test_windows_are_over_buckets(spark, by):
+    """No window of a stacking plan is over a whole shoot but those over the table of buckets."""
+    df = photos(spark, [(i, i * 40_000_000) for i in range(10)])
+    plan = stack.time_clusters_stitched(df, 3.0, by)._jdf.queryExecution().executedPlan().toString()
+    specs = [x.split(")")[0] for x in plan.split("windowspecdefinition(")[1:]]
+    assert specs and all("_bucket" in x for x in specs)
+
+
 def test_no_task_over_all_rows(spark):
     df = photos(spark, [(i, i) for i in range(10)])
     plan = stack.time_clusters_global(df, 3.0)._jdf.queryExecution().executedPlan().toString()

@@ -86,8 +86,7 @@ def test_eye_region_agrees_with_pixels(spark):
     for _ in range(12):
         b = [float(v) for v in rng.uniform(-40, 150, 4)]
         r = one(spark, F.coalesce(vision.eye_region(box(*b), F.lit(120), F.lit(90)), vision.center_region(F.lit(120), F.lit(90))))
-        image = {"height": 90, "width": 120, "nChannels": 3, "data": rgb.tobytes()}
-        got = vision._focus(image, dict(zip(("x", "y", "width", "height"), b, strict=True)))
+        got = vision._focus(rgb, dict(zip(("x", "y", "width", "height"), b, strict=True)))
         assert got[0] == pytest.approx(imaging.crop_sharpness(imaging.to_gray(rgb), *r)[0])
 
 
@@ -164,10 +163,9 @@ def test_cull_of_images(spark, tmp_path):
     def mesher():
         return lambda x: np.tile(closed, (len(x), 1))
 
-    floats = T.ArrayType(T.FloatType())
-    detect = vision.score_with_model(detector, floats, [3, 640, 640], 2)
-    eyes = vision.score_with_model(mesher, floats, [192, 192, 3], 2)
-    features = analyze_images(images, CullConfig(), detect, 5, 1, eyes)
+    features = analyze_images(images, CullConfig(), detector, 5, 1, mesher, 2)
+    plan = features._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython [") + plan.count("ArrowEvalPython(") <= 2 and plan.count("image") and plan.count("FileScan") == 1, plan
     got = {r["image_id"]: r for r in features.collect()}
     assert got[1]["has_face"] and got[1]["blink_detected"] and got[1]["sharpness_score"] > got[2]["sharpness_score"] == 0
     assert not got[3]["has_face"] and not got[3]["blink_detected"] and got[3]["phash"] is None
