@@ -1,44 +1,19 @@
-"""What the operators of this folder share: tables in the shared folder, and column helpers."""
+"""What the operators of this folder share: column helpers, and the tables of the shared folder (``burstpick.tables``)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
-WHITE = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` where it is set, else a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from burstpick.tables import discard, shared_dir, written
 
+__all__ = ["WHITE", "arrow_rows", "boxed", "discard", "let", "read", "shared_dir", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: the lineage ends here, and a lost executor
-    costs no more than a read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_to = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables from ``written`` that nothing reads any more."""
-    for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+#: The characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -124,10 +124,15 @@ def quality_rules(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns. The texts are read twice and never shuffled."""
-    stats = docs.select(F.col("source").alias("host"), document_stats(F.col("text")).alias("s"))
-    stats = written(stats.select("host", *[f"s.{c}" for c in STATS]), "quality")
-    hosts = host_verdicts(stats, max_rate).filter(~F.col("host_kept")).select(F.col("host").alias("_host"))
-    rows = docs.select(boxed(docs), F.col("source").alias("_source"), document_stats(F.col("text")).alias("_s"))
-    good = rows.filter((F.col("_s.n_words") >= MIN_WORDS) & (100 * F.col("_s.n_repeat_words") <= MAX_REPEAT_PCT * F.col("_s.n_words")))
-    return good.join(hosts, F.col("_source").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
+    """The rows of ``docs`` that pass, with all their columns.
+
+    The rules run once: a table holds each row's host and stats, and the row itself where it has not failed. Condemned hosts
+    are a table too, so that Spark knows its size and, while that is small, broadcasts it; the texts are shuffled only
+    beside more condemned hosts than a broadcast may hold."""
+    rows = docs.select(boxed(docs), F.col("source").alias("_host"), document_stats(F.col("text")).alias("_s"))
+    rows = rows.select("_row", F.col("_host").alias("host"), *[f"_s.{c}" for c in STATS]).withColumn("_row", F.when(~base_failed(), F.col("_row")))
+    judged = written(rows, "judged")
+    condemned = host_verdicts(judged.select("host", *STATS), max_rate).filter(~F.col("host_kept"))
+    condemned = written(condemned.select(F.col("host").alias("_host")), "condemned")
+    good = judged.select("_row", "host").filter(F.col("_row").isNotNull())
+    return good.join(condemned, F.col("host").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
