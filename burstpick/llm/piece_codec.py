@@ -1,9 +1,9 @@
 """SentencePiece encoding with N best segmentations, and decoding.
 
-The N best paths of a unit come from A-star over its piece lattice (``unigram``); those of a text are the best
-combinations of its units' paths. Only the ``N - 1`` units whose second path costs least (the earlier one where two cost
-the same) can leave their best path in an N best path of the text, so only their combinations are compared. Equal
-costs: the paths are compared unit by unit from the last one, by the rank of the unit's path.
+Forward Viterbi gives each unit its best path and what the next one costs more. Only the ``N - 1`` units where that is least (the
+earlier one where two cost the same) can leave their best path in an N best path of the text; their N best paths come from
+A-star over the piece lattice, with the forward scores as exact heuristic (``unigram``), and the text's are the best
+combinations of those. Equal costs: the paths are compared unit by unit from the last one, by the rank of the unit's path.
 
 Defined cases: a null or empty text has one segmentation, the empty one; it decodes to the empty text. Repeated rows
 count each; an empty table gives an empty result; other columns are ignored.
@@ -15,7 +15,6 @@ import hashlib
 import heapq
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +27,47 @@ from burstpick.llm.unigram import Memo, Vocabulary, default_vocabulary, vocabula
 #: Segmentations of a text.
 N_BEST = 3
 #: Units that a worker remembers (twice as many at most), and bytes of ids that it gathers before it hands them on.
-CACHE, HELD = 120_000, 8 << 20
-_MEMOS: dict[tuple[str, int], Memo] = {}
+CACHE, HELD = 400_000, 8 << 20
+_MEMOS: dict[tuple[str, int], Paths] = {}
 
 DIGESTS = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, decoded_sha256 string"
 ENCODED = "doc_id long, rank int, score double, n_pieces long, ids binary"
 
 
-def combined(paths: list[list[tuple[float, bytes]]], n: int) -> list[tuple[float, bytes]]:
-    """The ``n`` best ways to take one path of each list, as score and ids."""
-    total = float(sum(p[0][0] for p in paths))
-    best = [p[0][1] for p in paths]
-    free = heapq.nsmallest(n - 1, ((p[0][0] - p[1][0], at) for at, p in enumerate(paths) if len(p) > 1)) if n > 1 else []
-    free = sorted(at for _, at in free)
-    ways = [(sum(paths[at][0][0] - paths[at][r][0] for at, r in zip(free, way, strict=True)), way[::-1], way) for way in product(*(range(len(paths[at])) for at in free))]
-    out = []
-    for cost, _, way in heapq.nsmallest(n, ways):
-        for at, r in zip(free, way, strict=True):
-            best[at] = paths[at][r][1]
-        out.append((total - cost, b"".join(best)))
-    return out
+class Paths:
+    """What a worker remembers of units: of each the best path and the next one's cost, and of a few their ``n`` best paths."""
+
+    def __init__(self, words: Vocabulary, n: int):
+        self.n, self.words = n, words
+        self.first = Memo(words.best_two, CACHE)
+        self.all = Memo(lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, n)], CACHE // 10)
 
 
-def path_memo(words: Vocabulary, n: int) -> Memo:
-    """Unit -> score and ids (little-endian unsigned 32-bit) of its ``n`` best paths."""
-    return Memo(lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in words.n_best(u, n)], CACHE)
+def combined(paths: list[list[tuple[float, bytes]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The ``n`` cheapest ways to take one path of each list: what each costs more than the best ones, and its ranks. Taken list by
+    list, keeping the ``n`` best so far."""
+    ways = [(0.0, ())]  # cost, ranks from the last list to the first
+    for own in paths:
+        ways = heapq.nsmallest(n, ((cost + own[0][0] - score, (r, *way)) for cost, way in ways for r, (score, _) in enumerate(own)))
+    return [(cost, way[::-1]) for cost, way in ways]
 
 
-def encode_text(text: str, words: Vocabulary, memo: Memo, n: int) -> list[tuple[float, bytes]]:
+def encode_text(text: str, paths: Paths) -> list[tuple[float, bytes]]:
     """Score and ids of the ``n`` best segmentations, best first."""
-    return combined(list(map(memo.__getitem__, words.units(text))), n)
+    units, n = paths.words.units(text), paths.n
+    found = list(map(paths.first.__getitem__, units))
+    if not found:
+        return [(0.0, b"")]
+    scores, ids, gaps = map(list, zip(*found, strict=True))
+    total = float(sum(scores))
+    free = sorted(at for gap, at in heapq.nsmallest(n - 1, zip(gaps, range(len(gaps)), strict=True)) if gap < float("inf"))
+    own = [paths.all[units[at]] for at in free]
+    out = []
+    for cost, way in combined(own, n):
+        for at, r, choice in zip(free, way, own, strict=True):
+            ids[at] = choice[r][1]
+        out.append((total - cost, b"".join(ids)))
+    return out
 
 
 def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
@@ -82,10 +92,10 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
 def _encoded(batch: pa.RecordBatch, path: str, n: int) -> Iterator[tuple[int | None, int, float, bytes]]:
     words = vocabulary(path)
     if (path, n) not in _MEMOS:
-        _MEMOS[path, n] = path_memo(words, n)
+        _MEMOS[path, n] = Paths(words, n)
     memo = _MEMOS[path, n]
     for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-        for rank, (score, ids) in enumerate(encode_text(text.as_py() or "", words, memo, n), 1):
+        for rank, (score, ids) in enumerate(encode_text(text.as_py() or "", memo), 1):
             yield doc_id.as_py(), rank, score, ids
 
 

@@ -15,11 +15,14 @@ import heapq
 import re
 from collections.abc import Iterable
 from functools import cached_property
+from itertools import chain
 
 MARK = "▁"
 #: Stands in units for a MARK of the text itself, which is no blank: it is unknown there.
 LITERAL = "\U0010fffe"
 UNKNOWN_COST = 10.0
+#: Below every score.
+NONE = float("-inf")
 #: Longest unit that is remembered, in characters.
 REMEMBERED = 64
 
@@ -59,6 +62,8 @@ class Vocabulary:
         self.pieces = {model.id_to_piece(i): (i, float(model.get_score(i))) for i in kept if not model.is_byte(i)}
         #: Bytes that an id stands for.
         self.spelled = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        #: Ids as bytes.
+        self.coded = {i: i.to_bytes(4, "little") for i in self.spelled}
         self.cut = self.units_of(self.pieces)
 
     @staticmethod
@@ -125,6 +130,48 @@ class Vocabulary:
             pieces.append(n)
         return pieces[-1], best[-1]
 
+    def best_two(self, unit: str) -> tuple[float, bytes, float]:
+        """Score and ids (little-endian unsigned 32-bit) of the unit's best path, and how much more the second one costs (infinite:
+        there is none): forward Viterbi that carries the two best scores of each place."""
+        unit = unit.replace(MARK, LITERAL).replace(" ", MARK)
+        n, unknown = len(unit), self.unknown
+        best, second, starts, last_ids = [0.0] * (n + 1), [NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        end, top, runner, size, start, own_id = 0, NONE, NONE, 0, 0, -1
+        for last, (length, score, i) in chain(self.automaton.iter(unit), ((n, (0, 0.0, 0)),)):
+            while end < last:  # no more pieces end behind this character
+                if size != 1:  # the shortest comes last
+                    own = best[end] + unknown
+                    if own > top:
+                        other = second[end] + unknown
+                        runner = top if top > other else other
+                        top, start, own_id = own, end, -1
+                    elif own > runner:
+                        runner = own
+                end += 1
+                best[end], second[end], starts[end], last_ids[end] = top, runner, start, own_id
+                top, runner, size = NONE, NONE, 0
+            if last == n:
+                break
+            size, at = length, last + 1 - length
+            own = best[at] + score
+            if own > top:
+                other = second[at] + score
+                runner = top if top > other else other
+                top, start, own_id = own, at, i
+            elif own > runner:
+                runner = own
+        ids, end = [], n
+        while end:
+            start, i = starts[end], last_ids[end]
+            ids.append(self.coded[i] if i >= 0 else self.spelling(unit[start]))
+            end = start
+        ids.reverse()
+        return best[n], b"".join(ids), best[n] - second[n]
+
+    def spelling(self, char: str) -> bytes:
+        """Ids of the bytes of an unknown character."""
+        return b"".join(self.coded[self.bytes[x]] for x in (MARK if char == LITERAL else char).encode())
+
     @staticmethod
     def n_bytes(char: str) -> int:
         return len((MARK if char == LITERAL else char).encode())

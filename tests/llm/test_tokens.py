@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from itertools import product
 
 import brute
 import numpy as np
@@ -19,7 +20,7 @@ def words():
 
 @pytest.fixture(scope="module")
 def reference():
-    """The same vocabulary and scores under the unigram model of the ``tokenizers`` library."""
+    """The same vocabulary and scores under the unigram model of the ``tokenizers`` library, over the lattice of the whole text."""
     import sentencepiece
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -27,7 +28,7 @@ def reference():
     special = lambda i: model.is_control(i) or model.is_unknown(i)
     vocab = [(f"\U0010ffff{i}", 0.0) if special(i) else (model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
     t = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram.MARK, prepend_scheme="never", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram.MARK, prepend_scheme="never", split=False)
     return lambda text: t.encode(unigram.MARK + text.replace(" ", unigram.MARK), add_special_tokens=False).ids if text else []
 
 
@@ -44,11 +45,11 @@ def ids(data):
 def test_best_path_is_the_tokenizer_s(words, reference, duck):
     texts = random_texts(800) + [r[0] for r in duck.sql("SELECT text FROM documents WHERE text IS NOT NULL LIMIT 60").fetchall()]
     memo = unigram.Memo(words.count, 50)
-    paths = piece_codec.path_memo(words, 1)
+    paths = piece_codec.Paths(words, 1)
     for text in texts:
         want = reference(text)
         assert sum(memo[u][0] for u in words.units(text)) == len(want)
-        assert ids(piece_codec.encode_text(text, words, paths, 1)[0][1]) == want
+        assert ids(piece_codec.encode_text(text, paths)[0][1]) == want
 
 
 def all_paths(words, unit):
@@ -80,15 +81,39 @@ def test_n_best_of_a_unit(words):
         assert [s for s, _ in got] == pytest.approx([-s for s, _, _ in want])
 
 
+def test_best_two(words):
+    rng = random.Random(14)
+    for _ in range(200):
+        unit = rng.choice([" ", "", "   "]) + "".join(rng.choices("anthei中", k=rng.randint(1, 8)))
+        paths = words.n_best(unit, 2)
+        score, own, gap = words.best_two(unit)
+        assert (score, ids(own)) == paths[0]
+        assert gap == (paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf"))
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_combined(n):
+    rng = random.Random(n)
+    paths = [[(-float(c), b"") for c in sorted(rng.choices(range(6), k=rng.randint(1, 4)))] for _ in range(4)]
+    ways = sorted((sum(p[0][0] - p[r][0] for p, r in zip(paths, way, strict=True)), way[::-1]) for way in product(*(range(len(p)) for p in paths)))
+    assert piece_codec.combined(paths, n) == [(c, w[::-1]) for c, w in ways[:n]]
+
+
+def test_many_segmentations_are_quick(words):
+    """Ten words, eight ways: no list of all combinations."""
+    found = piece_codec.encode_text("and the thing in the other hand is then there", piece_codec.Paths(words, 12))
+    assert len(found) == 12 and len({i for _, i in found}) == 12 and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
 def test_n_best_of_a_text(words):
-    memo = piece_codec.path_memo(words, 4)
+    memo = piece_codec.Paths(words, 4)
     rng = random.Random(5)
     for _ in range(60):
         text = " ".join("".join(rng.choices("anthe.,", k=rng.randint(1, 3))) for _ in range(rng.randint(1, 4)))
         scores = [0.0]
         for unit in words.units(text):
             scores = [a - s for a in scores for s, _, _ in all_paths(words, unit)]
-        got = piece_codec.encode_text(text, words, memo, 4)
+        got = piece_codec.encode_text(text, memo)
         assert [s for s, _ in got] == pytest.approx(sorted(scores, reverse=True)[:4])
         assert len({i for _, i in got}) == len(got)
         assert all(words.decode(ids(i)) == text for _, i in got)
@@ -161,37 +186,23 @@ def test_packing_edges(spark, edges):
     assert best_fit.best_fit(edges.limit(0)).count() == 0
 
 
-@pytest.fixture(scope="module")
-def whole():
-    """As ``reference``, over the lattice of the whole text."""
-    import sentencepiece
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    model = sentencepiece.SentencePieceProcessor(model_file=unigram.default_vocabulary())
-    special = lambda i: model.is_control(i) or model.is_unknown(i)
-    vocab = [(f"\U0010ffff{i}", 0.0) if special(i) else (model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
-    t = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram.MARK, prepend_scheme="never", split=False)
-    return lambda text: t.encode(unigram.MARK + text.replace(" ", unigram.MARK), add_special_tokens=False).ids if text else []
-
-
-def test_best_path_of_the_whole_text(words, whole, duck):
+def test_best_path_of_the_whole_text(words, reference, duck):
     rng = random.Random(7)
     blanks = ["".join(rng.choice(["a", "the", "x =", "\n", "中", ""]) + " " * rng.choice([1, 2, 3, 4, 7, 16, 17, 40]) for _ in range(rng.randint(1, 6))) for _ in range(300)]
     texts = random_texts(800) + blanks + [b + "x" for b in blanks] + ["a   b", "def f():\n    return 1", "x         y", " ", " " * 9]
     texts += [r[0] for r in duck.sql("SELECT text FROM documents WHERE text IS NOT NULL LIMIT 60").fetchall()]
-    memo, paths = unigram.Memo(words.count, 50), piece_codec.path_memo(words, 1)
+    memo, paths = unigram.Memo(words.count, 50), piece_codec.Paths(words, 1)
     for text in texts:
-        want = whole(text)
+        want = reference(text)
         assert sum(memo[u][0] for u in words.units(text)) == len(want)
-        assert ids(piece_codec.encode_text(text, words, paths, 1)[0][1]) == want
+        assert ids(piece_codec.encode_text(text, paths)[0][1]) == want
 
 
 def test_n_best_over_blanks(words):
-    memo = piece_codec.path_memo(words, 3)
+    memo = piece_codec.Paths(words, 3)
     for text in ["a   b", "x    y", "   a", "a  ", "  ", "a\n   b", "a  b   c"]:
         want = [-s for s, _, _ in all_paths(words, " " + text)[:3]]
-        got = piece_codec.encode_text(text, words, memo, 3)
+        got = piece_codec.encode_text(text, memo)
         assert [s for s, _ in got] == pytest.approx(want, rel=0, abs=1e-3)
         assert len({i for _, i in got}) == 3 and all(words.decode(ids(i)) == text for _, i in got)
 
