@@ -7,9 +7,14 @@ most significant one downward they give the k-th best score, then all rows whose
 dropped bits. Those boundary rows are resolved exactly. A block returns k rows a query, and the best k of the blocks
 are the result.
 
+The candidates are shuffled once for each QUERIES queries, the queries once for each block; an index is built once for all
+queries of such a group.
+
 Defined cases: a vector that is null or holds a null or non-finite component takes no part, nor does a row with a
-null vec_id. Vectors meet those of their own length. Rows of one vec_id count once (the smallest vector). Ties go to
-the smaller vec_id. Queries without candidates have no rows. Scores beyond 64 bits are held at the limits.
+null vec_id. Vectors meet those of their own length. Every row is a candidate but the query's own: rows that repeat a vec_id
+are candidates each, of one another too, and queries each (ranks start anew for each such row). Ties go to the smaller vec_id.
+Queries without candidates have no rows, and an empty table gives an empty result. Scores beyond 64 bits are held at the
+limits. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and queries that meet it in one task.
-BLOCK, QUERIES = 12_288, 1_024
+from burstpick.llm.common import discard, written
+
+#: Rows of a block, and queries that meet it in one task; a small table still gives each core a block, of LEAST_BLOCK rows or more.
+BLOCK, QUERIES, LEAST_BLOCK = 49_152, 8_192, 4_096
 #: Low bits left out of the index.
 DROP = 2
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, query_row long, vec_id long, score long"
 
 
 class SlicedIndex:
@@ -110,22 +117,22 @@ class SlicedIndex:
 
 
 def search_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
-    """FOUND: of each query its best k of the block."""
+    """FOUND: of each query its best k of the block. ``row`` tells rows apart."""
     if not len(queries) or not len(block):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    ids = block["vec_id"].to_numpy(np.int64)
-    order = np.argsort(ids)
-    ids, q_ids = ids[order], queries["vec_id"].to_numpy(np.int64)
+        return pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}, dtype="int64")
+    rows = block["row"].to_numpy(np.int64)
+    order = np.argsort(rows)
+    rows, ids = rows[order], block["vec_id"].to_numpy(np.int64)[order]
     values, wanted = np.stack(block["v"].to_numpy())[order], np.stack(queries["v"].to_numpy())
     if not values.shape[1]:
-        values, wanted = np.zeros((len(ids), 1), np.int64), np.zeros((len(q_ids), 1), np.int64)
+        values, wanted = np.zeros((len(ids), 1), np.int64), np.zeros((len(wanted), 1), np.int64)
     most = int(np.abs(values.astype(object)).max()) * int(np.abs(wanted.astype(object)).max()) * values.shape[1]
     small = most < 1 << 62
     index = SlicedIndex(values) if small else None
     out = []
-    for q_id, query in zip(q_ids, wanted, strict=True):
-        at = int(np.searchsorted(ids, q_id))
-        skip = at if at < len(ids) and ids[at] == q_id else None
+    for q_id, q_row, query in zip(queries["vec_id"], queries["row"], wanted, strict=True):
+        at = int(np.searchsorted(rows, q_row))
+        skip = at if at < len(rows) and rows[at] == q_row else None
         if small:
             places = index.top(query, k, skip)
             scores = values[places] @ query
@@ -133,8 +140,8 @@ def search_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataF
             places = np.array([i for i in range(len(ids)) if i != skip], np.int64)
             scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in values[places].astype(object) @ query.astype(object)], np.int64)
         best = np.lexsort((ids[places], -scores.astype(object) if not small else -scores))[:k]
-        out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[places[best]], "score": scores[best]}))
-    return pd.concat(out, ignore_index=True)
+        out.append((np.full(len(best), q_id), np.full(len(best), q_row), ids[places[best]], scores[best]))
+    return pd.DataFrame(dict(zip(("query_id", "query_row", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
 def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -142,15 +149,19 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
     rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite)
-    rows = rows.select("vec_id", whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    rows = rows.select("vec_id", whole.alias("v"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "vectors")  # so that each row keeps its number
     is_query = F.col("vec_id") % every == 0
     n, n_q = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-n_q // QUERIES))
-    deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks, groups = max(1, -(-n // BLOCK), min(cores, n // LEAST_BLOCK)), max(1, -(-n_q // QUERIES))
+    deal = lambda m: F.pmod(F.xxhash64("row"), F.lit(m))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
-    by_block = rows.select("vec_id", "v", "dim", deal(blocks).alias("block"), each(groups).alias("q_group"))
-    by_query = rows.filter(is_query).select("vec_id", "v", "dim", each(blocks).alias("block"), deal(groups).alias("q_group"))
+    by_block = rows.select("vec_id", "row", "v", "dim", deal(blocks).alias("block"), each(groups).alias("q_group"))
+    by_query = rows.filter(is_query).select("vec_id", "row", "v", "dim", each(blocks).alias("block"), deal(groups).alias("q_group"))
     keys = ["dim", "block", "q_group"]
     found = by_query.groupBy(keys).cogroup(by_block.groupBy(keys)).applyInPandas(lambda q, b: search_block(q, b, k), FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    found = written(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
+    discard(rows)
+    return found

@@ -144,11 +144,11 @@ def test_components(spark):
 
 
 def top(rows, k, every):
-    vs = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    vs = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in vs:
+    for n_q, (q, own) in enumerate(vs):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(vs[q], v, strict=True)), i) for i, v in vs.items() if i != q and len(v) == len(vs[q]))[:k]
+            best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for n, (i, v) in enumerate(vs) if n != n_q and len(v) == len(own))[:k]
             out += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -156,11 +156,13 @@ def top(rows, k, every):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_top_k(spark, seed, monkeypatch):
     monkeypatch.setattr(exact_topk, "BLOCK", 70)
+    monkeypatch.setattr(exact_topk, "LEAST_BLOCK", 30)
     monkeypatch.setattr(exact_topk, "QUERIES", 4)
     rng = np.random.default_rng(seed)
     rows = [(i, rng.normal(0, 0.12, 16).tolist()) for i in range(300)]
     rows += [(i, [round(float(x), 1) for x in rng.normal(0, 0.1, 16)]) for i in range(300, 400)]  # ties
     rows += [(400, [0.0] * 16), (401, None), (402, [None] + [1.0] * 15), (403, [float("nan")] + [1.0] * 15), (404, [float("inf")] * 16), (410, [0.5] * 3), (420, [0.25] * 3), (None, [1.0] * 16), (430, [])]
+    rows += [(7, [0.9] * 16), (10, [0.8] * 16), (10, [0.8] * 16), (10, rows[10][1])]  # ids and rows that repeat
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("v", F.lit("clash"))
     got = sorted(tuple(r) for r in exact_topk.exact_topk(df, 5, 10).select("query_id", "rank", "vec_id", "score").collect())
     assert got == top([(i, v if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows], 5, 10)
