@@ -4,7 +4,9 @@ A set links with another when ``100 * intersection >= percent * union``. The joi
 
 1. Sets are 64-bit shingle hashes. Equal sets (told by a 128-bit digest) become one class, a node of the join. All sets
    are read in one order: shingles whose hash is 0 modulo ``LEVELS`` come first, the rarest of them first; then the
-   others by hash. Only the first ones (a quarter) need counting, over all documents.
+   others by hash; last those that very many documents hold, by hash, such as the words of a common passage. Only the first ones
+   (a quarter) need counting, over all documents; which ones are common a table of counts by leading bits of the hash tells,
+   also over all documents. Any order that is the same for all sets gives the same result.
 2. A set of n shares at least ``ceil(percent * n / 100)`` shingles with any it links with. So of its first
    ``n - that + 1`` shingles it shares one, and of one more than those it shares two. Shingles of one class fill the
    first places and drop out. Large sets give each of the rest as an inverted-list entry; small sets give every pair
@@ -14,8 +16,9 @@ A set links with another when ``100 * intersection >= percent * union``. The joi
    by bitmaps of the two sets (a bit that only one of them has is a shingle that only it has, which bounds the
    overlap from above), then by the overlap itself. What they link are components already.
 4. Where a list still holds nodes of several components, those of different ones meet: as rows where the list is short, in
-   blocks of bounded size where it is long (lists of the same nodes are one list). A block pair counts the
-   overlap of all its pairs exactly and returns the components of its true links, as a star around the smallest.
+   blocks of bounded size where it is long. Long lists that share their node of the smallest hash are scanned as one: near
+   copies share many lists, each of nearly the same nodes. A block pair counts the overlap of all its pairs exactly and
+   returns the components of its true links, as a star around the smallest.
    So every pair with a signature in common is decided or connected already, and copies are not paired with each other.
 5. The components of all true links, and of the classes that share a doc_id, are the result.
 
@@ -49,6 +52,9 @@ KEY_BITS, MOST_BITS = 8, 28
 LONG_LIST, BLOCK_DOCS, BLOCK_SHINGLES = 24, 512, 1 << 18
 #: Rows of a table of ids that is broadcast (8 bytes each).
 MOST_IDS = 4_000_000
+#: A shingle is common from so many times the mean count of a value of its leading bits on, and from so many more; and the
+#: most leading bits (4 M values, 4 MB of flags).
+HOT, HOT_LEAST, MOST_COUNTERS = 2, 8, 22
 #: Words whose hashes a worker remembers.
 CACHE = 500_000
 
@@ -106,21 +112,51 @@ def boundary(mean_list: float, percent: int, most: int = 256) -> int:
     return out
 
 
-def leading(h: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Of a set's shingles, those that its first ``n - least + 2`` are among, and how many of them are of the first part."""
+def leading(h: np.ndarray, percent: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """Of a set's shingles, those that its first ``n - least + 2`` are among, and how many of them are of the first part. ``hot``
+    marks the shingles that come last."""
     n = len(h)
     need = n - int(least_shared(n, percent)) + 2
     if need < 2:
         return h[:0], 0
     level = h % np.uint64(LEVELS)
+    if hot is not None and hot.any():
+        level = np.where(hot, np.uint64(LEVELS), level)
     first = h[level == 0]
     if len(first) < need:
-        rest = h[level != 0]
-        order = np.lexsort((rest, rest % np.uint64(LEVELS)))
+        rest, level = h[level != 0], level[level != 0]
+        order = np.lexsort((rest, level))
         return np.concatenate([first, rest[order[: need - len(first)]]]), len(first)
     return first, len(first)
 
 
+def _hot(docs: DataFrame, k: int) -> tuple[Broadcast[np.ndarray], int]:
+    """A flag for each value of the leading bits of a shingle's hash, and their number: whether its shingles stand in more than
+    HOT times as many documents as those of a value do on average. The counts are over all documents, one for about each
+    document; a task sums its own before the shuffle."""
+    bits = min(MOST_COUNTERS, max(8, docs.count().bit_length()))
+
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                sets = [shingles(x, k) for x in batch["text"].slice(at, 1024).to_pylist()]
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        held = np.flatnonzero(counts)
+        for at in range(0, len(held), 1 << 16):
+            own = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], names=["value", "n"])
+
+    sums = docs.select("text").mapInArrow(of_partition, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    sums = written(sums, "counts")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    found = np.zeros(1 << bits, bool)
+    for row in sums.filter(F.col("n") > HOT * total / (1 << bits) + HOT_LEAST).select("value").toLocalIterator():
+        found[row["value"]] = True  # fewer than 1 in HOT of at most 2 ** MOST_COUNTERS values
+    discard(sums)
+    return docs.sparkSession.sparkContext.broadcast(found), bits
+
+
 def bitmap(h: np.ndarray) -> np.ndarray:
     """A bit for each shingle, by its lowest bits, in 64-bit words: a power of two of them, two to four bits a shingle."""
     bits = max(64, min(1 << 16, 1 << int(2 * len(h) - 1).bit_length())) if len(h) else 64
@@ -131,6 +167,7 @@ def bitmap(h: np.ndarray) -> np.ndarray:
 
 def _survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``doc_id, n, digest, lead, n_first, bits`` of each document: its set's size and digest, ``leading``, ``bitmap``."""
+    hot, bits = _hot(docs, k)
     longs = pa.list_(pa.int64())
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("lead", longs), ("n_first", pa.int64()), ("bits", longs)])
 
@@ -141,7 +178,7 @@ def _survey(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x, k) for x in batch["text"].to_pylist()]
-            lead = [leading(s, percent) for s in sets]
+            lead = [leading(x, percent, hot.value[(x >> np.uint64(64 - bits)).astype(np.int64)]) for x in sets]
             digest = [digest_of(s) if len(s) else None for s in sets]
             columns = [
                 batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
@@ -303,14 +340,18 @@ def _entries(docs: DataFrame, survey: DataFrame, classes: DataFrame, percent: in
             lead = batch["lead"]
             flat = lead.flatten().to_numpy()
             passes = _passes(maybe.value, bits, flat)
-            row = pa.array(np.repeat(np.arange(len(batch)), lead.value_lengths().to_numpy())[passes])
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(row) for c in ("cid", "n", "n_first")), pa.array(flat[passes])], names=["cid", "n", "n_first", "shingle"])
+            sizes = lead.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(batch)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rest = (place >= batch["n_first"].to_numpy()[row]).astype(np.int32)[passes]
+            row = pa.array(row[passes])
+            columns = [*(batch[c].take(row) for c in ("cid", "n", "n_first")), pa.array(rest), pa.array(flat[passes])]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "n_first", "rest", "shingle"])
 
     stands = classes.select(F.col("first").alias("doc_id"), "digest", "cid")
     leads = survey.filter(_known()).select("doc_id", "digest", "n", "n_first", "lead").join(stands, ["doc_id", "digest"])
-    leads = leads.select("cid", "n", "n_first", "lead").mapInArrow(thin, "cid long, n long, n_first long, shingle long")
-    rest = F.when(F.pmod(F.col("shingle"), F.lit(LEVELS)) == 0, 0).otherwise(1).alias("rest")  # LEVELS divides 2 ** 64
-    leads = leads.join(held, "shingle").groupBy("cid", "n", "n_first").agg(F.collect_set(F.struct(rest, "df", "shingle")).alias("shared"))
+    leads = leads.select("cid", "n", "n_first", "lead").mapInArrow(thin, "cid long, n long, n_first long, rest int, shingle long")
+    leads = leads.join(held, "shingle").groupBy("cid", "n", "n_first").agg(F.collect_set(F.struct("rest", "df", "shingle")).alias("shared"))
     signed = leads.select("cid", "n", _prefix(F.col("shared"), F.col("n"), F.col("n_first"), percent).alias("prefix"))
     signed = written(signed.select("cid", "n", F.explode(_signatures(F.col("prefix"), F.col("n"), percent, small)).alias("signature")), "entries")
     discard(held)
@@ -340,9 +381,10 @@ def _class_links(docs: DataFrame, survey: DataFrame, classes: DataFrame, words:
     entries_of = entries.join(lists.select("signature"), "signature").join(roots, "cid", "left").select("cid", "n", "signature", F.coalesce("root", "cid").alias("root"))
     entries_of = written(entries_of, "scanned")
     mark = F.sum(F.xxhash64("cid").cast("decimal(20,0)"))
-    many = entries_of.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"), mark.alias("mark"))
-    many = written(many.filter(F.col("low") < F.col("high")).groupBy("size", "total", "mark").agg(F.min("signature").alias("signature")), "lists")
-    short, long = (many.filter(c).select("signature", "size", "total") for c in (F.col("size") < LONG_LIST, F.col("size") >= LONG_LIST))
+    hub = F.min(F.struct(F.xxhash64("cid").alias("h"), "cid"))
+    many = entries_of.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"), mark.alias("mark"), hub.alias("hub"))
+    many = written(many.filter(F.col("low") < F.col("high")).groupBy("size", "total", "mark").agg(F.min("signature").alias("signature"), F.first("hub.cid").alias("hub")), "lists")
+    short, long = (many.filter(c).select("signature", "hub") for c in (F.col("size") < LONG_LIST, F.col("size") >= LONG_LIST))
     own = entries_of.join(short.select("signature"), "signature")
     left, right = own.toDF("signature", "a", "na", "ra"), own.toDF("signature", "b", "nb", "rb")
     pairs = left.join(right, "signature").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near_in_size)
@@ -350,16 +392,19 @@ def _class_links(docs: DataFrame, survey: DataFrame, classes: DataFrame, words:
     rest = stars.join(ends("a", "ra"), "a", "left").join(ends("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     pairs = _maybe(pairs.select("a", "na", "b", "nb").distinct(), classes, percent).unionByName(rest.select("a", "na", "b", "nb"))
     pairs = written(pairs.distinct(), "pairs")
-    members = written(entries_of.join(long, "signature").select("cid", F.col("signature").alias("cluster"), "size", "total"), "members")
+    members = written(entries_of.join(long, "signature").select("cid", "n", F.col("hub").alias("cluster")).distinct(), "members")
+    together = members
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    members = members.join(sizes, "cluster").select("cid", "cluster", "size", "total")
     more = _sets(docs, classes, nodes(pairs).unionByName(members.select("cid")), words)
     links = links.unionByName(_links(pairs, more, percent)).unionByName(_long_lists(members, more, percent))
     links = written(links, "links")
-    discard(entries, lists, stars, sets, met, entries_of, many, pairs, members, more)
+    discard(entries, lists, stars, sets, met, entries_of, many, pairs, together, more)
     return links
 
 
 def _long_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within the lists ``members (cid, cluster, size, total)``: their blocks meet, all pairs of them."""
+    """Links within the clusters ``members (cid, cluster, size, total)``: their blocks meet, all pairs of them."""
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("size") / BLOCK_DOCS)).cast("int")
     met = members.select("cid", "cluster", blocks.alias("blocks")).join(sets, "cid")
     met = met.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))

@@ -73,6 +73,36 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert got == brute.near_groups(docs, 4, 85)
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_common_passages(spark, monkeypatch, hot):
+    """Long passages that many documents share, few of which are copies; and groups of near copies around the bound."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 6)
+    rng = random.Random(hot)
+    passages = [[f"p{n}w{i}" for i in range(60)] for n in range(3)]
+    docs = []
+    for _ in range(90):
+        own = [f"o{rng.randint(0, 400)}" for _ in range(rng.choice([5, 20, 60]))]
+        docs.append(" ".join(own + rng.choice(passages)))
+        if rng.random() < 0.3:
+            docs.append(docs[-1] + " more")
+    base = [f"b{i}" for i in range(120)]
+    for _ in range(60):
+        own = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 5)):
+            own[at] = f"x{rng.random()}"
+        docs.append(" ".join(own))
+    docs = list(enumerate(docs))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute.near_groups(docs, 4, 85)
+
+
+def test_exact_sets_only(spark):
+    rows = [(1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, "a b c d e f g h i"), (4, None)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_leading_shingles():
     """They hold the first places of the order; the first part alone where it is enough."""
     rng = np.random.default_rng(1)
