@@ -52,11 +52,11 @@ KEY_BITS, MOST_BITS = 8, 28
 LONG_LIST, BLOCK_DOCS, BLOCK_SHINGLES = 24, 512, 1 << 18
 #: Rows of a table of ids that is broadcast (8 bytes each).
 MOST_IDS = 4_000_000
-#: A shingle is common from so many times the mean count of a value of its leading bits on, and from so many more; and the
-#: most leading bits (4 M values, 4 MB of flags).
-HOT, HOT_LEAST, MOST_COUNTERS = 2, 8, 22
+#: A shingle is common from so many times the mean count of a value of its leading bits on, and from so many more; and how many
+#: bits those are (256 KB of flags).
+HOT, HOT_LEAST, COUNTERS = 2, 8, 18
 #: Words whose hashes a worker remembers.
-CACHE = 500_000
+CACHE = 300_000
 
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
@@ -132,9 +132,10 @@ def leading(h: np.ndarray, percent: int, hot: np.ndarray | None = None) -> tuple
 
 def _hot(docs: DataFrame, k: int) -> tuple[Broadcast[np.ndarray], int]:
     """A flag for each value of the leading bits of a shingle's hash, and their number: whether its shingles stand in more than
-    HOT times as many documents as those of a value do on average. The counts are over all documents, one for about each
-    document; a task sums its own before the shuffle."""
-    bits = min(MOST_COUNTERS, max(8, docs.count().bit_length()))
+    HOT times as many documents as those of a value do on average. The counts are over all documents; a task sums its own before
+    the shuffle, so their number grows with the tasks. The larger the input, the more a shingle must stand out; what does not is
+    left to the lists."""
+    bits = COUNTERS
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
@@ -152,7 +153,7 @@ def _hot(docs: DataFrame, k: int) -> tuple[Broadcast[np.ndarray], int]:
     total = sums.agg(F.sum("n")).first()[0] or 0
     found = np.zeros(1 << bits, bool)
     for row in sums.filter(F.col("n") > HOT * total / (1 << bits) + HOT_LEAST).select("value").toLocalIterator():
-        found[row["value"]] = True  # fewer than 1 in HOT of at most 2 ** MOST_COUNTERS values
+        found[row["value"]] = True  # fewer than 1 in HOT of 2 ** COUNTERS values
     discard(sums)
     return docs.sparkSession.sparkContext.broadcast(found), bits
 
