@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -100,3 +101,37 @@ def check_packing(rows, capacity=2048):
             at += n
         assert at <= capacity
     return len(by)
+
+
+def grams(text):
+    """Hashed 1- to 3-grams, one by one."""
+    text, out = text.lower(), []
+    for i in range(len(text)):
+        h = 0
+        for n, c in enumerate(text[i : i + 3], 1):
+            h = (h + ord(c)) * (0x9E3779B97F4A7C15 + 2 * n) % 2**64
+            out.append(h >> 50)
+    return out
+
+
+def bayes(rows):
+    """{language: (how many texts, counts of n-grams)} of rows (text, language)."""
+    out = {}
+    for text, lang in rows:
+        n, counts = out.get(lang, (0, Counter()))
+        counts.update(grams(text))
+        out[lang] = n + 1, counts
+    return out
+
+
+def language(model, text):
+    """The likeliest language, the first of several, and its probability."""
+    if not model or text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    logs = {}
+    for lang in sorted(model):
+        n, counts = model[lang]
+        total = counts.total() + 0.5 * 2**14
+        logs[lang] = math.log(n + 0.5) + math.fsum(math.log((counts[g] + 0.5) / total) for g in grams(text))
+    best = max(logs.values())
+    return next(x for x in logs if logs[x] == best), 1 / math.fsum(math.exp(x - best) for x in logs.values())

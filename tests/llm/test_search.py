@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstpick.llm import components, exact_topk, language_id, ngram_join
+from burstpick.llm.queries import QUERIES
 
 
 def test_held_out_accuracy(spark, tables, duck):
@@ -31,8 +32,36 @@ def test_language_edges(spark, edges):
     assert {r["lang_pred"] for r in language_id.language_id(edges.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = language_id.keep_known(edges)
     assert kept.columns == edges.columns and 2**60 + 1 in {r["doc_id"] for r in kept.collect()}
-    with pytest.raises(Exception, match="languages"):
-        language_id.learn(edges, max_languages=1)
+
+
+def test_language_against_plain_bayes(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    taught = [(t, x) for d, t, x in rows if zlib.crc32(str(d).encode()) % 3 != 1 and t is not None and x is not None]
+    model = brute.bayes(taught)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op4_language_id"](spark, tables).collect()}
+    assert set(got) == {d for d, _, _ in rows}
+    for d, t, _ in rows:
+        lang, score = brute.language(model, t)
+        assert got[d][0] == lang and got[d][1] == pytest.approx(score, abs=1e-6)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_more_languages_than_a_part(spark, most, monkeypatch):
+    """Short texts, of which several languages are likely: scores do not depend on the parts, nor on how much is taken at a time."""
+    monkeypatch.setattr(language_id, "BATCH", 3)
+    monkeypatch.setattr(language_id, "PRODUCT", 50)
+    rng = random.Random(most)
+    rows = [(i, "".join(rng.choices(letters, k=rng.randint(0, 6))), lang) for i in range(60) for lang, letters in [rng.choice([("aa", "ab "), ("bb", "abc"), ("cc", "bcd1"), ("dd", "abcd"), ("ee", "ab ")])]]
+    rows += [(100, None, "aa"), (101, "abc", None), (102, "12", "ff"), (103, "abcd" * 3000, "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_best", F.lit("clash")).repartition(3)
+    model = brute.bayes([(t, x) for d, t, x in rows if zlib.crc32(str(d).encode()) % 3 != 1 and t is not None and x is not None])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(docs, most=most).collect()}
+    for d, t, _ in rows:
+        lang, score = brute.language(model, t)
+        assert got[d] == (lang, pytest.approx(score, abs=1e-6))
+    kept = [[tuple(r) for r in language_id.keep_known(docs, most=m).orderBy("doc_id").collect()] for m in (most, 512)]
+    assert kept[0] == kept[1] and language_id.keep_known(docs).columns == docs.columns
 
 
 def test_grams_of_slices(monkeypatch):
@@ -227,8 +256,8 @@ def test_unlearned_languages_go(spark, tables):
 def test_fit(spark):
     rows = [("aa ab", "x"), ("ab ba aa", "x"), ("zz", "y"), ("12", "y"), (None, "y")]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
-    langs, logs = language_id.learn(docs)
-    got = language_id.fit(docs, (langs, logs))
+    [(langs, logs)] = language_id.learn(docs)
+    got = language_id.fit(docs, language_id.Part(langs, logs))
     for i, lang in enumerate(langs):
         own = [logs[i][np.concatenate(list(language_id.grams(t)))] for t, x in rows if x == lang and language_id.has_letter(t)]
         means = [x.mean() for x in own]
