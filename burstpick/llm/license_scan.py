@@ -43,23 +43,72 @@ SENTENCES = {
     20: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     21: "this source code form is subject to the terms of the mozilla public license v 2 0",
     22: "all rights reserved",
+    23: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    24: "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    25: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    26: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    27: "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    28: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    29: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    30: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    31: "this is free and unencumbered software released into the public domain",
+    32: "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    33: "this software is provided as is without any express or implied warranty",
+    34: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    35: "in no event will the authors be held liable for any damages arising from the use of this software",
+    36: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+    37: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    38: "distributed under the boost software license version 1 0",
+    39: "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    40: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    41: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
 }
+#: Further licences that are known by their one-line tag; their identifiers are FIRST_TAG and on.
+TAGS = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "Unlicense", "Zlib",
+]
+FIRST_TAG = 101
+SENTENCES |= {i: "spdx license identifier " + tag.lower().replace("-", " ").replace(".", " ") for i, tag in enumerate(TAGS, FIRST_TAG)}
 #: Ordered rules: licence, identifiers one after another.
 RULES = [
+    ("BSD-3-Clause", (22, 41, 18, 19, 20)),
+    ("BSD-2-Clause", (22, 41, 18, 19)),
     ("MIT", (10, 11, 12)),
     ("Apache-2.0", (13, 14, 15)),
+    ("Zlib", (33, 35, 34)),
     ("GPL-3.0-or-later", (16, 17)),
+    ("GPL-2.0-or-later", (29, 17)),
+    ("AGPL-3.0-or-later", (28, 17)),
+    ("LGPL-3.0-or-later", (27, 17)),
+    ("LGPL-2.1-or-later", (26, 30)),
+    ("ISC", (23, 24)),
+    ("0BSD", (25, 24)),
+    ("Unlicense", (31, 32)),
     ("BSD-3-Clause", (18, 19, 20)),
     ("BSD-2-Clause", (18, 19)),
     ("MIT", (10, 11)),
     ("Apache-2.0", (13, 14)),
     ("GPL-3.0-or-later", (16,)),
+    ("GPL-2.0-or-later", (29,)),
+    ("AGPL-3.0-or-later", (28,)),
+    ("LGPL-3.0-or-later", (27,)),
+    ("LGPL-2.1-or-later", (26,)),
+    ("ISC", (23,)),
+    ("0BSD", (25,)),
+    ("Unlicense", (31,)),
+    ("Zlib", (34,)),
+    ("EPL-2.0", (36,)),
+    ("EPL-2.0", (37,)),
+    ("BSL-1.0", (38,)),
+    ("CC0-1.0", (40,)),
     ("MIT", (10,)),
     ("Apache-2.0", (13,)),
     ("MPL-2.0", (21,)),
     ("MIT", (7,)),
     ("Apache-2.0", (8,)),
     ("GPL-3.0-only", (9,)),
+    *[(tag, (i,)) for i, tag in enumerate(TAGS, FIRST_TAG)],
     ("MIT", (1,)),
     ("Apache-2.0", (2,)),
     ("GPL-3.0-only", (3,)),
@@ -68,14 +117,14 @@ RULES = [
     ("CC-BY-SA-4.0", (6,)),
     ("Proprietary", (22,)),
 ]
-GAP = "00;"
+GAP = "000;"
 #: Before a sentence in a list: ``1.``, ``(b)``, ``iv)``.
 LIST_MARK = "(?:[0-9]{1,2}|[ivx]{1,4}|[a-z])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def code(ids: tuple[int, ...]) -> str:
-    return "".join(f"{i:02d};" for i in ids)
+    return "".join(f"{i:03d};" for i in ids)
 
 
 def normalised(text: Column) -> Column:
@@ -92,7 +141,7 @@ def wrapped(sentence: str) -> str:
 
 
 def sequence(text: Column) -> Column:
-    """Identifiers of the text's sentences, each as ``NN;``; a run of unknown sentences as one GAP."""
+    """Identifiers of the text's sentences, each as ``NNN;``; a run of unknown sentences as one GAP."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, code((i,)))])
     any_known = "|".join(wrapped(s) for s in sorted(SENTENCES.values(), key=len, reverse=True))
     marked = F.regexp_replace(normalised(text), f"([|\n])(?:{LIST_MARK}[ |])?({any_known})(?=[|\n])", "$1{$2{")
@@ -117,7 +166,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     seq = sequence(F.coalesce(F.col("text"), F.lit("")))
     found = docs.select("doc_id", seq.alias("sequence"))
     names = F.filter(F.split(match_rules(F.col("sequence")), ","), lambda x: x != "")
-    n_known = F.length(F.replace("sequence", F.lit(GAP), F.lit(""))) / 3
+    n_known = F.length(F.replace("sequence", F.lit(GAP), F.lit(""))) / len(GAP)
     return found.select("doc_id", n_known.cast("long").alias("n_known"), "sequence", F.array_join(F.array_distinct(names), ",").alias("licenses"))
 
 
@@ -143,7 +192,7 @@ WITH known(sentence, code) AS (VALUES {known}), cut AS (
 ), s0 AS (SELECT doc_id, sequence, sequence AS seq, '' AS found FROM joined){steps}, hit AS (
   SELECT doc_id, sequence, list_filter(string_split(found, ','), lambda x: x <> '') AS l FROM s{len(RULES)}
 )
-SELECT doc_id, (length(replace(sequence, '{GAP}', '')) // 3)::BIGINT AS n_known, sequence,
+SELECT doc_id, (length(replace(sequence, '{GAP}', '')) // {len(GAP)})::BIGINT AS n_known, sequence,
   array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS licenses
 FROM hit
 """
