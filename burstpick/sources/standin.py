@@ -177,9 +177,15 @@ def _hex_of(tile: Column, upwards: bool) -> Column:
     return F.array_join(each, "")
 
 
+def _spread(slim: DataFrame) -> DataFrame:
+    """The rows of a small file dealt to all cores, as each is much work later on; a table of many splits as it is."""
+    cores = slim.sparkSession.sparkContext.defaultParallelism
+    return slim if slim.rdd.getNumPartitions() >= cores else slim.repartition(cores, "image_id")
+
+
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, image`` as the image source gives it."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding")
+    e = _spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding"))
     image = F.struct(
         F.lit("").alias("origin"), F.lit(HIGH).alias("height"), F.lit(WIDE).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"),
         F.unhex(_hex_bytes(False)).alias("data"),
