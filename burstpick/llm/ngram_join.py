@@ -31,16 +31,16 @@ columns are ignored by ``ngram_join`` and kept by ``one_of_each``.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import boxed, discard, let, written
+from burstpick.llm.common import WHITE, boxed, discard, let, written
 from burstpick.llm.components import components
 
 #: One shingle in so many stands in the first part of the order.
@@ -55,41 +55,66 @@ MOST_IDS = 4_000_000
 #: A shingle is common from so many times the mean count of a value of its leading bits on, and from so many more; and how many
 #: bits those are (256 KB of flags).
 HOT, HOT_LEAST, COUNTERS = 2, 8, 18
-#: Words whose hashes a worker remembers.
-CACHE = 300_000
+#: Bytes of a text that are hashed at once (about 40 times as much memory), but for a word that is longer.
+CHUNK = 1 << 20
 
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        found = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-_WORDS = _Words()
+def _spread(n: int, seed: int) -> np.ndarray:
+    """``n`` fixed 64-bit numbers without a pattern, odd ones."""
+    return _mixed(_mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_MIX[0]) + np.uint64(seed))) | np.uint64(1)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+_BLANK = re.compile(b"[%s]" % WHITE.encode())
+#: A number for each byte, the same for A-Z as for a-z, and 0 for the blanks between words.
+_OF_BYTE = _spread(256, _MIX[1])[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
+_OF_BYTE[np.frombuffer(WHITE.encode(), np.uint8)] = 0
+_OF_PLACE = _spread(256, _MIX[2])
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """The text's set, sorted. ``bytes.lower`` and ``bytes.split`` know A-Z and the six ASCII blanks, as wanted."""
-    words = (text or "").encode().lower().split()
-    if not words:
+def _word_hashes(data: bytes) -> np.ndarray:
+    """A hash for each word, in order: the sum over its bytes of a number for the byte times one for its place in the word."""
+    value = _OF_BYTE[np.frombuffer(data, np.uint8)]
+    inside = value != 0
+    start = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if not len(start):
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    value = value[start[0] :]
+    size = np.diff(np.append(start, len(data)))
+    place = np.arange(len(value)) - np.repeat(start - start[0], size)
+    longest = int(size.max())
+    value *= (_OF_PLACE if longest <= len(_OF_PLACE) else _spread(longest, _MIX[2]))[place]
+    return np.add.reduceat(value, start - start[0])
+
+
+def _chunks(data: bytes) -> Iterator[bytes]:
+    """``data`` cut at blanks."""
+    at = 0
+    while len(data) - at > CHUNK:
+        blank = _BLANK.search(data, at + CHUNK)
+        end = blank.start() if blank else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """The text's set, sorted."""
+    w = np.concatenate([_word_hashes(part) for part in _chunks((text or "").encode())])
+    if not len(w):
+        return w
     n = min(k, len(w))
     out = np.full(len(w) - n + 1, n, np.uint64)
     for j in range(n):
         out = _mixed(out * np.uint64(_MIX[0]) + w[j : len(w) - n + 1 + j])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def least_shared(n: np.ndarray | int, percent: int):

@@ -132,6 +132,22 @@ def test_exact_sets_only(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_word_hashes(monkeypatch, chunk):
+    """One hash for each word, equal for equal words whatever their case and place, and however the text is cut."""
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng, seen = random.Random(chunk), {}
+    texts = ["".join(rng.choices("aAbBZ \t\n\r\x0b\x0cé\x85\0", k=rng.randint(0, 40))) for _ in range(500)] + [("w" * 1000 + " ab") * 3, "x" * 5000, "x" * 4999, None, ""]
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        hashes = np.concatenate([ngram_join._word_hashes(part) for part in ngram_join._chunks((text or "").encode())])
+        assert len(hashes) == len(words)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist(), strict=True))
+        sets = {tuple(words[i : i + min(4, len(words))]) for i in range(max(1, len(words) - 3))} if words else set()
+        assert len(ngram_join.shingles(text, 4)) == len(sets)
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_leading_shingles():
     """They hold the first places of the order; the first part alone where it is enough."""
     rng = np.random.default_rng(1)
