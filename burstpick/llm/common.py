@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,27 @@ from pyspark.sql import functions as F
 
 from burstpick.tables import discard, shared_dir, written
 
-__all__ = ["WHITE", "arrow_rows", "boxed", "discard", "let", "read", "shared_dir", "written"]
+__all__ = ["WHITE", "WORD_BYTES", "arrow_rows", "blocks", "boxed", "discard", "let", "read", "shared_dir", "written"]
 
 #: The characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 
+#: For ``bytes.translate``: A-Z as a-z; digits, letters and the bytes of characters outside ASCII as they are; a blank for the rest.
+WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
+
+_BLANK = re.compile(b"[%s]" % WHITE.encode())
+
+
+def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` cut before blanks into blocks of about ``size`` bytes, longer ones where a word is."""
+    at = 0
+    while len(data) - at > size:
+        blank = _BLANK.search(data, at + size)
+        end = blank.start() if blank else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` computed once a row however often ``use`` (or a lambda within it) reads it."""

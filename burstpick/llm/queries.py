@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from burstpick.llm import (
     best_fit,
     chat_format,
+    collocations,
+    decontaminate,
     exact_topk,
     language_id,
     license_scan,
@@ -14,6 +16,7 @@ from burstpick.llm import (
     ngram_join,
     piece_codec,
     quality_rules,
+    resample,
     token_counts,
 )
 from burstpick.llm.common import read
@@ -164,6 +167,100 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.contamination_digest(decontaminate.find_contamination(docs, items))
+
+
+#: ``translate`` lower-cases A-Z only.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents
+), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS g FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0
+), spot AS (
+  SELECT row, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) AS u(i)
+), hit AS (
+  SELECT row, i, spot.n, item_id FROM spot JOIN win USING (g)
+), covered AS (
+  SELECT row, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT DISTINCT row, unnest(range(i, i + n)) AS j FROM hit) GROUP BY row
+), found AS (
+  SELECT row, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
+"""
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("text")
+    return resample.importance_resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = rf"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, x)) AS tab
+), t AS (
+  SELECT row_number() OVER () AS row, doc_id, 's' AS side, {_WORDS} AS w FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, 't', {_WORDS} FROM benchmark
+), f AS (
+  SELECT row, side, array_to_string(w[i:i + n - 1], ' ') AS g FROM t, range(1, 3) AS m(n), unnest(range(1, len(w) - n + 2)) AS u(i)
+), b AS (
+  SELECT g, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, y: xor(tab[xor(c, y) % 256 + 1], c // 256), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f)), tab
+), c AS (
+  SELECT b, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM f JOIN b USING (g) GROUP BY b
+), gain AS (
+  SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c
+), docs AS (
+  SELECT row, count(*) AS n, sum(gain)::BIGINT AS gain FROM f JOIN b USING (g) JOIN gain USING (b) WHERE side = 's' GROUP BY row
+), scored AS (
+  SELECT row, doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features,
+    CASE WHEN n > 0 THEN ((gain - ((gain % n) + n) % n) // n)::BIGINT ELSE 0 END AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM t LEFT JOIN docs USING (row) WHERE side = 's'
+), r AS (
+  SELECT row, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 25 * r.n // 100 THEN rank END::BIGINT AS rank FROM scored LEFT JOIN r USING (row)
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^ 	]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?
+-]')) AS piece FROM documents)
+), f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, w[i:i + m - 1] AS w, count(*) AS f
+  FROM p, range(1, 6) AS k(m), unnest(range(1, len(w) - m + 2)) AS u(i) GROUP BY ALL HAVING count(*) >= 100
+), total AS (
+  SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang
+), cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM f c, unnest(range(1, c.m)) AS u(k), f l, f r, total
+  WHERE c.m > 1 AND l.lang = c.lang AND r.lang = c.lang AND total.lang = c.lang
+    AND l.phrase = array_to_string(c.w[1:k], ' ') AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(f) AS longer
+  FROM f, unnest(range(2, m)) AS v(j), unnest(range(1, m - j + 2)) AS u(i) WHERE m > 2 GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
@@ -175,6 +272,9 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_topk": op10_exact_topk,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op1_license_scan": license_scan.oracle(),
@@ -182,4 +282,7 @@ ORACLES = {
     "op6_line_dedup": OP6_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op11_decontaminate": OP11_SQL,
+    "op12_importance_resample": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
