@@ -240,6 +240,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORD
     return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")
 
 
+def cut_score() -> Column:
+    """floor(1000 a n / (l r)), exactly: counts below 10^17, products of up to 38 digits."""
+    return F.expr(
+        "CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(17,0)) * CAST(n AS DECIMAL(17,0)) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
+    )
+
+
 def _top(rows: DataFrame, most: int, *order: Column) -> DataFrame:
     """The first ``most`` of each language, ranked: first of each salt, so that a language's rows are no one task's."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
@@ -265,10 +272,7 @@ def collocations(
     cuts = many.select("lang", "phrase", F.col("f").alias("a"), F.inline(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: cut(F.col("w"), k))))
     side = lambda part, f: phrases.select("lang", F.col("phrase").alias(part), F.col("f").alias(f))
     cuts = cuts.join(side("left", "l"), ["lang", "left"]).join(side("right", "r"), ["lang", "right"]).join(total, "lang")
-    score = F.expr(
-        "CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(17,0)) * CAST(n AS DECIMAL(17,0)) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
-    )
-    best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct(score.alias("score"), "k", "a", "l", "r", "n")).alias("best"))
+    best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct(cut_score().alias("score"), "k", "a", "l", "r", "n")).alias("best"))
 
     inner = let(F.col("w"), lambda w: F.flatten(F.transform(
         F.sequence(F.lit(2), F.size(w) - 1),
