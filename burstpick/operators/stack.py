@@ -2,20 +2,16 @@
 
 Tables: photos are ``image_id, ts_ms (null: unknown), phash`` and key columns; scenes are exploded, one row a photo:
 ``scene_id, pos_in_scene, image_id``. Order is (ts_ms, image_id). A null key is a key like any other. No step needs all rows, or
-all rows of a key, in one task.
+all rows of a key, a cluster or a scene, in one task: see ``burstpick.scan`` and ``burstpick.operators.anchors``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from burstpick.operators.anchors import anchor_groups
+from burstpick.scan import segmented
 from burstpick.tables import with_row_numbers, written
 
 ORDER = ["ts_ms", "image_id"]
@@ -25,82 +21,26 @@ def gap_ms(threshold_secs: float) -> int:
     return int(threshold_secs * 1000)
 
 
-def time_clusters(df: DataFrame, threshold_secs: float, by: list[str]) -> DataFrame:
-    """Timed photos with ``cluster`` 0, 1, ... within ``by``: a gap over the threshold starts a new one."""
-    w = Window.partitionBy(*by).orderBy(*ORDER)
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(w)
-    timed = df.filter(F.col("ts_ms").isNotNull()).withColumn("_new", (gap > gap_ms(threshold_secs)).cast("long"))
-    return timed.withColumn("cluster", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def _join(df: DataFrame, to: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with the other columns of ``to``; null keys are equal."""
-    named = to.withColumnsRenamed({k: f"_to_{k}" for k in keys})
-    same = reduce(Column.__and__, [df[f"`{k}`"].eqNullSafe(named[f"`_to_{k}`"]) for k in keys])
-    return df.join(named, same).drop(*[f"_to_{k}" for k in keys])
-
+def time_clusters(df: DataFrame, threshold_secs: float, by: list[str] | None = None) -> DataFrame:
+    """Timed photos with ``cluster`` 0, 1, ... within ``by`` (none: over all photos): a gap over the threshold starts a new one."""
+    timed = df.filter(F.col("ts_ms").isNotNull())
+    found = segmented(timed, by or [], ORDER, gap=("ts_ms", gap_ms(threshold_secs)))
+    return found.withColumnRenamed("_run", "cluster").drop("_nth")
 
-def time_clusters_stitched(df: DataFrame, threshold_secs: float, by: list[str] | None = None, bucket_ms: int = 86_400_000) -> DataFrame:
-    """The same for keys that hold many photos, or without a key: windows reach over a bucket of time only. A bucket's
-    first photo is compared with the latest one of the last bucket that holds any, and its clusters are numbered on
-    from those before; both come from the table of buckets, which grows with the time that the archive spans."""
-    by = by or []
-    keys = [*by, "_bucket"]
-    timed = df.filter(F.col("ts_ms").isNotNull()).withColumn("_bucket", F.floor(F.col("ts_ms") / bucket_ms).cast("long"))
-    along = Window.partitionBy(*by).orderBy("_bucket")
-    last = timed.groupBy(keys).agg(F.max("ts_ms").alias("_last")).withColumn("_before", F.lag("_last").over(along)).drop("_last")
-    inner = Window.partitionBy(*keys).orderBy(*ORDER)
-    gap = F.col("ts_ms") - F.coalesce(F.lag("ts_ms").over(inner), F.col("_before"))
-    marked = _join(timed, last, keys).withColumn("_new", F.coalesce((gap > gap_ms(threshold_secs)).cast("long"), F.lit(0)))
-    running = F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    starts = marked.groupBy(keys).agg(F.sum("_new").alias("_new")).withColumn("_start", F.coalesce(running, F.lit(0))).drop("_new")
-    local = F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    return _join(marked.withColumn("_local", local), starts, keys).withColumn("cluster", F.col("_local") + F.col("_start")).drop(
-        "_bucket", "_before", "_new", "_local", "_start"
-    )
 
-
-def time_clusters_global(df: DataFrame, threshold_secs: float, bucket_ms: int = 86_400_000) -> DataFrame:
-    return time_clusters_stitched(df, threshold_secs, None, bucket_ms)
+def time_clusters_global(df: DataFrame, threshold_secs: float) -> DataFrame:
+    return time_clusters(df, threshold_secs)
 
 
 def hamming_distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _split(batches: Iterable[pa.RecordBatch], keys: list[str], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by ``keys`` and order; what goes on from batch to batch is one cluster's key, anchor and count."""
-    key, anchor, group = None, None, 0
-    for batch in batches:
-        codes = list(zip(*(batch[k].to_pylist() for k in keys), strict=True))
-        n = len(batch)
-        starts = [i for i in range(n) if i == 0 or codes[i] != codes[i - 1]] + [n]
-        known = batch["phash"].is_valid().to_numpy(zero_copy_only=False)
-        bits = batch["phash"].fill_null(0).to_numpy().view(np.uint64)
-        out = np.zeros(n, np.int64)
-        for a, b in zip(starts, starts[1:], strict=False):
-            at = a
-            if codes[a] != key:
-                key, anchor, group = codes[a], (bits[a] if known[a] else None), 0
-            while at < b:
-                far = np.flatnonzero(known[at:b] & (np.bitwise_count(bits[at:b] ^ anchor) > threshold)) if anchor is not None and b - at > 0 else []
-                end = at + int(far[0]) if len(far) else b
-                out[at:end] = group
-                if end < b:
-                    anchor, group = bits[end], group + 1
-                at = end
-        yield batch.drop_columns(["phash"]).append_column("subgroup", pa.array(out))
-
-
 def split_by_phash(clusters: DataFrame, threshold: int, by: list[str]) -> DataFrame:
-    """``clusters`` with ``subgroup`` 0, 1, ...: within a cluster (``by`` and ``cluster``) a photo over ``threshold`` bits from
-    the first one of the current group starts the next. A missing hash never splits, and a cluster that starts
-    with one stays whole. Only ids, times and hashes go through Python, sorted, without groups in memory."""
-    keys = [*by, "cluster"]
-    slim = clusters.select(*keys, *ORDER, "phash")
-    schema = T.StructType([*slim.drop("phash").schema, T.StructField("subgroup", T.LongType())])
-    ordered = slim.repartition(*keys).sortWithinPartitions(*keys, *ORDER)
-    return ordered.mapInArrow(lambda it: _split(it, keys, threshold), schema)
+    """``by, cluster``, ORDER and ``subgroup`` 0, 1, ...: within a cluster (``by`` and ``cluster``) a photo over ``threshold`` bits
+    from the first one of the current group starts the next. A missing hash never splits, and a cluster that starts with
+    one stays whole. Only ids, times and hashes go through Python."""
+    return anchor_groups(clusters, [*by, "cluster"], ORDER, threshold)
 
 
 def singleton_scenes(df: DataFrame) -> DataFrame:
@@ -112,12 +52,10 @@ def stack_scenes(df: DataFrame, threshold_secs: float, phash_threshold: int, by:
     """``scene_id, pos_in_scene, image_id`` and ``by``. Scenes are numbered 1, 2, ... by their first photo, those without
     a time last."""
     keys = by or []
-    timed = time_clusters_stitched(df, threshold_secs, keys)
+    timed = time_clusters(df.select(*keys, *ORDER, "phash"), threshold_secs, keys)
     split = split_by_phash(timed, phash_threshold, keys)
-    scene = [*keys, "cluster", "subgroup"]
-    placed = split.withColumn("pos_in_scene", F.row_number().over(Window.partitionBy(*scene).orderBy(*ORDER)).cast("long"))
-    firsts = Window.partitionBy(*scene)
-    first = placed.withColumn("_first", F.min(F.struct(*ORDER)).over(firsts)).select(*keys, "image_id", "pos_in_scene", "_first")
+    placed = segmented(split, [*keys, "cluster", "subgroup"], ORDER, ORDER)
+    first = placed.select(*keys, "image_id", F.col("_nth").alias("pos_in_scene"), F.col("_head").alias("_first"))
     alone = singleton_scenes(df).select(
         *keys, "image_id", F.lit(1).cast("long").alias("pos_in_scene"),
         F.struct(F.lit(None).cast("long").alias("ts_ms"), F.col("image_id")).alias("_first"),

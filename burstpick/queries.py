@@ -77,15 +77,15 @@ def image_summary(spark, sf_dir):
 
 
 def time_clusters(spark, sf_dir):
-    return stack.time_clusters(_photos(spark, sf_dir), CONFIG.burst_threshold_secs, BY).select("shoot_id", "image_id", "cluster")
+    return stack.time_clusters(_photos(spark, sf_dir).select("shoot_id", *stack.ORDER), CONFIG.burst_threshold_secs, BY).select("shoot_id", "image_id", "cluster")
 
 
 def time_clusters_stitched(spark, sf_dir):
-    return stack.time_clusters_stitched(_photos(spark, sf_dir), CONFIG.burst_threshold_secs, BY).select("shoot_id", "image_id", "cluster")
+    return stack.time_clusters(_photos(spark, sf_dir).select("shoot_id", *stack.ORDER), CONFIG.burst_threshold_secs, BY).select("shoot_id", "image_id", "cluster")
 
 
 def time_clusters_global(spark, sf_dir):
-    return stack.time_clusters_global(_photos(spark, sf_dir), GLOBAL_GAP).select("image_id", "cluster")
+    return stack.time_clusters_global(_photos(spark, sf_dir).select(*stack.ORDER), GLOBAL_GAP).select("image_id", "cluster")
 
 
 def singleton_scenes(spark, sf_dir):

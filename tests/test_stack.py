@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from burstpick.operators import stack
+from burstpick import scan
+from burstpick.operators import anchors, stack
 
 SCHEMA = "image_id long, ts_ms long, phash long, shoot long"
 
@@ -82,14 +85,106 @@ def test_random(spark, seed, parts):
     assert scenes(df, 0.4, by=()) == want
 
 
-@pytest.mark.parametrize("bucket", [1, 400, 7_000, 10**9])
-def test_buckets(spark, bucket):
-    rng = random.Random(bucket)
-    rows = [(i, rng.choice([rng.randint(0, 9_000), rng.randint(900_000, 909_000)])) for i in range(200)]
-    df = photos(spark, rows)
-    plain = {r["image_id"]: r["cluster"] for r in stack.time_clusters(df, 0.1, ["shoot"]).collect()}
-    assert {r["image_id"]: r["cluster"] for r in stack.time_clusters_global(df, 0.1, bucket).collect()} == plain
-    assert {r["image_id"]: r["cluster"] for r in stack.time_clusters_stitched(df, 0.1, ["shoot"], bucket).collect()} == plain
+@pytest.fixture()
+def many_parts(spark):
+    """Range partitions stay as many as they are planned, small as they are."""
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_clusters_over_partitions(spark, many_parts, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([rng.randint(0, 9_000), rng.randint(900_000, 909_000)]), None, rng.choice([None, 1, 1, 1, 2])) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for by in ([], ["shoot"]):
+        want = {}
+        for shoot in {r[3] if by else 0 for r in rows}:
+            cluster, last = 0, None
+            for i, ts, *_ in sorted((r for r in rows if not by or r[3] == shoot), key=lambda r: (r[1], r[0])):
+                cluster += last is not None and ts - last > 100
+                want[i], last = cluster, ts
+        assert {r["image_id"]: r["cluster"] for r in stack.time_clusters(df, 0.1, by).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_segments_over_partitions(spark, many_parts, seed):
+    """One key with nearly all rows, and ties: numbers, runs and first rows against a plain loop."""
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a"] * 9 + ["b", None]), rng.randint(0, 150), i) for i in range(250)]
+    df = spark.createDataFrame(rows, "k string, v long, i long")
+    got = scan.segmented(df, ["k"], ["v", "i"], ["i"], ("v", 2)).collect()
+    want, key, last = {}, object(), None
+    for k, v, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        if k != key:
+            key, run, nth, head = k, 0, 0, i
+        elif v - last > 2:
+            run, nth, head = run + 1, 0, i
+        nth, last = nth + 1, v
+        want[i] = (run, nth, head)
+    assert {r["i"]: (r["_run"], r["_nth"], r["_head"]["i"]) for r in got} == want
+    assert scan.segmented(df.limit(0), ["k"], ["v", "i"], ["i"]).count() == 0
+
+
+LOOKS = {
+    "two looks": lambda rng, i: (0, -1)[i // 40 % 2],
+    "random": lambda rng, i: rng.getrandbits(63),
+    "slow drift": lambda rng, i: (1 << (i // 9 % 60)) - 1,
+    "still, then a change": lambda rng, i: 5 if i < 290 else -1,
+    "near the bound": lambda rng, i: sum(1 << b for b in rng.sample(range(20), 8)),
+    "missing ones": lambda rng, i: rng.choice([None, None, 0, -1, 3]),
+    "nothing known": lambda rng, i: None,
+}
+
+
+@pytest.mark.parametrize("look", LOOKS)
+def test_one_cluster_of_all_rows(spark, many_parts, look):
+    """A single cluster over all partitions gives the chain of the plain loop."""
+    rng = random.Random(look)
+    rows = [(i, i * 10, LOOKS[look](rng, i)) for i in range(300)]
+    assert scenes(photos(spark, rows)) == loop(rows, 3.0, 14)
+
+
+def test_first_photo_without_hash_over_partitions(spark, many_parts):
+    rows = [(i, i * 10, None if i == 0 else -(i % 2)) for i in range(200)] + [(500 + i, 10**6 + i, -(i % 2)) for i in range(100)]
+    assert scenes(photos(spark, rows)) == loop(rows, 3.0, 14)
+
+
+def test_one_cluster_is_many_tasks(spark, many_parts):
+    """Of one cluster in one day: the walk of its rows is dealt to partitions, none of which holds a large share."""
+    df = photos(spark, [(i, i, -(i // 7 % 2)) for i in range(2_000)])
+    clusters = stack.time_clusters(df, 3.0, ["shoot"])
+    assert clusters.select("cluster").distinct().count() == 1
+    split = stack.split_by_phash(clusters, 14, ["shoot"])
+    sizes = [r["count"] for r in split.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_000 and len(sizes) >= 8 and max(sizes) < 700
+    assert split.select("subgroup").distinct().count() == 286
+
+
+def test_no_window_over_a_scene(spark):
+    df = photos(spark, [(i, i * 40_000_000) for i in range(10)])
+    plan = stack.stack_scenes(df, 3.0, 14, ["shoot"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_successors(seed):
+    rng = random.Random(seed)
+    bits = np.array([rng.getrandbits(6) if seed else i // 70 for i in range(200)], np.uint64)
+    known = np.array([rng.random() < 0.8 for _ in bits])
+    want = [next((j for j in range(i + 1, 200) if known[i] and known[j] and int(bits[i] ^ bits[j]).bit_count() > 1), -1) for i in range(200)]
+    assert anchors.successors(bits, known, 1).tolist() == want
+    to, steps = anchors.leaving(np.array(want))
+    for i in range(200):
+        at, n = i, 0
+        while want[at] >= 0:
+            at, n = want[at], n + 1
+        assert (to[i], steps[i]) == (at, n)
 
 
 def test_long_cluster_over_batches(spark):
@@ -108,19 +203,3 @@ def test_null_and_large_keys(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert scenes(df) == [[1], [4, 5], [2, 3], [6], [8], [7]]
     assert {(r["shoot"], r["image_id"]) for r in stack.stack_scenes(df, 3.0, 14, ["shoot"]).collect()} == {(r[3], r[0]) for r in rows}
-
-
-@pytest.mark.parametrize("by", [[], ["shoot"]])
-def test_windows_are_over_buckets(spark, by):
-    """No window of a stacking plan is over a whole shoot but those over the table of buckets."""
-    df = photos(spark, [(i, i * 40_000_000) for i in range(10)])
-    plan = stack.time_clusters_stitched(df, 3.0, by)._jdf.queryExecution().executedPlan().toString()
-    specs = [x.split(")")[0] for x in plan.split("windowspecdefinition(")[1:]]
-    assert specs and all("_bucket" in x for x in specs)
-
-
-def test_no_task_over_all_rows(spark):
-    df = photos(spark, [(i, i) for i in range(10)])
-    plan = stack.time_clusters_global(df, 3.0)._jdf.queryExecution().executedPlan().toString()
-    # the only single partitions are those of the table of buckets
-    assert plan.count("SinglePartition") <= plan.count("Window")
