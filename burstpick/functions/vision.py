@@ -7,6 +7,7 @@ A detection is ``struct<cx, cy, w, h, confidence>`` (centre form, model pixels),
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,22 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstpick.functions import imaging
+from burstpick.functions import geometry, imaging
+from burstpick.functions.geometry import MIN_SIDE
 
 #: Face-mesh points of each eye: outer corner, two above, inner corner, two below.
 RIGHT_EYE = (33, 159, 158, 133, 153, 145)
 LEFT_EYE = (362, 380, 374, 263, 386, 385)
 MESH_POINTS = 468
-MIN_SIDE = 16
+#: What a letterbox tells of itself.
+TRANSFORM = ("scale", "pad_x", "pad_y", "orig_width", "orig_height")
 
 FOCUS = "sharpness_score double, raw_variance double, noise_estimate double, scored_region string, phash long"
 
 
-def _whole(c: Column) -> Column:
-    """Cut to an integer, negative values to 0."""
-    return F.greatest(F.lit(0), c.cast("long"))
-
-
 def _region(x, y, w, h) -> Column:
     return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), w.cast("long").alias("width"), h.cast("long").alias("height"))
 
@@ -43,22 +41,13 @@ def center_region(w: Column, h: Column) -> Column:
 
 def eye_region(box: Column, w: Column, h: Column) -> Column:
     """The upper 40 % of the face box without a tenth at each side, in the image; null where it is under 16 pixels."""
-    left = F.least(F.greatest(box["x"], F.lit(0.0)), w.cast("double"))
-    top = F.least(F.greatest(box["y"], F.lit(0.0)), h.cast("double"))
-    wide, high = F.least(box["width"], w - left), F.least(box["height"], h - top)
-    x, y = _whole(left + wide * 0.1), _whole(top)
-    across = F.least(F.greatest(_whole(wide * 0.8), F.lit(MIN_SIDE)), F.greatest(w - x, F.lit(0)))
-    down = F.least(F.greatest(_whole(high * 0.4), F.lit(MIN_SIDE)), F.greatest(h - y, F.lit(0)))
+    x, y, across, down = geometry.eye_sides(box, w.cast("double"), h.cast("double"), geometry.COLUMNS)
     return F.when(F.least(across, down) >= MIN_SIDE, _region(x, y, across, down))
 
 
 def face_crop(box: Column, w: Column, h: Column) -> Column:
     """The face box with a quarter more at each side, in the image, at least one pixel."""
-    dx, dy = box["width"] * 0.25, box["height"] * 0.25
-    x1, y1 = _whole(F.greatest(box["x"] - dx, F.lit(0.0))), _whole(F.greatest(box["y"] - dy, F.lit(0.0)))
-    x2 = _whole(F.least(box["x"] + box["width"] + dx, w.cast("double")))
-    y2 = _whole(F.least(box["y"] + box["height"] + dy, h.cast("double")))
-    return _region(x1, y1, F.greatest(x2 - x1, F.lit(1)), F.greatest(y2 - y1, F.lit(1)))
+    return _region(*geometry.crop_sides(box, w.cast("double"), h.cast("double"), geometry.COLUMNS))
 
 
 def decode_yolo(output: Column, values: int, columns: int, min_confidence: float) -> Column:
@@ -119,13 +108,8 @@ def non_max_suppression_rows(rows: DataFrame, key: str, threshold: float = 0.45)
 
 def to_original_coords(d: Column, t: Column) -> Column:
     """A detection's box in the original image; ``t``: struct of scale, pad_x, pad_y, orig_width, orig_height."""
-    low = lambda c, s, pad: F.greatest(F.lit(0.0), (d[c] - t[pad]) / t["scale"] - d[s] / t["scale"] / 2)
-    high = lambda c, s, pad, most: F.least(t[most], (d[c] - t[pad]) / t["scale"] + d[s] / t["scale"] / 2)
-    x, y = low("cx", "w", "pad_x"), low("cy", "h", "pad_y")
-    return F.struct(
-        x.alias("x"), y.alias("y"), (high("cx", "w", "pad_x", "orig_width") - x).alias("width"),
-        (high("cy", "h", "pad_y", "orig_height") - y).alias("height"),
-    )
+    sides = geometry.original_sides(d, t, geometry.COLUMNS)
+    return F.struct(*[c.alias(n) for c, n in zip(sides, ("x", "y", "width", "height"), strict=True)])
 
 
 def letterbox_transform(w: Column, h: Column, to_w: int = 640, to_h: int = 640) -> Column:
@@ -242,11 +226,7 @@ def _focus(rgb: np.ndarray | None, box: Mapping | None) -> tuple:
     gray = imaging.to_gray(rgb)
     bits, (h, w) = imaging.perceptual_hash(gray), gray.shape
     if box is not None:
-        left, top = min(max(box["x"], 0.0), w), min(max(box["y"], 0.0), h)
-        wide, high = min(box["width"], w - left), min(box["height"], h - top)
-        x, y = max(0, int(left + wide * 0.1)), max(0, int(top))
-        across = min(max(int(max(0.0, wide * 0.8)), MIN_SIDE), max(0, w - x))
-        down = min(max(int(max(0.0, high * 0.4)), MIN_SIDE), max(0, h - y))
+        x, y, across, down = geometry.eye_sides(box, float(w), float(h), geometry.NUMBERS)
         if min(across, down) >= MIN_SIDE:
             return *imaging.crop_sharpness(gray, x, y, across, down), "eye", bits
     if min(w // 2, h // 2) < MIN_SIDE:
@@ -257,28 +237,7 @@ def _focus(rgb: np.ndarray | None, box: Mapping | None) -> tuple:
 def score_sharpness(images: DataFrame) -> DataFrame:
     """FOCUS for each row of ``images (image_id, image, face_bbox)``: score and perceptual hash in one pass over the pixels,
     which go no further. A failed decode scores 0 and has no hash."""
-    return images.select("image_id", focus()("image", "face_bbox", F.col("face_bbox")).alias("_s")).select("image_id", *[f"_s.{f.split()[0]}" for f in FOCUS.split(", ")])
-
-
-def in_batches(make_predict: Callable, inputs: Iterable[np.ndarray | None], batch_size: int) -> Iterator[np.ndarray | None]:
-    """What a model says of each input, none where there is none. ``make_predict()`` opens the model and returns a function from
-    a batch of tensors to a batch of outputs; it runs when the first tensor is there."""
-    predict, waiting = None, []
-
-    def said() -> Iterator[np.ndarray | None]:
-        nonlocal predict
-        held = [x for x in waiting if x is not None]
-        if held:
-            predict = predict or make_predict()
-        outputs = iter(predict(np.stack(held))) if held else iter(())
-        yield from [None if x is None else next(outputs) for x in waiting]
-        waiting.clear()
-
-    for x in inputs:
-        waiting.append(x)
-        if len(waiting) == batch_size:
-            yield from said()
-    yield from said()
+    return images.select("image_id", F.pandas_udf(focus, FOCUS)("image", "face_bbox").alias("_s")).select("image_id", *[f"_s.{f.split()[0]}" for f in FOCUS.split(", ")])
 
 
 def score_with_model(make_predict: Callable, return_type: T.DataType, shape: list[int], batch_size: int = 32) -> Callable:
@@ -287,49 +246,61 @@ def score_with_model(make_predict: Callable, return_type: T.DataType, shape: lis
     return predict_batch_udf(make_predict, return_type=return_type, batch_size=batch_size, input_tensor_shapes=[shape])
 
 
-def face_outputs(make_predict: Callable, batch_size: int = 16, side: int = 640) -> Callable[[Column], Column]:
-    """A column function from images to ``raw``, the detector's output for the letterboxed image, and its ``transform``. Tensors
-    live for one batch of the model in the worker; they are in no column."""
-    names = ["scale", "pad_x", "pad_y", "orig_width", "orig_height"]
-
-    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for images in batches:
-            transforms = []
+def focus(images: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+    """FOCUS of images and their face boxes (null: none)."""
+    found = [box if box["x"] is not None and box["x"] == box["x"] else None for box in boxes.to_dict("records")]
+    scores = [_focus(pixels(image), box) for image, box in zip(_rows(images), found, strict=True)]
+    out = pd.DataFrame(scores, columns=[f.split()[0] for f in FOCUS.split(", ")])
+    return out.assign(phash=pd.array([s[-1] for s in scores], dtype="Int64"))
 
-            def tensors(images: pd.DataFrame = images, transforms: list = transforms) -> Iterator[np.ndarray | None]:
-                for rgb in map(pixels, _rows(images)):
-                    canvas, t = imaging.letterbox(rgb, side, side) if rgb is not None else (None, None)
-                    transforms.append(dict(zip(names, t, strict=True)) if t else None)
-                    yield None if t is None else imaging.to_tensor(canvas)[0]
 
-            raw = [None if y is None else np.ravel(y).astype(np.float32) for y in in_batches(make_predict, tensors(), batch_size)]
-            yield pd.DataFrame({"raw": pd.Series(raw, dtype=object), "transform": pd.Series(transforms, dtype=object)})
-
-    return F.pandas_udf(of_batches, f"raw array<float>, transform struct<{', '.join(f'{n}: double' for n in names)}>")
-
-
-def focus(make_mesh: Callable | None = None, batch_size: int = 16, side: int = 192) -> Callable[..., Column]:
-    """A column function from images, face boxes and face crops to FOCUS and ``raw``, the landmarks that a model finds in the crop
-    (none without a model or a face)."""
-    names = [f.split()[0] for f in FOCUS.split(", ")]
-
-    def of_batches(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        for images, boxes, crops in batches:
-            scores = []
-
-            def faces(images=images, boxes=boxes, crops=crops, scores=scores) -> Iterator[np.ndarray | None]:
-                for image, box, crop in zip(_rows(images), boxes.to_dict("records"), crops.to_dict("records"), strict=True):
-                    found = box["x"] is not None and box["x"] == box["x"]
-                    rgb = pixels(image)
-                    scores.append(_focus(rgb, box if found else None))
-                    cut = None
-                    if make_mesh and found and rgb is not None:
-                        x, y, w, h = (int(crop[c]) for c in ("x", "y", "width", "height"))
-                        cut = rgb[y : y + h, x : x + w]
-                    yield imaging.to_tensor(imaging.resize_exact(cut, side, side), layout="NHWC")[0] if cut is not None and cut.size else None
-
-            raw = [None if y is None else np.ravel(y).astype(np.float32) for y in in_batches(make_mesh, faces(), batch_size)]
-            out = pd.DataFrame(scores, columns=names).assign(raw=pd.Series(raw, dtype=object))
-            yield out.assign(phash=pd.array([s[-1] for s in scores], dtype="Int64"))
-
-    return F.pandas_udf(of_batches, f"{FOCUS}, raw array<float>")
+def best_detection(output: np.ndarray, values: int, columns: int, min_confidence: float) -> dict | None:
+    """The first of ``decode_yolo``'s detections, which no other one suppresses."""
+    if values < 5 or columns < 1:
+        return None
+    out = np.ravel(output)[: values * columns].reshape(values, columns).astype(np.float64)
+    score = out[4] if values == 5 else np.maximum(out[4:].max(0), 0.0)
+    at = int(score.argmax())
+    return dict(zip(("cx", "cy", "w", "h"), out[:4, at].tolist(), strict=True)) if score[at] >= min_confidence else None
+
+
+class Analysis(NamedTuple):
+    """What ``analyzed`` finds in one photo."""
+
+    score: float
+    box: dict | None
+    raw: np.ndarray | None
+    phash: int | None
+
+
+def analyzed(
+    photos: Iterable[np.ndarray | None], min_confidence: float, detect: Callable | None, values: int, columns: int, mesh: Callable | None,
+    side: int = 640, face_side: int = 192,
+) -> list[Analysis]:
+    """Photos of one batch (RGB, None: not decoded): faces in the letterboxed photos, then score, hash and landmarks. ``detect``
+    and ``mesh`` take a batch of tensors, those of all photos or faces at hand."""
+    photos = list(photos)
+    boxes: list[dict | None] = [None] * len(photos)
+    seen = [i for i, rgb in enumerate(photos) if rgb is not None]
+    if detect and seen:
+        fitted = [imaging.letterbox(photos[i], side, side) for i in seen]
+        outputs = detect(np.concatenate([imaging.to_tensor(canvas) for canvas, _ in fitted]))
+        for i, (_, t), output in zip(seen, fitted, outputs, strict=True):
+            d = best_detection(output, values, columns, min_confidence)
+            if d:
+                sides = geometry.original_sides(d, dict(zip(TRANSFORM, t, strict=True)), geometry.NUMBERS)
+                boxes[i] = dict(zip(("x", "y", "width", "height"), sides, strict=True))
+    raws: list[np.ndarray | None] = [None] * len(photos)
+    faces, of = [], []
+    for i in seen if mesh and detect else []:
+        if boxes[i]:
+            high, wide = photos[i].shape[:2]
+            x, y, w, h = geometry.crop_sides(boxes[i], float(wide), float(high), geometry.NUMBERS)
+            if (cut := photos[i][y : y + h, x : x + w]).size:
+                faces.append(imaging.to_tensor(imaging.resize_exact(cut, face_side, face_side), layout="NHWC"))
+                of.append(i)
+    if faces:
+        for i, output in zip(of, mesh(np.concatenate(faces)), strict=True):
+            raws[i] = np.ravel(output).astype(np.float32)
+    scored = [_focus(rgb, box) for rgb, box in zip(photos, boxes, strict=True)]
+    return [Analysis(s[0], box, raw, s[-1]) for s, box, raw in zip(scored, boxes, raws, strict=True)]

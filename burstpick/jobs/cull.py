@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burstpick.config import CullConfig
 from burstpick.functions import vision
+from burstpick.functions.jpeg import decode_jpeg
 from burstpick.operators import select, stack
 from burstpick.tables import written
 
@@ -33,40 +36,67 @@ def cull_scored(photos: DataFrame, config: CullConfig, by: list[str] | None = No
     return Cull(scenes, keepers, verdicts, select.cull_totals(scenes, verdicts))
 
 
-def _once(value: Column, name: str) -> Column:
-    """``value`` as a generator's column: the optimizer cannot copy a Python function into the expressions that read it."""
-    return F.explode(F.array(value)).alias(name)
+#: Bytes of decoded photos that a worker holds at once, but for one that is larger.
+BUFFER = 256 << 20
+
+BOX = "struct<x: double, y: double, width: double, height: double>"
+FOUND = f"sharpness_score double, face_bbox {BOX}, raw array<float>, phash long"
+
+
+def _found(rows: DataFrame, column: str, decode: Callable, config: CullConfig, detect, values: int, columns: int, mesh, batch_size: int) -> DataFrame:
+    """``image_id`` and FOUND. Photos are decoded one after another, in the worker; a buffer of at most ``batch_size`` of them, and
+    of about BUFFER bytes, goes through all steps and is let go."""
+    box = pa.struct([(n, pa.float64()) for n in ("x", "y", "width", "height")])
+    kinds = (pa.float64(), box, pa.list_(pa.float32()), pa.int64())
+
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: list[Callable | None] = []
+        for batch in batches:
+            begun = held = 0
+            photos: list = []
+            for at in range(batch.num_rows):
+                photos.append(decode(batch[column][at].as_py()))
+                held += 0 if photos[-1] is None else photos[-1].nbytes
+                if len(photos) == batch_size or held >= BUFFER or at == batch.num_rows - 1:
+                    if not models and held:
+                        models = [make() if make else None for make in (detect, mesh)]
+                    found = vision.analyzed(photos, config.face_detection_confidence, *(models[:1] or [None]), values, columns, *(models[1:] or [None]))
+                    out = [pa.array(v, k) for v, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch["image_id"].slice(begun, len(photos)), *out], names=["image_id", "sharpness_score", "face_bbox", "raw", "phash"])
+                    begun, held, photos = at + 1, 0, []
+
+    schema = T.StructType([rows.schema["image_id"], *T.StructType.fromDDL(FOUND)])
+    return rows.select("image_id", column).mapInArrow(of_partition, schema)
+
+
+def _features(found: DataFrame, config: CullConfig) -> DataFrame:
+    blink = F.when(F.col("raw").isNotNull(), vision.detect_blink(F.col("raw"), config.blink_ear_threshold))
+    return found.select("image_id", "sharpness_score", "face_bbox", "phash", blink.alias("_b")).select(
+        "image_id", "sharpness_score", F.col("face_bbox").isNotNull().alias("has_face"), "face_bbox",
+        F.coalesce("_b.blink_detected", F.lit(False)).alias("blink_detected"), F.col("_b.average_ear").alias("eye_aspect_ratio"), "phash",
+    )
+
+
+def analyze_previews(
+    previews: DataFrame, config: CullConfig, detect: Callable | None = None, rows: int = 5, columns: int = 0, mesh: Callable | None = None,
+    batch_size: int = 16, decode: Callable = decode_jpeg,
+) -> DataFrame:
+    """``image_id, sharpness_score, has_face, face_bbox, blink_detected, eye_aspect_ratio, phash`` from ``previews (image_id,
+    preview_data)``, compressed files. ``decode`` makes RGB pixels of one (None: it can't). ``detect`` and ``mesh`` open the models
+    and return functions from a batch of tensors to a batch of outputs: from letterboxed NCHW photos to ``rows`` x ``columns``,
+    and from NHWC faces to landmarks. Whatever fails leaves its default: no face, score 0, no blink.
+
+    Only compressed bytes reach the worker, once, and only slim rows leave it: no pixels are in a row, a column or an exchange."""
+    return _features(_found(previews, "preview_data", decode, config, detect, rows, columns, mesh, batch_size), config)
 
 
 def analyze_images(
     images: DataFrame, config: CullConfig, detect: Callable | None = None, rows: int = 5, columns: int = 0, mesh: Callable | None = None,
     batch_size: int = 16,
 ) -> DataFrame:
-    """``image_id, sharpness_score, has_face, face_bbox, blink_detected, eye_aspect_ratio, phash`` from ``images (image_id,
-    image)``. ``detect`` and ``mesh`` make the models' functions (``vision.in_batches``): from letterboxed NCHW images to
-    outputs of ``rows`` x ``columns``, and from NHWC faces to landmarks. Whatever fails leaves its default: no face, score 0, no
-    blink.
-
-    The images stay where they are read: one pass finds the faces, a second one on the same rows scores, hashes and meshes;
-    pixels and tensors are in no exchange, and each model sees an image once."""
-    no_box = F.lit(None).cast("struct<x:double,y:double,width:double,height:double>")
-    if detect is None:
-        placed = images.select("image_id", "image", no_box.alias("face_bbox"))
-    else:
-        found = images.select("image_id", "image", _once(vision.face_outputs(detect, batch_size)("image"), "_f"))
-        boxes = vision.decode_yolo(F.col("_f.raw"), rows, columns, config.face_detection_confidence)
-        best = vision.primary_face(vision.non_max_suppression(boxes, config.nms_iou_threshold))
-        found = found.select("image_id", "image", best.alias("_d"), F.col("_f.transform").alias("_t"))
-        box = F.when(F.col("_d").isNotNull(), vision.to_original_coords(F.col("_d"), F.col("_t")))
-        placed = found.select("image_id", "image", box.alias("face_bbox"))
-    crop = vision.face_crop(F.col("face_bbox"), F.col("image.width"), F.col("image.height"))
-    scored = placed.select("image_id", "face_bbox", _once(vision.focus(mesh if detect else None, batch_size)("image", "face_bbox", crop), "_s"))
-    blink = F.when(F.col("_s.raw").isNotNull(), vision.detect_blink(F.col("_s.raw"), config.blink_ear_threshold))
-    out = scored.select("image_id", "face_bbox", "_s", blink.alias("_b"))
-    return out.select(
-        "image_id", F.col("_s.sharpness_score").alias("sharpness_score"), F.col("face_bbox").isNotNull().alias("has_face"), "face_bbox",
-        F.coalesce("_b.blink_detected", F.lit(False)).alias("blink_detected"), F.col("_b.average_ear").alias("eye_aspect_ratio"), F.col("_s.phash").alias("phash"),
-    )
+    """The same from ``images (image_id, image)``, photos that the image source has decoded."""
+    decode = lambda image: None if image is None else vision.pixels(image)
+    return _features(_found(images, "image", decode, config, detect, rows, columns, mesh, batch_size), config)
 
 
 def cull(photos: DataFrame, features: DataFrame, config: CullConfig, by: list[str] | None = None) -> Cull:

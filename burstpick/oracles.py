@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from burstpick.operators.review import KEEPER, REJECT
-from burstpick.sources.standin import ACTIONS_SQL, CAPTURES_SQL, EXIF_SQL, EXPORT_REQUESTS_SQL, HEADS, LANDMARKS_SQL, OVERRIDES_SQL, PATCHES_SQL, YOLO_SQL
+from burstpick.sources.standin import ACTIONS_SQL, CAPTURES_SQL, EXIF_SQL, EXPORT_REQUESTS_SQL, HEADS, JPEGS_SQL, LANDMARKS_SQL, OVERRIDES_SQL, PATCHES_SQL, YOLO_SQL
 
 #: What a sidecar must say, by verdict.
 _HEAD = """<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?>
@@ -326,13 +326,17 @@ def _image_sql() -> dict[str, str]:
       {value('b', 47, 39, 0.406, 0.225)} AS blue FROM px GROUP BY image_id"""
     dot = lambda w: f"round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ({w}))), 6)"
     out["model_scores"] = f"SELECT vec_id, {dot('(i - 1) % 5 - 2')} AS a, {dot('(i - 1) % 3 + 1')} AS b FROM embeddings"
-    out["analyzed_images"] = of(NOISE, HASH, ANALYZED) + """ SELECT image_id, round(sharpness_score, 6) AS sharpness_score, has_face, CASE WHEN has_face THEN 0.525 END AS face_x,
+    of_jpegs = lambda *more: "WITH RECURSIVE " + ", ".join([JPEGS_SQL, *more])
+    analyzed = """ SELECT image_id, round(sharpness_score, 6) AS sharpness_score, has_face, CASE WHEN has_face THEN 0.525 END AS face_x,
       CASE WHEN has_face THEN 12.375 END AS face_y, CASE WHEN has_face THEN 39.0 END AS face_width, CASE WHEN has_face THEN 23.25 END AS face_height, blink_detected,
       round(ear, 6) AS eye_aspect_ratio, phash FROM analyzed"""
+    out["analyzed_images"], out["analyzed_previews"] = of(NOISE, HASH, ANALYZED) + analyzed, of_jpegs(NOISE, HASH, ANALYZED) + analyzed
+    out["decoded_jpegs"] = of_jpegs() + f" SELECT image_id, NULL::VARCHAR AS error, 40 AS width, 48 AS height, {digest('v')} AS gray_sha256 FROM gray GROUP BY image_id"
     photos = """captures AS (
       SELECT *, image_id // 20 AS shoot_id, CASE WHEN image_id % 17 <> 0 THEN image_id * 1500 + image_id // 5 * 20000000 END AS ts_ms FROM analyzed
     )"""
     out["culled_images"] = of(NOISE, HASH, ANALYZED, photos, *CULLED) + " SELECT image_id, verdict, reject_reason FROM verdicts"
+    out["culled_previews"] = of_jpegs(NOISE, HASH, ANALYZED, photos, *CULLED) + " SELECT image_id, verdict, reject_reason FROM verdicts"
     return out
 
 

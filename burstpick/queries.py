@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from burstpick.config import CullConfig
 from burstpick.functions import imaging, vision
-from burstpick.jobs.cull import analyze_images, cull, cull_scored
+from burstpick.jobs.cull import analyze_images, analyze_previews, cull, cull_scored
 from burstpick.operators import export, report, review, select, stack
 from burstpick.sources import exif, files, previews, standin
 from burstpick.tables import shared_dir, written
@@ -425,6 +425,29 @@ def analyzed_images(spark, sf_dir):
     return _analyzed(spark, sf_dir).select("image_id", _r("sharpness_score"), "has_face", *box, "blink_detected", _r("eye_aspect_ratio"), "phash")
 
 
+def decoded_jpegs(spark, sf_dir):
+    """The same with JPEG files."""
+    folder = _folder(spark, "previews")
+    done = previews_written(standin.jpegs(spark, sf_dir), folder)
+    found = vision.decode_images(spark, folder).join(done, "image_id")
+    return found.select("image_id", "error", "image.width", "image.height", _sha(vision.to_gray("image")).alias("gray_sha256"))
+
+
+def analyzed_previews(spark, sf_dir):
+    """The analysis from JPEG bytes to slim rows, decoded in the worker."""
+    found = analyze_previews(standin.jpegs(spark, sf_dir), CONFIG, _detector, 5, 1, _mesher)
+    box = [F.round(f"face_bbox.{c}", 6).alias(f"face_{c}") for c in ("x", "y", "width", "height")]
+    return found.select("image_id", _r("sharpness_score"), "has_face", *box, "blink_detected", _r("eye_aspect_ratio"), "phash")
+
+
+def culled_previews(spark, sf_dir):
+    """JPEG bytes to verdicts."""
+    at = F.col("image_id")
+    photos = standin.jpegs(spark, sf_dir).select("image_id", F.floor(at / 20).alias("shoot_id"), F.when(at % 17 != 0, at * 1500 + F.floor(at / 5) * 20_000_000).alias("ts_ms"))
+    features = analyze_previews(standin.jpegs(spark, sf_dir), CONFIG, _detector, 5, 1, _mesher)
+    return cull(photos, features, CONFIG, BY).verdicts.select("image_id", "verdict", "reject_reason")
+
+
 def culled_images(spark, sf_dir):
     """Photos to verdicts: analysed, stacked by shoots of 20, keepers chosen."""
     at = F.col("image_id")
@@ -442,5 +465,6 @@ QUERIES = {
         xmp_sidecars, export_summary, scene_report, score_report, regions, decode_yolo, nms, iou, original_coords, detect_blink,
         export_errors, export_xmp, manifest_scores, manifest_scenes, manifest_totals, preview_dimensions, decoded_images, image_gray,
         image_focus, image_hash, image_resize, image_letterbox, image_tensor, score_sharpness, model_scores, analyzed_images, culled_images,
+        decoded_jpegs, analyzed_previews, culled_previews,
     )
 } | {f"filter_scenes_{mode}": _filtered(mode) for mode in ("all", "keepers", "rejects")}

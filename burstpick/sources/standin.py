@@ -201,6 +201,37 @@ def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("image_id", F.unhex(F.concat(F.lit("".join(parts)), _hex_bytes(True))).alias("preview_data"))
 
 
+def jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, preview_data``: photos of HIGH x WIDE pixels as JPEG files, gray, each block of 8 x 8 one value of the embedding.
+
+    The files are baseline ones, told so that every field ends with a byte: one code of 8 bits for a first coefficient of 8 bits, one
+    for the end of a block, a restart after each block."""
+    e = _spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding"))
+    table = lambda kind, symbol: f"ffc40014{kind}{'00' * 7}01{'00' * 8}{symbol}"
+    frame = f"ffc0000b08{HIGH:04x}{WIDE:04x}01011100"
+    head = "ffd8" + "ffdb004300" + "04" * 64 + frame + table("00", "08") + table("10", "00") + "ffdd00040001" + "ffda0008010100003f00"
+    n = HIGH * WIDE // 64
+
+    def block(k: Column) -> Column:
+        level = F.least(F.lit(63), F.greatest(F.lit(0), F.floor((F.get("embedding", k.cast("int")).cast("double") + 0.6) * 50))).cast("int")
+        bits = F.when((level + k) % 2 == 0, 128 + 2 * level).otherwise(127 - 2 * level)
+        ends = F.when(k < n - 1, F.concat(F.lit("ffd"), (k % 8).cast("string"))).otherwise("ffd9")
+        return F.concat(F.lit("00"), F.lpad(F.hex(bits), 2, "0"), F.lit("00"), ends)
+
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), block), "")
+    return e.select("image_id", F.unhex(F.concat(F.lit(head), body)).alias("preview_data"))
+
+
+#: Their pixels.
+JPEGS_SQL = f"""blocks AS (
+  SELECT vec_id AS image_id, k, least(63, greatest(0, floor((embedding[k + 1]::DOUBLE + 0.6) * 50)))::BIGINT AS level FROM embeddings, unnest(range({HIGH * WIDE // 64})) AS u(k)
+), px AS (
+  SELECT image_id, y, x, v AS b, v AS g, v AS r FROM (SELECT image_id, k, CASE WHEN (level + k) % 2 = 0 THEN 192 + level ELSE 64 - level END AS v FROM blocks)
+  JOIN (SELECT y, x, (y // 8) * {WIDE // 8} + x // 8 AS k FROM unnest(range({HIGH})) AS a(y), unnest(range({WIDE})) AS b(x)) USING (k)
+), gray AS (
+  SELECT image_id, y, x, r AS v FROM px
+)"""
+
 PATCHES_SQL = f"""patches AS (
   SELECT vec_id AS image_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings
 ), tile AS (

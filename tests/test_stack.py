@@ -60,11 +60,31 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("by", [("shoot",), ()])
-def test_case(spark, name, by):
-    rows, gap, want = CASES[name]
-    assert scenes(photos(spark, rows), gap, by=by) == want
+def test_cases_by_shoot(spark):
+    """Each case as a shoot of its own."""
+    rows = [(100 * n + i, ts, *h, n) if h else (100 * n + i, ts, None, n) for n, (own, _, _) in enumerate(CASES.values()) for i, ts, *h in own]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for gap in {c[1] for c in CASES.values()}:
+        of = {r["image_id"]: (r["scene_id"], r["pos_in_scene"]) for r in stack.stack_scenes(df, gap, 14, ["shoot"]).collect()}
+        for n, (name, (own, own_gap, want)) in enumerate(CASES.items()):
+            if own_gap == gap:
+                found = {}
+                for i in sorted((r[0] for r in own), key=lambda i: of[100 * n + i]):
+                    found.setdefault(of[100 * n + i][0], []).append(i)
+                assert sorted(found.values()) == sorted(want), name
+
+
+def test_cases_without_key(spark):
+    """All cases one after another, far apart in time; those without a time last."""
+    for gap in {c[1] for c in CASES.values()}:
+        rows, want, late = [], [], []
+        for n, (own, own_gap, scenes_of) in enumerate(CASES.values()):
+            if own_gap == gap:
+                rows += [(100 * n + r[0], None if r[1] is None else r[1] + n * 10**7, *r[2:]) for r in own]
+                none = {r[0] for r in own if r[1] is None}
+                want += [[100 * n + i for i in x] for x in scenes_of if not none & set(x)]
+                late += [[100 * n + i for i in x] for x in scenes_of if none & set(x)]
+        assert scenes(photos(spark, rows), gap, by=()) == want + late
 
 
 def test_empty(spark):
@@ -142,9 +162,19 @@ LOOKS = {
 }
 
 
-@pytest.mark.parametrize("look", LOOKS)
+def test_clusters_of_all_looks(spark, many_parts):
+    """Clusters of one shoot each, all over several partitions: the chains of the plain loop."""
+    rng = random.Random(4)
+    rows = [(1000 * n + i, i * 10, LOOKS[look](rng, i), n) for n, look in enumerate(LOOKS) for i in range(300)]
+    found = {}
+    for r in stack.stack_scenes(spark.createDataFrame(rows, SCHEMA), 3.0, 14, ["shoot"]).orderBy("scene_id", "pos_in_scene").collect():
+        found.setdefault(r["shoot"], {}).setdefault(r["scene_id"], []).append(r["image_id"])
+    assert {n: list(x.values()) for n, x in found.items()} == {n: loop([r[:3] for r in rows if r[3] == n], 3.0, 14) for n in range(len(LOOKS))}
+
+
+@pytest.mark.parametrize("look", ["near the bound", "slow drift"])
 def test_one_cluster_of_all_rows(spark, many_parts, look):
-    """A single cluster over all partitions gives the chain of the plain loop."""
+    """A single cluster over all partitions."""
     rng = random.Random(look)
     rows = [(i, i * 10, LOOKS[look](rng, i)) for i in range(300)]
     assert scenes(photos(spark, rows)) == loop(rows, 3.0, 14)
