@@ -49,7 +49,7 @@ LEVELS = 4
 #: bits of one (log 2: 32 MB). Beyond that a filter lets more pass, and the join does the work.
 KEY_BITS, MOST_BITS = 8, 28
 #: A list of so many nodes is scanned in blocks; a block's nodes and shingles: about these many.
-LONG_LIST, BLOCK_DOCS, BLOCK_SHINGLES = 24, 512, 1 << 18
+LONG_LIST, BLOCK_DOCS, BLOCK_SHINGLES = 12, 512, 1 << 18
 #: Rows of a table of ids that is broadcast (8 bytes each).
 MOST_IDS = 4_000_000
 #: A shingle is common from so many times the mean count of a value of its leading bits on, and from so many more; and how many
