@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstpick.operators.file_sink import write_files
 from burstpick.operators.review import verdict_label
 from burstpick.operators.select import KEEPER, REJECT, UNRATED
-from burstpick.tables import written
 
 TOOL = "burstpick"
 
@@ -66,38 +62,11 @@ def sidecars(entries: DataFrame, tool: str = TOOL) -> DataFrame:
     return won.select("xmp_path", "verdict", xmp_content(F.col("verdict"), tool).alias("content"), "collisions")
 
 
-def _write(path: str, data: bytes) -> str | None:
-    """Written beside and moved into place, so that a second try does no harm; where ``path`` names a store (``s3://``,
-    ``hdfs://``, ``file://``), through its file system, which shows a file once it is whole. The error, if any."""
-    try:
-        if "://" in path and not path.startswith("file://"):
-            from pyarrow import fs
-
-            store, inside = fs.FileSystem.from_uri(path)
-            with store.open_output_stream(inside) as f:
-                f.write(data)
-            return None
-        path = path.removeprefix("file://")
-        beside = f"{path}.{os.getpid()}.part"
-        with open(beside, "wb") as f:
-            f.write(data)
-        os.replace(beside, path)
-    except OSError as error:
-        return error.strerror or str(error)
-    return None
-
-
 def write_xmp_sidecars(entries: DataFrame, tool: str = TOOL) -> DataFrame:
-    """Writes the files and returns ``xmp_path, status, error, n``: written, skipped (unrated) or error; a failed file fails
+    """Writes the files, now, and returns ``xmp_path, status, error, n``: written, skipped (unrated) or error; a failed file fails
     nothing else. ``n``: entries that the row stands for."""
-
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            errors = [_write(p, c.encode()) for p, c in zip(batch["xmp_path"], batch["content"], strict=True)]
-            status = ["error" if e else "written" for e in errors]
-            yield pd.DataFrame({"xmp_path": batch["xmp_path"], "status": status, "error": errors, "n": batch["collisions"] + 1})
-
-    done = sidecars(entries, tool).mapInPandas(of_partition, "xmp_path string, status string, error string, n long")
+    files = sidecars(entries, tool).select(F.col("xmp_path").alias("path"), "content", (F.col("collisions") + 1).alias("n"))
+    done = write_files(files).withColumnRenamed("path", "xmp_path")
     skipped = entries.filter(F.col("verdict") == UNRATED).select(
         xmp_path(F.col("raw_file_path")).alias("xmp_path"), F.lit("skipped").alias("status"),
         F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("n"),
@@ -118,20 +87,16 @@ def export_errors(status: DataFrame) -> DataFrame:
 
 def export_xmp(images: DataFrame, verdicts: DataFrame, tool: str = TOOL) -> tuple[DataFrame, DataFrame]:
     """Writes the sidecars, once, and returns their summary and errors."""
-    status = written(write_xmp_sidecars(export_entries(images, verdicts), tool), "status")
+    status = write_xmp_sidecars(export_entries(images, verdicts), tool)
     return export_summary(status), export_errors(status)
 
 
 def write_previews(df: DataFrame, folder: str) -> DataFrame:
-    """Writes ``{image_id}.jpg`` and returns ``image_id, preview_path, error``; a failed write is told and the row stays."""
-
-    def of_partition(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            paths = [f"{folder.rstrip('/')}/{i}.jpg" for i in batch["image_id"]]
-            errors = [_write(p, bytes(d)) for p, d in zip(paths, batch["preview_data"], strict=True)]
-            yield pd.DataFrame({"image_id": batch["image_id"], "preview_path": paths, "error": errors})
-
-    return df.select("image_id", "preview_data").mapInPandas(of_partition, "image_id long, preview_path string, error string")
+    """Writes ``{image_id}.jpg``, now, and returns ``image_id, preview_path, error``; a failed write is told and the row stays."""
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image_id").cast("string"), F.lit(".jpg"))
+    status = write_files(df.select(path.alias("path"), F.col("preview_data").alias("content"), F.lit(1).alias("n")))
+    name = F.regexp_extract("path", r"(-?[0-9]+)\.jpg$", 1).cast("long")
+    return status.select(name.alias("image_id"), F.col("path").alias("preview_path"), "error")
 
 
 def verdict_json(verdict: Column, reason: Column) -> Column:

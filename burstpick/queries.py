@@ -345,7 +345,7 @@ def decoded_images(spark, sf_dir):
 
 
 def previews_written(df: DataFrame, folder: str) -> DataFrame:
-    return written(export.write_previews(df, folder), "status").select("image_id", "error")
+    return export.write_previews(df, folder).select("image_id", "error")
 
 
 def image_gray(spark, sf_dir):
