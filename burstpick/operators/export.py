@@ -66,7 +66,7 @@ def write_xmp_sidecars(entries: DataFrame, tool: str = TOOL) -> DataFrame:
     """Writes the files, now, and returns ``xmp_path, status, error, n``: written, skipped (unrated) or error; a failed file fails
     nothing else. ``n``: entries that the row stands for."""
     files = sidecars(entries, tool).select(F.col("xmp_path").alias("path"), "content", (F.col("collisions") + 1).alias("n"))
-    done = write_files(files).withColumnRenamed("path", "xmp_path")
+    done = write_files(files).select(F.col("path").alias("xmp_path"), "status", "error", "n")
     skipped = entries.filter(F.col("verdict") == UNRATED).select(
         xmp_path(F.col("raw_file_path")).alias("xmp_path"), F.lit("skipped").alias("status"),
         F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("n"),
@@ -94,9 +94,8 @@ def export_xmp(images: DataFrame, verdicts: DataFrame, tool: str = TOOL) -> tupl
 def write_previews(df: DataFrame, folder: str) -> DataFrame:
     """Writes ``{image_id}.jpg``, now, and returns ``image_id, preview_path, error``; a failed write is told and the row stays."""
     path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image_id").cast("string"), F.lit(".jpg"))
-    status = write_files(df.select(path.alias("path"), F.col("preview_data").alias("content"), F.lit(1).alias("n")))
-    name = F.regexp_extract("path", r"(-?[0-9]+)\.jpg$", 1).cast("long")
-    return status.select(name.alias("image_id"), F.col("path").alias("preview_path"), "error")
+    status = write_files(df.select("image_id", path.alias("path"), F.col("preview_data").alias("content")))
+    return status.select("image_id", F.col("path").alias("preview_path"), "error")
 
 
 def verdict_json(verdict: Column, reason: Column) -> Column:

@@ -136,6 +136,19 @@ def _sql() -> dict[str, str]:
       CASE WHEN q[2] BETWEEN 1 AND 12 AND q[3] BETWEEN 1 AND 31 THEN
         (365 * yy + yy // 4 - yy // 100 + yy // 400 + (mm * 306 + 5) // 10 + q[3] - 719469) * 86400 + q[4] * 3600 + q[5] * 60 + q[6] END AS timestamp
       FROM y"""
+    heads = ", ".join(f"'{h}'" for h in HEADS)
+    is_file = " OR ".join(f"image_id % 4 = {n}" for n, h in enumerate(HEADS) if h.startswith("ffd8"))
+    parsed = out["parse_exif"][out["parse_exif"].rindex(" SELECT image_id, CASE") :]
+    out["ingested_photos"] = _with(EXIF_SQL, EXIF_PARSED) + f""", raw AS (
+      SELECT *, row_number() OVER (ORDER BY file_path) AS id, {picked} IS NOT NULL AS kept FROM captures WHERE {ext} IN {raw}
+    ), fields AS ({parsed}) SELECT id AS image_id, file_path, {NAME.format('file_path')} AS file_name, fields.timestamp * 1000 AS ts_ms, camera_make, camera_model, focal_length_mm, aperture, iso,
+      CASE WHEN image_id % 3 = 0 AND ({is_file}) THEN image_id % 700 + 1 ELSE 0 END AS preview_width, CASE WHEN image_id % 3 = 0 AND ({is_file}) THEN image_id % 500 + 1 ELSE 0 END AS preview_height,
+      CASE WHEN image_id % 3 = 0 THEN sha256(unhex([{heads}][(image_id % 4 + 1)::INTEGER] || 'ffc0001108' || printf('%04x%04x', (image_id % 500 + 1)::INTEGER, (image_id % 700 + 1)::INTEGER) || repeat('03', 12)))
+        ELSE sha256({picked}) END AS preview_sha256,
+      (SELECT count(*) FROM raw WHERE kept) AS n_kept, (SELECT count(*) FROM raw WHERE NOT kept) AS n_skipped FROM raw JOIN fields USING (image_id) WHERE kept"""
+    named = "['_MG_', '.', 'IMG '][(image_id % 3 + 1)::INTEGER] || image_id || split_part(file_path, 'IMG_', 2)"
+    out["list_files"] = _with() + f""", f AS (SELECT {named} AS file_name, image_id % 7 AS length FROM captures WHERE ts_ms IS NOT NULL)
+      SELECT 'top/' || file_name AS file_path, file_name, length FROM f WHERE lower(regexp_extract(file_name, '^.+[.]([^.]*)$', 1)) IN {raw}"""
     out["image_summary"] = _with() + " SELECT image_id, file_path, '/previews/' || image_id || '.jpg' AS preview_path FROM captures"
     out["time_clusters"] = out["time_clusters_stitched"] = _with(CLUSTERS) + " SELECT shoot_id, image_id, cluster FROM clusters"
     out["time_clusters_global"] = _with() + """ SELECT image_id, (sum(n) OVER (ORDER BY ts_ms, image_id ROWS UNBOUNDED PRECEDING))::BIGINT AS cluster FROM

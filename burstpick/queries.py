@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from burstpick.config import CullConfig
 from burstpick.functions import imaging, vision
 from burstpick.jobs.cull import analyze_images, analyze_previews, cull, cull_scored
+from burstpick.jobs.ingest import ingest_photos
 from burstpick.operators import export, report, review, select, stack
+from burstpick.operators.file_sink import write_files
 from burstpick.sources import exif, files, previews, standin
 from burstpick.tables import shared_dir, written
 
@@ -332,6 +334,38 @@ def manifest_totals(spark, sf_dir):
     return totals.withColumn("ms_per_image", F.round(report.ms_per_image(F.col("processing_time_secs"), F.col("total_images")), 6))
 
 
+def _extracted(photos: DataFrame) -> DataFrame:
+    """What a reader took out of photo files: previews in three fields, some empty or missing, and EXIF JSON."""
+    held = lambda every, data: F.when(F.col("image_id") % every == 0, data)
+    heads, fields = standin.jpeg_headers(photos), standin.exif(photos)
+    parts = photos.select("image_id", "file_path").join(heads, "image_id").join(fields, "image_id")
+    return parts.select(
+        "file_path", F.coalesce(held(3, F.col("preview_data")), F.lit("").cast("binary")).alias("jpg_from_raw"),
+        held(2, F.concat(F.lit("P"), "image_id").cast("binary")).alias("preview_image"), F.coalesce(held(5, F.concat(F.lit("O"), "image_id")), F.lit("")).cast("binary").alias("other_image"), "json",
+    )
+
+
+def ingested_photos(spark, sf_dir):
+    """Paths and what was read from the files to numbered photos, with their previews as files, read back."""
+    photos = _photos(spark, sf_dir)
+    done = ingest_photos(photos.select("file_path"), _extracted(photos), _folder(spark, "ingested"))
+    found = files.read_bytes(done.photos.withColumn("photo", F.col("file_path")).withColumn("file_path", F.col("preview_path")))
+    return found.select(
+        "image_id", F.col("photo").alias("file_path"), "file_name", "ts_ms", "camera_make", "camera_model", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("focal_length_mm", "aperture")],
+        "iso", "preview_width", "preview_height", F.sha2("content", 256).alias("preview_sha256"), F.lit(done.n_kept).cast("long").alias("n_kept"), F.lit(done.n_skipped).cast("long").alias("n_skipped"),
+    )
+
+
+def list_files(spark, sf_dir):
+    """The photos as files named in the manner of cameras, some hidden, and listed again: whole URIs, and those of some kinds."""
+    folder = _folder(spark, "tree")
+    photos = _photos(spark, sf_dir).filter("ts_ms IS NOT NULL")
+    name = F.concat(F.element_at(F.array(F.lit("_MG_"), F.lit("."), F.lit("IMG ")), (F.col("image_id") % 3 + 1).cast("int")), "image_id", F.substring_index("file_path", "IMG_", -1))
+    write_files(photos.select(F.concat(F.lit(folder + "/"), name).alias("path"), F.repeat(F.lit("x"), (F.col("image_id") % 7).cast("int")).alias("content")))
+    found = files.filter_raw_files(files.list_files(spark, folder))
+    return found.select(F.replace("file_path", F.lit(folder), F.lit("top")).alias("file_path"), "file_name", "length")
+
+
 def _sha(c: Column) -> Column:
     return F.sha2(F.lower(F.hex(c)), 256)
 
@@ -465,6 +499,6 @@ QUERIES = {
         xmp_sidecars, export_summary, scene_report, score_report, regions, decode_yolo, nms, iou, original_coords, detect_blink,
         export_errors, export_xmp, manifest_scores, manifest_scenes, manifest_totals, preview_dimensions, decoded_images, image_gray,
         image_focus, image_hash, image_resize, image_letterbox, image_tensor, score_sharpness, model_scores, analyzed_images, culled_images,
-        decoded_jpegs, analyzed_previews, culled_previews,
+        decoded_jpegs, analyzed_previews, culled_previews, ingested_photos, list_files,
     )
 } | {f"filter_scenes_{mode}": _filtered(mode) for mode in ("all", "keepers", "rejects")}
