@@ -3,9 +3,9 @@
 Texts (A-Z lower-cased) are split into pieces at sentence marks and line ends, and pieces into words at blanks and tabs. A phrase is
 a run of words within a piece. Phrases are counted as in Suffix-sigma (Berberich and Bedathur, 2013):
 
-1. Words are counted first. A phrase is no more frequent than its rarest word, so a word that is too rare ends a suffix as a
-   piece's end does. The frequent words go to the tasks as bits of a table of fixed size (``BITS``): a rare word whose bit is set by
-   another one is kept, which costs rows but changes no count.
+1. Words are counted first, then pairs of frequent words, by a hash. A phrase is no more frequent than its rarest word or pair, so
+   one that is too rare ends a suffix as a piece's end does. What is frequent goes to the tasks as bits of two tables of fixed size
+   (``BITS``): a rare word or pair whose bit is set by another one is kept, which costs rows but changes no count.
 2. Each position gives its suffix, cut to ``max_words`` words; equal suffixes are added up in the task.
 3. Suffixes are shuffled by language and first word, and by the further words where one first word holds more than a
    partition's share (ranges of the sorted order, so one frequent word, pair or passage is split), and sorted
@@ -20,9 +20,9 @@ Other columns are ignored. Ties of cuts go to the shorter first part; ranks are
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +67,7 @@ def _by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, phrase, f`` of all words of ``docs (lang, text)``."""
+    """``lang, phrase, f, h`` of all words of ``docs (lang, text)``; ``h`` is a hash of the word in its language."""
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -75,9 +75,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
                 own.pop(_BREAK, None)
+                hashes = np.fromiter((_hash(lang, w) for w in own), np.uint64, len(own)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())],
-                    names=["lang", "phrase", "f"],
+                    [pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64()), pa.array(hashes)],
+                    names=["lang", "phrase", "f", "h"],
                 )
             counts.clear()
 
@@ -87,85 +88,78 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from rows()
         yield from rows()
 
-    found = _texts(docs).mapInArrow(of_partition, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    found = _texts(docs).mapInArrow(of_partition, "lang string, phrase string, f long, h long")
+    return found.groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
 
 
-def _bit(lang: Column, word: Column) -> Column:
-    return F.crc32(F.concat_ws(" ", lang, word).cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1))
+def _bits(hashes: DataFrame) -> Broadcast:
+    """The highest BITS bits of ``hashes (h)`` as a table of flags: 2^BITS of them in all, however many rows there are."""
+    one = F.shiftrightunsigned("h", 64 - BITS) + 1  # Spark's bitmaps begin at 1
+    own = hashes.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+    flags = np.zeros(1 << BITS >> 3, np.uint8)
+    for r in own.toLocalIterator():
+        flags[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(flags)
 
 
-def _frequent_bits(words: DataFrame, least: int) -> Broadcast:
-    """The bits of the words that are frequent enough, 2^BITS of them in all however many words there are."""
-    bit = _bit(F.col("lang"), F.col("phrase")) + 1  # Spark's bitmaps begin at 1
-    rows = words.filter(F.col("f") >= least).select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"))
-    rows = rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # 2^BITS / 32768 rows at most
-    bits = np.zeros(1 << BITS >> 3, np.uint8)
-    for r in rows:
-        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return words.sparkSession.sparkContext.broadcast(bits.tobytes())
+def _flagged(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - BITS)
+    return flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _hash(lang: str, word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8, salt=blake2b(lang.encode(), digest_size=16).digest()).digest(), "little")
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """A hash for each place and the next one."""
+    both = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
+    both = (both ^ (both >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return both ^ (both >> np.uint64(32))
 
 
 class _Codes(dict):
     """Word -> its number from 1 on, or 0 where a piece ends or the word is rare."""
 
-    def __init__(self, lang: str, bits: bytes):
+    def __init__(self, lang: str, flags: np.ndarray):
         super().__init__({_BREAK: 0})
-        self.bits, self.start, self.words = bits, zlib.crc32(lang.encode() + b" "), [b""]
+        self.lang, self.flags, self.words, self.hashes = lang, flags, [b""], [0]
 
     def __missing__(self, word: bytes) -> int:
-        bit = zlib.crc32(word, self.start) & ((1 << BITS) - 1)
-        code = 0
-        if self.bits[bit >> 3] >> (bit & 7) & 1:
+        h, code = _hash(self.lang, word), 0
+        at = h >> (64 - BITS)
+        if self.flags[at >> 3] >> (at & 7) & 1:
             code = len(self.words)
             self.words.append(word + b" ")
+            self.hashes.append(h)
         self[word] = code
         return code
 
 
-def _suffix_rows(lang: str, codes: _Codes, ids: np.ndarray, starts: int, max_words: int) -> pa.RecordBatch:
-    """The suffixes at the first ``starts`` positions, each once with its count."""
-    grid = np.zeros((max_words, starts), np.int64)
-    alive = np.ones(starts, bool)
-    for k in range(max_words):
-        own = ids[k : k + starts]
-        grid[k, : len(own)] = own
-        alive &= grid[k] > 0
-        grid[k, ~alive] = 0
-    grid = grid[:, grid[0] > 0]
-    pairs = [grid[k] << 32 | (grid[k + 1] if k + 1 < max_words else 0) for k in range(0, max_words, 2)]
-    order = np.lexsort(pairs[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([p[order][1:] != p[order][:-1] for p in pairs], axis=0)
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(order)))
-    words = pa.array(codes.words, pa.binary())
-    parts = [words.take(pa.array(column)) for column in grid[:, order[at]]]
-    suffix = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.binary())) if len(parts) > 1 else parts[0]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), suffix.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "suffix", "n"])
-
-
-def suffixes(docs: DataFrame, bits: Broadcast, max_words: int = MAX_WORDS) -> DataFrame:
-    """``lang, suffix, n``: the suffixes of all pieces, cut to ``max_words`` words, each word followed by a blank."""
+Block = Callable[[_Codes, np.ndarray, int], pa.RecordBatch]
+
+
+def _in_blocks(docs: DataFrame, flags: Broadcast, carry: int, of_block: Block, schema: str) -> DataFrame:
+    """``of_block`` of the coded words of all documents, block by block: a block has the first places that it owns, and up to
+    ``carry`` more behind them that begin the next one."""
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, _Codes] = {}
         held: dict[str, list[np.ndarray]] = {}
         n = 0
 
-        def rows(ended: str | None) -> Iterator[pa.RecordBatch]:
-            """All that is held; where a text goes on in ``ended``'s language, its last words wait."""
+        def rows(going_on: str | None) -> Iterator[pa.RecordBatch]:
             for lang, parts in list(held.items()):
                 ids = np.concatenate(parts)
-                keep = 0 if lang != ended else min(max_words - 1, len(ids))
+                keep = 0 if lang != going_on else min(carry, len(ids))
                 if len(ids) > keep:
-                    yield _suffix_rows(lang, codes[lang], ids, len(ids) - keep, max_words)
+                    yield of_block(codes[lang], ids, len(ids) - keep)
                 held[lang] = [ids[len(ids) - keep :]]
 
         for lang, words, ends in _by_language(batches):
             own = codes.get(lang)
             if own is None:
-                own = codes[lang] = _Codes(lang, bits.value)
+                own = codes[lang] = _Codes(lang, flags.value)
             held.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
             n += len(words)
             if n >= TOGETHER:
@@ -176,7 +170,57 @@ def suffixes(docs: DataFrame, bits: Broadcast, max_words: int = MAX_WORDS) -> Da
                     held.clear()
         yield from rows(None)
 
-    return _texts(docs).mapInArrow(of_partition, "lang string, suffix string, n long")
+    return _texts(docs).mapInArrow(of_partition, schema)
+
+
+def _hashes_of(codes: _Codes, ids: np.ndarray) -> np.ndarray:
+    return np.array(codes.hashes, np.uint64)[ids]
+
+
+def _pair_block(codes: _Codes, ids: np.ndarray, starts: int) -> pa.RecordBatch:
+    ids = ids[: starts + 1]
+    h, n = np.unique(_pairs(_hashes_of(codes, ids))[(ids[:-1] > 0) & (ids[1:] > 0)], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+
+def _suffix_block(pair_flags: Broadcast, max_words: int) -> Block:
+    """The suffixes at the places that a block owns, each once with its count."""
+
+    def of_block(codes: _Codes, ids: np.ndarray, starts: int) -> pa.RecordBatch:
+        after = np.zeros(len(ids), bool)  # whether a suffix goes on behind a place
+        after[:-1] = (ids[:-1] > 0) & (ids[1:] > 0) & _flagged(pair_flags.value, _pairs(_hashes_of(codes, ids)))
+        grid = np.zeros((max_words, starts), np.int64)
+        grid[0], alive = ids[:starts], np.ones(starts, bool)
+        for k in range(1, max_words):
+            on = after[k - 1 : k - 1 + starts]
+            alive[: len(on)] &= on
+            alive[len(on) :] = False
+            at = np.flatnonzero(alive)
+            grid[k, at] = ids[at + k]
+        grid = grid[:, grid[0] > 0]
+        pairs = [grid[k] << 32 | (grid[k + 1] if k + 1 < max_words else 0) for k in range(0, max_words, 2)]
+        order = np.lexsort(pairs[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([p[order][1:] != p[order][:-1] for p in pairs], axis=0)
+        at = np.flatnonzero(new)
+        n = np.diff(np.append(at, len(order)))
+        words = pa.array(codes.words, pa.binary())
+        parts = [words.take(pa.array(column)) for column in grid[:, order[at]]]
+        suffix = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.binary())) if len(parts) > 1 else parts[0]
+        return pa.RecordBatch.from_arrays([pa.array([codes.lang] * len(at), pa.string()), suffix.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "suffix", "n"])
+
+    return of_block
+
+
+def frequent_pairs(docs: DataFrame, words: Broadcast, least: int) -> DataFrame:
+    """``h``: hashes of the pairs of frequent words that stand ``least`` times or more."""
+    found = _in_blocks(docs, words, 1, _pair_block, "h long, n long")
+    return found.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
+
+
+def suffixes(docs: DataFrame, words: Broadcast, pairs: Broadcast, max_words: int = MAX_WORDS) -> DataFrame:
+    """``lang, suffix, n``: the suffixes of all pieces, cut to ``max_words`` words, each word followed by a blank."""
+    return _in_blocks(docs, words, max_words - 1, _suffix_block(pairs, max_words), "lang string, suffix string, n long")
 
 
 def _count_prefixes(least: int):
@@ -232,8 +276,10 @@ def _count_prefixes(least: int):
 def phrase_counts(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, words: DataFrame | None = None) -> DataFrame:
     """``lang, phrase, n_words, f``: all phrases of 1 to ``max_words`` words of ``docs (lang, text)`` that stand ``least`` times or more.
     ``words`` may give their ``word_counts``."""
-    bits = _frequent_bits(words if words is not None else word_counts(docs), least)
-    sorted_ = suffixes(docs, bits, max_words).repartitionByRange(F.col("lang").desc(), F.col("suffix").desc())
+    words = words if words is not None else word_counts(docs)
+    frequent = _bits(words.filter(F.col("f") >= least).select("h"))
+    pairs = _bits(frequent_pairs(docs, frequent, least))
+    sorted_ = suffixes(docs, frequent, pairs, max_words).repartitionByRange(F.col("lang").desc(), F.col("suffix").desc())
     sorted_ = sorted_.sortWithinPartitions(F.col("lang").desc(), F.col("suffix").desc())
     counts = sorted_.mapInArrow(_count_prefixes(least), "lang string, phrase string, f long")
     counts = counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
