@@ -171,25 +171,34 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL over ``documents``."""
+    """The same in DuckDB's SQL over ``documents``. Its patterns cannot look ahead, so each place where a sentence ends or may end
+    stands twice, and a known sentence takes one before and one after it."""
     known = ", ".join(f"('{s}', '{code((i,))}')" for i, s in SENTENCES.items())
     steps = "".join(
-        f", s{n} AS (SELECT doc_id, sequence, replace(seq, '{code(ids)}', '{GAP}') AS seq,"
+        f", s{n} AS (SELECT row, doc_id, sequence, replace(seq, '{code(ids)}', '{GAP}') AS seq,"
         f" found || CASE WHEN contains(seq, '{code(ids)}') THEN '{name},' ELSE '' END AS found FROM s{n - 1})"
         for n, (name, ids) in enumerate(RULES, 1)
     )
+    between = r"(?: |\n\n)"
+    any_known = "|".join(between.join(s.split(" ")).replace(f"{between}v{between}", rf"{between}v(?: |\n\n|\|\|)") for s in sorted(SENTENCES.values(), key=len, reverse=True))
     return rf"""
-WITH known(sentence, code) AS (VALUES {known}), cut AS (
-  SELECT doc_id, regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
-    '[.!?]+[ \t\n\x0b\f\r]+', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g') AS t FROM documents
+WITH known(sentence, code) AS (VALUES {known}), lower AS (
+  SELECT row_number() OVER () AS row, doc_id, chr(10) || translate(coalesce(text, ''), '{UPPER}|{{', '{LOWER}  ') || chr(10) AS t FROM documents
+), ends AS (
+  SELECT row, doc_id, regexp_replace(regexp_replace(t, '[.!?]+[ \t\n\x0b\f\r]+|\n[^a-z0-9\n]*\n', '|', 'g'), '[^a-z0-9|;\n]+', ' ', 'g') AS t FROM lower
+), normal AS (
+  SELECT row, doc_id, regexp_replace(regexp_replace(t, '[ ;\n]*[|][ |;\n]*', '|', 'g'), ' ?[;\n][ ;\n]*', chr(10), 'g') AS t FROM ends
+), marked AS (
+  SELECT row, doc_id, regexp_replace(regexp_replace(t, '([|\n])', '\1\1', 'g'), '([|\n])(?:{LIST_MARK}(?: |\|\|))?({any_known})([|\n])', '\1{{\2{{\3', 'g') AS t FROM normal
 ), parts AS (
-  SELECT doc_id, i, trim(string_split(t, chr(10))[i]) AS sentence FROM cut, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(i)
+  SELECT row, i, translate(replace(replace(string_split(t, '{{')[i], '||', '|'), chr(10) || chr(10), chr(10)), '|' || chr(10), '  ') AS sentence
+  FROM marked, unnest(range(1, len(string_split(t, '{{')) + 1)) AS u(i)
 ), coded AS (
-  SELECT doc_id, i, coalesce(code, '{GAP}') AS code FROM parts LEFT JOIN known USING (sentence) WHERE sentence <> ''
+  SELECT row, i, coalesce(code, '{GAP}') AS code FROM parts LEFT JOIN known USING (sentence) WHERE regexp_matches(sentence, '[a-z0-9]')
 ), joined AS (
-  SELECT doc_id, regexp_replace(coalesce(string_agg(code, '' ORDER BY i), ''), '({GAP})+', '{GAP}', 'g') AS sequence
-  FROM cut LEFT JOIN coded USING (doc_id) GROUP BY doc_id
-), s0 AS (SELECT doc_id, sequence, sequence AS seq, '' AS found FROM joined){steps}, hit AS (
+  SELECT row, any_value(doc_id) AS doc_id, regexp_replace(coalesce(string_agg(code, '' ORDER BY i), ''), '({GAP})+', '{GAP}', 'g') AS sequence
+  FROM lower LEFT JOIN coded USING (row) GROUP BY row
+), s0 AS (SELECT row, doc_id, sequence, sequence AS seq, '' AS found FROM joined){steps}, hit AS (
   SELECT doc_id, sequence, list_filter(string_split(found, ','), lambda x: x <> '') AS l FROM s{len(RULES)}
 )
 SELECT doc_id, (length(replace(sequence, '{GAP}', '')) // {len(GAP)})::BIGINT AS n_known, sequence,

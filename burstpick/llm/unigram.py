@@ -18,8 +18,8 @@ from functools import cached_property
 from itertools import chain
 
 MARK = "▁"
-#: Stands in units for a MARK of the text itself, which is no blank: it is unknown there.
-LITERAL = "\U0010fffe"
+#: Stands in units for a MARK of the text itself, which is no blank: it is unknown there. No text holds a lone surrogate.
+LITERAL = "\ud800"
 UNKNOWN_COST = 10.0
 #: Below every score.
 NONE = float("-inf")

@@ -256,3 +256,22 @@ def test_wrapped_anywhere(spark):
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     # the first line of 13 may be 2 as well; the longer one counts
     assert [r for r in got if r["sequence"] != license_scan.code((r["doc_id"],))] == []
+
+
+def test_sql_is_the_same_function(spark):
+    """The SQL on whole notices, wrapped and marked in several manners, on list marks and on sentences broken by empty lines."""
+    import duckdb
+    import pyarrow as pa
+
+    texts = [m + x.replace("\n", "\n" + m) for m in ("", "# ", " * ") for x, _, _ in NOTICES]
+    texts += [f"Copyright 2020 A. Body\n\n{x}\r\n\r\nimport os" for x, _, _ in NOTICES] + ["\n".join(" ".join(p.split()) for p in x.split("\n\n")) for x, _, _ in NOTICES]
+    texts += [f"Released under the MIT License\n{GPL}", "Released under\n\nthe MIT License", "Released under. The MIT License", "a {b} | c; Licensed under CC BY 4.0; d", "", None, ";;\n|", "(a) " + BSD_2]
+    texts += ["All rights reserved. Released under the MIT License. All rights reserved"]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [n for n, _ in rows], "text": pa.array(texts, pa.string())}))
+    want = con.sql(license_scan.oracle()).fetchall()
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    names = ["doc_id", "n_known", "sequence", "licenses"]
+    assert con.sql(license_scan.oracle()).columns == names
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want)

@@ -216,3 +216,15 @@ def test_no_piece_crosses_units(words, more):
         want = all_paths(own, " " + text)[0]
         assert sum(own.count(u)[1] for u in own.units(text)) == pytest.approx(-want[0])
         assert "".join(own.units(text)) == " " + text
+
+
+@pytest.mark.parametrize("char", ["\U0010fffe", "\U0010ffff", "\ue000", "\ud7ff", "▁", "\x00", "\ufffe"])
+def test_rare_code_points(words, reference, char):
+    """No code point of a text is taken for another: pieces as the tokenizer's, and the text comes back."""
+    for text in (f"a {char} b", char, f"{char}{char} x", f" {char}\n{char}"):
+        memo, paths = unigram.Memo(words.count, 50), piece_codec.Paths(words, 2)
+        encoded = piece_codec.encode_text(text, paths)
+        assert sum(memo[u][0] for u in words.units(text)) == len(ids(encoded[0][1]))
+        assert {words.decode(ids(x)) for _, x in encoded} == {text}
+        if char != "▁":
+            assert ids(encoded[0][1]) == reference(text)
