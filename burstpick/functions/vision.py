@@ -86,26 +86,6 @@ def non_max_suppression(detections: Column, threshold: float = 0.45) -> Column:
     )
 
 
-def non_max_suppression_rows(rows: DataFrame, key: str, threshold: float = 0.45) -> DataFrame:
-    """The same for a table of detections (``key, cx, cy, w, h, confidence``) with very many of them to an image."""
-
-    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("confidence", ascending=False, kind="stable")
-        box = pdf[["cx", "cy", "w", "h"]].to_numpy(float)
-        low, high, area = box[:, :2] - box[:, 2:] / 2, box[:, :2] + box[:, 2:] / 2, box[:, 2] * box[:, 3]
-        left, kept = np.arange(len(pdf)), []
-        while len(left):
-            best, left = left[0], left[1:]
-            kept.append(best)
-            side = np.maximum(0, np.minimum(high[best], high[left]) - np.maximum(low[best], low[left]))
-            shared = side[:, 0] * side[:, 1]
-            union = area[best] + area[left] - shared
-            left = left[~(np.divide(shared, union, out=np.zeros_like(shared), where=union > 0) > threshold)]
-        return pdf.iloc[kept]
-
-    return rows.groupBy(key).applyInPandas(of_group, rows.schema)
-
-
 def to_original_coords(d: Column, t: Column) -> Column:
     """A detection's box in the original image; ``t``: struct of scale, pad_x, pad_y, orig_width, orig_height."""
     sides = geometry.original_sides(d, t, geometry.COLUMNS)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Container, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstpick.operators.select import KEEPER, REJECT, UNRATED
+from burstpick.scan import segmented
 from burstpick.tables import with_row_numbers
 
 
@@ -44,9 +45,10 @@ def rank_scene_images(scenes: DataFrame, scores: DataFrame, effective: DataFrame
     """``scene_id, image_id, rank, scene_size``: the effective keeper, then by sharpness (none: 0), then in scene order."""
     joined = scenes.join(scores.select("image_id", "sharpness_score"), "image_id", "left").join(effective, "scene_id")
     first = F.coalesce(F.col("image_id") == F.col("effective_keeper_id"), F.lit(False))
-    w = Window.partitionBy("scene_id")
-    rank = F.row_number().over(w.orderBy(first.desc(), F.coalesce("sharpness_score", F.lit(0.0)).desc(), "pos_in_scene"))
-    return joined.select("scene_id", "image_id", rank.cast("long").alias("rank"), F.count(F.lit(1)).over(w).alias("scene_size"))
+    rows = joined.select("scene_id", "image_id", first.alias("_first"), F.coalesce("sharpness_score", F.lit(0.0)).alias("_sharp"), "pos_in_scene")
+    placed = segmented(rows, ["scene_id"], [F.col("_first").desc(), F.col("_sharp").desc(), F.col("pos_in_scene").asc()])
+    ranked = placed.select("scene_id", "image_id", F.col("_nth").alias("rank"))
+    return ranked.join(ranked.groupBy("scene_id").agg(F.max("rank").alias("scene_size")), "scene_id")
 
 
 def filter_scenes(mode: str, scenes: DataFrame, effective_keeper: DataFrame, effective_verdict: DataFrame) -> DataFrame:

@@ -234,6 +234,7 @@ def _sql() -> dict[str, str]:
       SELECT vec_id, k FROM kept x WHERE step = (SELECT count(*) FROM detections d WHERE d.vec_id = x.vec_id)
     )""") + """ SELECT f.vec_id, list_position(f.k, d.pos)::BIGINT - 1 AS pos, round(d.confidence, 6) AS confidence
       FROM final f JOIN detections d ON d.vec_id = f.vec_id AND list_contains(f.k, d.pos)"""
+    out["nms_rows"] = f"SELECT vec_id, confidence FROM ({out['nms']})"
     out["original_coords"] = yolo(DETECTIONS) + """, f AS (SELECT * FROM detections WHERE pos = 0), c AS (
       SELECT vec_id, greatest(0.0, cx / 0.64 - w / 0.64 / 2) AS x, greatest(0.0, (cy - 128) / 0.64 - h / 0.64 / 2) AS y,
         least(1000.0, cx / 0.64 + w / 0.64 / 2) AS x2, least(600.0, (cy - 128) / 0.64 + h / 0.64 / 2) AS y2 FROM f

@@ -18,6 +18,7 @@ from burstpick.jobs.cull import analyze_images, analyze_previews, cull, cull_sco
 from burstpick.jobs.ingest import ingest_photos
 from burstpick.operators import export, report, review, select, stack
 from burstpick.operators.file_sink import write_files
+from burstpick.operators.suppress import suppress
 from burstpick.sources import exif, files, previews, standin
 from burstpick.tables import shared_dir, written
 
@@ -270,6 +271,12 @@ def nms(spark, sf_dir):
     return kept.select("vec_id", F.posexplode("d").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x.confidence", 6).alias("confidence"))
 
 
+def nms_rows(spark, sf_dir):
+    """The same suppression over a table of detections, a row each."""
+    rows = _detections(spark, sf_dir).select("vec_id", F.posexplode("d").alias("place", "x")).select("vec_id", "place", "x.*")
+    return suppress(rows, "vec_id", CONFIG.nms_iou_threshold, ["place"]).select("vec_id", F.round("confidence", 6).alias("confidence"))
+
+
 def iou(spark, sf_dir):
     d = _detections(spark, sf_dir).filter(F.size("d") >= 2)
     return d.select("vec_id", F.round(vision.iou(F.get("d", F.lit(0)), F.get("d", F.lit(1))), 6).alias("iou"))
@@ -499,6 +506,6 @@ QUERIES = {
         xmp_sidecars, export_summary, scene_report, score_report, regions, decode_yolo, nms, iou, original_coords, detect_blink,
         export_errors, export_xmp, manifest_scores, manifest_scenes, manifest_totals, preview_dimensions, decoded_images, image_gray,
         image_focus, image_hash, image_resize, image_letterbox, image_tensor, score_sharpness, model_scores, analyzed_images, culled_images,
-        decoded_jpegs, analyzed_previews, culled_previews, ingested_photos, list_files,
+        decoded_jpegs, nms_rows, analyzed_previews, culled_previews, ingested_photos, list_files,
     )
 } | {f"filter_scenes_{mode}": _filtered(mode) for mode in ("all", "keepers", "rejects")}

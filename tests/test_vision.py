@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from burstpick.config import CullConfig
 from burstpick.functions import imaging, jpeg, vision
 from burstpick.jobs.cull import analyze_images, analyze_previews, cull
+from burstpick.operators.suppress import suppress
 
 X = np.arange(200)
 SHARP = np.tile(np.where(X % 4 < 2, 0, 255), (200, 1)).astype(np.uint8)
@@ -103,7 +104,7 @@ def test_detections(spark):
     kept = df.select(vision.non_max_suppression(d)).first()[0]
     assert [round(x["confidence"], 4) for x in kept] == [0.9, 0.7]
     rows = df.select(F.lit(1).alias("k"), F.inline(d))
-    assert sorted(round(r["confidence"], 4) for r in vision.non_max_suppression_rows(rows, "k").collect()) == [0.7, 0.9]
+    assert sorted(round(r["confidence"], 4) for r in suppress(rows, "k").collect()) == [0.7, 0.9]
     assert df.select(vision.decode_yolo(F.col("raw"), 4, 3, 0.5)).first()[0] == []
     two = df.select(vision.decode_yolo(F.concat("raw", F.array(*[F.lit(v).cast("float") for v in (0.95, 0.1, 0.1)])), 6, 3, 0.5)).first()[0]
     assert round(two[0]["confidence"], 4) == 0.95
@@ -268,3 +269,48 @@ def test_cull_of_images(spark, tmp_path):
     assert {r["image_id"]: r["verdict"] for r in done.verdicts.collect()} == {1: "keeper", 2: "reject", 3: "keeper"}
     plain = analyze_images(images, CullConfig())
     assert {r["has_face"] for r in plain.collect()} == {False}
+
+
+def greedy(boxes, threshold):
+    """Ids that stay, one box after another."""
+
+    def over(a, b):
+        side = lambda i: max(0.0, min(a[i] + a[i + 2] / 2, b[i] + b[i + 2] / 2) - max(a[i] - a[i + 2] / 2, b[i] - b[i + 2] / 2))
+        both = side(0) * side(1)
+        union = a[2] * a[3] + b[2] * b[3] - both
+        return both / union if union > 0 else 0.0
+
+    kept = []
+    for i, b in sorted(enumerate(boxes), key=lambda x: (-x[1][4], x[0])):
+        if all(over(b, boxes[k]) <= threshold for k in kept):
+            kept.append(i)
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("threshold", [0.45, 0.1, 0.9])
+def test_suppression_of_rows(spark, threshold):
+    """Boxes of very different sizes, crowds on one spot, ties, equal ones, some without an area, over several keys."""
+    rng = np.random.default_rng(int(100 * threshold))
+    rows = []
+    for key, n in ((1, 120), (2, 60), (None, 40)):
+        for _ in range(n):
+            size = 2.0 ** rng.uniform(-3, 7)
+            x, y = (rng.uniform(-200, 200, 2) if rng.random() < 0.5 else rng.normal(10, 2, 2)).tolist()
+            rows.append((key, x, y, size * rng.uniform(0.5, 2), size, float(rng.integers(0, 40)) / 40))
+        rows += [rows[-1]] * 3 + [(key, 5.0, 5.0, 0.0, 0.0, 0.5), (key, 5.0, 5.0, 0.0, 3.0, 0.5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, key long, cx double, cy double, w double, h double, confidence double").repartition(3)
+    got = {r["i"] for r in suppress(df, "key", threshold, ["i"]).collect()}
+    want = set()
+    for key in {r[0] for r in rows}:
+        own = [i for i, r in enumerate(rows) if r[0] == key]
+        want |= {own[k] for k in greedy([rows[i][1:] for i in own], threshold)}
+    assert got == want
+    assert suppress(df.limit(0), "key").count() == 0
+
+
+def test_a_crowd_on_one_spot_is_many_tasks(spark):
+    """All boxes of one image, in one place: one stays, the work is dealt, and pairs are not made."""
+    n = 20_000
+    df = spark.range(0, n, 1, 4).select(F.lit(1).alias("key"), (F.col("id") % 7 / 100 + 50).alias("cx"), F.lit(50.0).alias("cy"), F.lit(20.0).alias("w"), F.lit(20.0).alias("h"), (F.col("id") / n).alias("confidence"))
+    got = suppress(df, "key").collect()
+    assert len(got) == 1 and got[0]["confidence"] == (n - 1) / n
