@@ -31,7 +31,7 @@ from burstpick.tables import with_row_numbers
 
 MAX_N, BUCKETS = 2, 10_000
 #: Bytes of a chunk, and of the chunks that a worker hashes at once; from so many bytes on a word is hashed by itself.
-CHUNK, AT_ONCE, LONG_WORD = 1 << 16, 4 << 20, 64
+CHUNK, AT_ONCE, LONG_WORD = 1 << 16, 1 << 20, 64
 #: Of what is drawn: percent of the documents with so many words, and the seed of the noise.
 PERCENT, MIN_WORDS, SEED = 25, 20, 7
 
