@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burstpick.operators.file_sink import write_files
+from burstpick.operators.manifest_document import document_elements, manifest_rows, write_document
 from burstpick.operators.review import verdict_label
 from burstpick.operators.select import KEEPER, REJECT, UNRATED
 
@@ -105,14 +107,17 @@ def verdict_json(verdict: Column, reason: Column) -> Column:
     return F.when(verdict == KEEPER, F.lit('"Keeper"')).when(verdict == REJECT, rejected).otherwise(F.lit('"Unrated"'))
 
 
-def write_manifest(folder: str, scenes: DataFrame, keepers: DataFrame, verdicts: DataFrame) -> None:
-    """The manifest at any size: a folder of JSON lines each for scenes and scores, verdicts in the manifest's form."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos_in_scene", "image_id")))
-    rows = scenes.groupBy("scene_id").agg(F.transform(ordered, lambda x: x["image_id"]).alias("image_ids")).join(keepers, "scene_id", "left")
-    rows.select(F.col("scene_id").alias("id"), "image_ids", "keeper_id").write.mode("overwrite").json(f"{folder}/scenes", ignoreNullFields=False)
-    kept = [c for c in verdicts.columns if c not in ("verdict", "reject_reason")]
-    told = verdicts.select(*kept, F.parse_json(verdict_json(F.col("verdict"), F.col("reject_reason"))).alias("verdict"))
-    told.write.mode("overwrite").json(f"{folder}/image_scores", ignoreNullFields=False)
+def write_manifest(folder: str, scenes: DataFrame, keepers: DataFrame, verdicts: DataFrame, seconds: float = 0.0) -> None:
+    """The manifest at any size: a folder of JSON lines each for scenes and scores, verdicts in the manifest's form, and for totals."""
+    listed, scored, totals = manifest_rows(scenes, keepers, verdicts, seconds)
+    listed.write.mode("overwrite").json(f"{folder}/scenes", ignoreNullFields=False)
+    scored.write.mode("overwrite").json(f"{folder}/image_scores", ignoreNullFields=False)
+    scenes.sparkSession.createDataFrame([tuple(totals.values())], list(totals)).coalesce(1).write.mode("overwrite").json(f"{folder}/totals")
+
+
+def write_manifest_document(path: str, scenes: DataFrame, keepers: DataFrame, verdicts: DataFrame, seconds: float = 0.0) -> None:
+    """The manifest as one pretty document of any size."""
+    write_document(path, *manifest_rows(scenes, keepers, verdicts, seconds))
 
 
 def manifests(scenes: DataFrame, keepers: DataFrame, verdicts: DataFrame, by: list[str], seconds: float = 0.0) -> DataFrame:
@@ -156,5 +161,17 @@ def parse_manifest(documents: DataFrame, json: str = "json") -> tuple[DataFrame,
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``parse_manifest`` of a file, or of all files of a folder."""
-    return parse_manifest(spark.read.text(path, wholetext=True), "value")
+    """Scenes (exploded, with keeper_id), scores (with the verdict as a word) and totals of a manifest: a folder of
+    ``write_manifest`` or a document, cut at its elements."""
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(MANIFEST)}
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/scenes")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        tables = {k: spark.read.schema("value string").text(f"{path}/{k}").select(F.col("value").alias("json")) for k in ("scenes", "image_scores", "totals")}
+    else:
+        elements = document_elements(spark, path)
+        tables = {k: elements.filter(F.col("kind") == k).select("json") for k in ("scenes", "image_scores", "totals")}
+    of = lambda k, schema: tables[k].select(F.from_json("json", schema).alias("_e")).select("_e.*")
+    listed = of("scenes", kinds["scenes"].elementType).select(F.col("id").alias("scene_id"), F.posexplode("image_ids").alias("pos", "image_id"), "keeper_id")
+    scenes = listed.select("scene_id", (F.col("pos") + 1).cast("long").alias("pos_in_scene"), "image_id", "keeper_id")
+    scores = of("image_scores", kinds["image_scores"].elementType).withColumn("verdict", verdict_label(F.to_json("verdict")))
+    return scenes, scores, of("totals", T.StructType([T.StructField(k, v) for k, v in kinds.items() if k not in ("scenes", "image_scores")]))

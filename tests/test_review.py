@@ -169,6 +169,7 @@ def test_manifest_round_trip(spark, tmp_path):
     assert totals.first()["processing_time_secs"] == 1.5
     export.write_manifest(str(tmp_path / "big"), done.scenes, done.keepers, kept.drop("s"))
     assert spark.read.json(str(tmp_path / "big/scenes")).count() == 2
+    assert {tuple(map(tuple, (x.orderBy(x.columns[0], x.columns[1]).collect()))) for x in export.read_manifest(spark, str(tmp_path / "big"))[:1]} == {tuple(map(tuple, scenes.orderBy("scene_id", "pos_in_scene").collect()))}
     assert '"verdict":{"Reject":{"reason":"Blink"}}' in "".join(r[0] for r in spark.read.text(str(tmp_path / "big/image_scores")).collect())
 
 
@@ -190,3 +191,50 @@ def test_throughput():
 def test_config():
     with pytest.raises(ValueError):
         CullConfig(blink_ear_threshold=2)
+
+
+def plain_rows(tables):
+    return [sorted((tuple(r) for r in t.collect()), key=repr) for t in tables]
+
+
+def test_document_of_any_size(spark, tmp_path):
+    """One document of many pieces and partitions: the bytes of the small form; read by byte ranges, and as a folder, the same tables."""
+    rng = random.Random(3)
+    box = lambda i: (float(i), 2.0, 3.5, 4.0) if i % 3 else None
+    rows = [(i, 10 * i, None, float(i % 17), bool(i % 3), i % 5 == 0, box(i), 0.25 if i % 4 else None, 7) for i in range(1, 400)]
+    rng.shuffle(rows)
+    schema = "image_id long, ts_ms long, phash long, sharpness_score double, has_face boolean, blink_detected boolean, face_bbox struct<x:double,y:double,width:double,height:double>, eye_aspect_ratio double, s long"
+    done = cull_scored(spark.createDataFrame(rows, schema).withColumn("ts_ms", F.col("ts_ms") + F.floor(F.col("image_id") / 7) * 10_000), CullConfig(), ["s"])
+    kept = done.verdicts.select("image_id", "sharpness_score", "has_face", "face_bbox", "blink_detected", "eye_aspect_ratio", "verdict", "reject_reason", "s")
+    small = export.manifests(done.scenes, done.keepers, kept, ["s"], 1.5).first()["json"]
+    path = str(tmp_path / "whole.json")
+    export.write_manifest_document(path, done.scenes, done.keepers, kept.drop("s"), 1.5)
+    assert open(path).read() == small
+    assert [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
+    want = plain_rows(t.drop("s") for t in export.parse_manifest(export.manifests(done.scenes, done.keepers, kept, ["s"], 1.5)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        assert plain_rows(export.read_manifest(spark, path)) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    doc = json.loads(small)
+    doc["processing_time_secs"] = doc.pop("processing_time_secs")  # another writer's order and white space
+    for n, how in enumerate(({"indent": 2}, {}, {"separators": (",", ":")})):
+        other = tmp_path / f"{n}.json"
+        other.write_text(json.dumps(doc, **how))
+        assert plain_rows(export.read_manifest(spark, str(other))) == want
+    export.write_manifest(str(tmp_path / "folder"), done.scenes, done.keepers, kept.drop("s"), 1.5)
+    assert plain_rows(export.read_manifest(spark, str(tmp_path / "folder"))) == want
+
+
+def test_document_of_nothing_and_of_one(spark, tmp_path):
+    schema = "image_id long, ts_ms long, phash long, sharpness_score double, has_face boolean, blink_detected boolean, s long"
+    for n in (0, 1):
+        done = cull_scored(spark.createDataFrame([(5, 0, None, 2.0, True, False, 0)][:n], schema), CullConfig(), ["s"])
+        path = str(tmp_path / f"{n}.json")
+        export.write_manifest_document(path, done.scenes, done.keepers, done.verdicts.select("image_id", "sharpness_score", "has_face", "blink_detected", "verdict", "reject_reason"), 0.5)
+        assert json.loads(open(path).read())["total_images"] == n
+        scenes, scores, totals = export.read_manifest(spark, path)
+        assert (scenes.count(), scores.count(), totals.first()["total_scenes"], totals.first()["processing_time_secs"]) == (n, n, n, 0.5)
