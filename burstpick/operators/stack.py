@@ -48,9 +48,13 @@ def singleton_scenes(df: DataFrame) -> DataFrame:
     return df.filter(F.col("ts_ms").isNull())
 
 
-def stack_scenes(df: DataFrame, threshold_secs: float, phash_threshold: int, by: list[str] | None = None) -> DataFrame:
+def stack_scenes(df: DataFrame, threshold_secs: float, phash_threshold: int, by: list[str] | None = None, ts_unit: str = "ms") -> DataFrame:
     """``scene_id, pos_in_scene, image_id`` and ``by``. Scenes are numbered 1, 2, ... by their first photo, those without
-    a time last."""
+    a time last. ``ts_unit``: what ``ts_ms`` counts, ``ms`` or ``s``."""
+    if ts_unit not in ("ms", "s"):
+        raise ValueError(f"ts_unit {ts_unit!r}: ms or s")
+    if ts_unit == "s":
+        df = df.withColumn("ts_ms", F.col("ts_ms") * 1000)
     keys = by or []
     timed = time_clusters(df.select(*keys, *ORDER, "phash"), threshold_secs, keys)
     split = split_by_phash(timed, phash_threshold, keys)

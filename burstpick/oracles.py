@@ -234,6 +234,10 @@ def _sql() -> dict[str, str]:
       SELECT vec_id, k FROM kept x WHERE step = (SELECT count(*) FROM detections d WHERE d.vec_id = x.vec_id)
     )""") + """ SELECT f.vec_id, list_position(f.k, d.pos)::BIGINT - 1 AS pos, round(d.confidence, 6) AS confidence
       FROM final f JOIN detections d ON d.vec_id = f.vec_id AND list_contains(f.k, d.pos)"""
+    at = lambda row: f"raw[{row} * 10 + i + 1]"
+    out["decode_yolo_classes"] = yolo(f"""c AS (SELECT vec_id, i, {at(0)} AS cx, {at(1)} AS cy, {at(2)} AS w, {at(3)} AS h, greatest(0.0, {at(4)}, {at(5)}) AS confidence
+      FROM yolo, unnest(range(10)) AS u(i))""") + f""" SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY confidence DESC, i) - 1 AS pos, {', '.join(map(r, ('cx', 'cy', 'w', 'h', 'confidence')))}
+      FROM c WHERE confidence >= 0.1"""
     out["nms_rows"] = f"SELECT vec_id, confidence FROM ({out['nms']})"
     out["original_coords"] = yolo(DETECTIONS) + """, f AS (SELECT * FROM detections WHERE pos = 0), c AS (
       SELECT vec_id, greatest(0.0, cx / 0.64 - w / 0.64 / 2) AS x, greatest(0.0, (cy - 128) / 0.64 - h / 0.64 / 2) AS y,
@@ -248,6 +252,9 @@ def _sql() -> dict[str, str]:
     totals = ", ".join(f"count(*) FILTER (verdict = '{v}') AS total_{n}" for v, n in (("keeper", "keepers"), ("reject", "rejects"), ("unrated", "unrated")))
     out["manifest_totals"] = _with(*CULLED) + f""" SELECT shoot_id, count(*) AS total_images, count(DISTINCT scene_id) AS total_scenes, {totals},
       1.5::DOUBLE AS processing_time_secs, round(1500.0::DOUBLE / count(*), 6) AS ms_per_image FROM verdicts JOIN scenes USING (shoot_id, image_id) GROUP BY shoot_id"""
+    out["manifest_document"] = _with(*CULLED) + """ SELECT scene_id, pos_in_scene, image_id, keeper_id, round(sharpness_score, 6) AS sharpness_score, has_face, blink_detected, verdict
+      FROM verdicts JOIN scenes USING (image_id) JOIN keepers USING (scene_id)"""
+    out["manifest_document_totals"] = _with(*CULLED) + f" SELECT count(*) AS total_images, count(DISTINCT scene_id) AS total_scenes, {totals}, 1.5::DOUBLE AS processing_time_secs FROM verdicts JOIN scenes USING (image_id)"
     is_jpeg = " OR ".join(f"image_id % 4 = {n}" for n, h in enumerate(HEADS) if h.startswith("ffd8"))
     out["preview_dimensions"] = _with() + f""" SELECT image_id, CASE WHEN {is_jpeg} THEN image_id % 700 + 1 ELSE 0 END AS preview_width,
       CASE WHEN {is_jpeg} THEN image_id % 500 + 1 ELSE 0 END AS preview_height FROM captures"""
@@ -338,6 +345,11 @@ def _image_sql() -> dict[str, str]:
     value = lambda ch, y, x, mean, std: f"max(CASE WHEN y = {y} AND x = {x} THEN (({ch}::FLOAT / 255::FLOAT - {mean}::FLOAT) / {std}::FLOAT)::DOUBLE END)"
     out["image_tensor"] = of() + f""" SELECT image_id, 5760::BIGINT AS n, {value('r', 0, 0, 0.485, 0.229)} AS red, {value('g', 1, 5, 0.456, 0.224)} AS green,
       {value('b', 47, 39, 0.406, 0.225)} AS blue FROM px GROUP BY image_id"""
+    scaled = lambda ch, mean, std: f"round((({ch}::FLOAT / 255::FLOAT - {mean}::FLOAT) / {std}::FLOAT)::DOUBLE * 1000)::BIGINT"
+    channels = [(n, ch, mean, std) for n, (ch, mean, std) in enumerate((("r", 0.485, 0.229), ("g", 0.456, 0.224), ("b", 0.406, 0.225)))]
+    nchw = " + ".join(f"{scaled(ch, mean, std)} * (({n} * 1920 + y * 40 + x) % 1009 + 1)" for n, ch, mean, std in channels)
+    nhwc = " + ".join(f"{scaled(ch, mean, std)} * ((3 * (y * 40 + x) + {n}) % 1009 + 1)" for n, ch, mean, std in channels)
+    out["image_tensor_digest"] = of() + f" SELECT image_id, sum({nchw})::BIGINT AS nchw, sum({nhwc})::BIGINT AS nhwc FROM px GROUP BY image_id"
     dot = lambda w: f"round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ({w}))), 6)"
     out["model_scores"] = f"SELECT vec_id, {dot('(i - 1) % 5 - 2')} AS a, {dot('(i - 1) % 3 + 1')} AS b FROM embeddings"
     of_jpegs = lambda *more: "WITH RECURSIVE " + ", ".join([JPEGS_SQL, *more])

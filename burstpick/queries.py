@@ -352,6 +352,24 @@ def _extracted(photos: DataFrame) -> DataFrame:
     )
 
 
+def _document(spark, sf_dir):
+    """The whole cull as one manifest document, written and read back: scenes, scores, totals."""
+    done = cull_scored(_photos(spark, sf_dir), CONFIG, BY)
+    told = done.verdicts.select("image_id", "sharpness_score", "has_face", "blink_detected", "verdict", "reject_reason")
+    path = _folder(spark, "manifest") + "/manifest.json"
+    export.write_manifest_document(path, done.scenes, done.keepers, told, 1.5)
+    return export.read_manifest(spark, path)
+
+
+def manifest_document(spark, sf_dir):
+    scenes, scores, _ = _document(spark, sf_dir)
+    return scenes.join(scores, "image_id").select("scene_id", "pos_in_scene", "image_id", "keeper_id", _r("sharpness_score"), "has_face", "blink_detected", "verdict")
+
+
+def manifest_document_totals(spark, sf_dir):
+    return _document(spark, sf_dir)[2]
+
+
 def ingested_photos(spark, sf_dir):
     """Paths and what was read from the files to numbered photos, with their previews as files, read back."""
     photos = _photos(spark, sf_dir)
@@ -421,6 +439,24 @@ def image_tensor(spark, sf_dir):
     return standin.patches(spark, sf_dir).select("image_id", tensor.alias("t")).select("image_id", F.size("t").cast("long").alias("n"), at(0).alias("red"), at(size + 45).alias("green"), at(3 * size - 1).alias("blue"))
 
 
+def image_tensor_digest(spark, sf_dir):
+    """All values of each photo's tensor, in its order, with the weights of their places: sums that any wrong value or place changes."""
+    out = standin.patches(spark, sf_dir).select("image_id")
+    for layout in ("NCHW", "NHWC"):
+        tensor = vision.to_tensor("image", imaging.IMAGENET_MEAN, imaging.IMAGENET_STD, layout)
+        whole = standin.patches(spark, sf_dir).select("image_id", tensor.alias("t"))
+        placed = F.aggregate(F.transform("t", lambda x, i: F.round(x.cast("double") * 1000).cast("long") * (i % 1009 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+        out = out.join(whole.select("image_id", placed.alias(layout.lower())), "image_id")
+    return out
+
+
+def decode_yolo_classes(spark, sf_dir):
+    """The detector outputs read as six rows of ten columns: two classes, the better one counts."""
+    d = standin.yolo_raw(spark, sf_dir).select("vec_id", vision.decode_yolo(F.col("raw"), 6, 10, 0.1).alias("d"))
+    rows = d.select("vec_id", F.posexplode("d").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), "x.*")
+    return rows.withColumns({c: F.round(c, 6) for c in ("cx", "cy", "w", "h", "confidence")})
+
+
 def score_sharpness(spark, sf_dir):
     """The middle of each photo."""
     placed = standin.patches(spark, sf_dir).withColumn("face_bbox", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
@@ -506,6 +542,7 @@ QUERIES = {
         xmp_sidecars, export_summary, scene_report, score_report, regions, decode_yolo, nms, iou, original_coords, detect_blink,
         export_errors, export_xmp, manifest_scores, manifest_scenes, manifest_totals, preview_dimensions, decoded_images, image_gray,
         image_focus, image_hash, image_resize, image_letterbox, image_tensor, score_sharpness, model_scores, analyzed_images, culled_images,
-        decoded_jpegs, nms_rows, analyzed_previews, culled_previews, ingested_photos, list_files,
+        decoded_jpegs, nms_rows, manifest_document, manifest_document_totals, analyzed_previews, culled_previews, ingested_photos, list_files,
+        image_tensor_digest, decode_yolo_classes,
     )
 } | {f"filter_scenes_{mode}": _filtered(mode) for mode in ("all", "keepers", "rejects")}

@@ -233,3 +233,12 @@ def test_null_and_large_keys(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert scenes(df) == [[1], [4, 5], [2, 3], [6], [8], [7]]
     assert {(r["shoot"], r["image_id"]) for r in stack.stack_scenes(df, 3.0, 14, ["shoot"]).collect()} == {(r[3], r[0]) for r in rows}
+
+
+def test_times_in_seconds(spark):
+    """A gap of 3 s is one of 3 s in either unit."""
+    rows = [(1, 0), (2, 3), (3, 7), (4, None)]
+    told = lambda df, unit: sorted(tuple(r) for r in stack.stack_scenes(df, 3.0, 14, [], unit).collect())
+    assert told(photos(spark, rows), "s") == told(photos(spark, [(i, None if t is None else 1000 * t) for i, t in rows]), "ms") == [(1, 1, 1), (1, 2, 2), (2, 1, 3), (3, 1, 4)]
+    with pytest.raises(ValueError):
+        stack.stack_scenes(photos(spark, rows), 3.0, 14, [], "us")

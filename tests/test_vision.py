@@ -314,3 +314,30 @@ def test_a_crowd_on_one_spot_is_many_tasks(spark):
     df = spark.range(0, n, 1, 4).select(F.lit(1).alias("key"), (F.col("id") % 7 / 100 + 50).alias("cx"), F.lit(50.0).alias("cy"), F.lit(20.0).alias("w"), F.lit(20.0).alias("h"), (F.col("id") / n).alias("confidence"))
     got = suppress(df, "key").collect()
     assert len(got) == 1 and got[0]["confidence"] == (n - 1) / n
+
+
+@pytest.mark.parametrize("size,to", [((48, 40), (24, 20)), ((30, 50), (7, 13)), ((9, 9), (20, 31))])
+def test_resize_by_the_definition(size, to):
+    """Triangle filter, widened when shrinking: each value as a weighted mean, one by one."""
+    rng = np.random.default_rng(sum(size))
+    img = rng.integers(0, 255, (*size, 3)).astype(np.uint8)
+    got = imaging.resize_exact(img, to[1], to[0])
+    assert got.shape == (*to, 3)
+
+    def taps(n, m, o):
+        ratio = n / m
+        weights = [(k, max(0.0, 1 - abs(k + 0.5 - (o + 0.5) * ratio) / max(1.0, ratio))) for k in range(n)]
+        return [(k, w) for k, w in weights if w > 0]
+
+    for y in range(0, to[0], 3):
+        for x in range(0, to[1], 3):
+            pairs = [(i, j, a * b) for i, a in taps(size[0], to[0], y) for j, b in taps(size[1], to[1], x)]
+            want = sum(w * img[i, j].astype(float) for i, j, w in pairs) / sum(w for *_, w in pairs)
+            assert (np.abs(got[y, x] - want) <= 0.5 + 1e-9).all()
+
+
+def test_letterbox_at_another_scale():
+    img = np.random.default_rng(5).integers(0, 255, (60, 90, 3)).astype(np.uint8)
+    canvas, t = imaging.letterbox(img, 45, 50)
+    assert t == (0.5, 0.0, 10.0, 90.0, 60.0)
+    assert (canvas[10:40] == imaging.resize_exact(img, 45, 30)).all() and (canvas[:10] == 114).all() and (canvas[40:] == 114).all()
