@@ -3,9 +3,10 @@
 Texts (A-Z lower-cased) are split into pieces at sentence marks and line ends, and pieces into words at blanks and tabs. A phrase is
 a run of words within a piece. Phrases are counted as in Suffix-sigma (Berberich and Bedathur, 2013):
 
-1. Words are counted first, then pairs of frequent words, by a hash. A phrase is no more frequent than its rarest word or pair, so
-   one that is too rare ends a suffix as a piece's end does. What is frequent goes to the tasks as bits of two tables of fixed size
-   (``BITS``): a rare word or pair whose bit is set by another one is kept, which costs rows but changes no count.
+1. Words are counted first, then pairs of frequent words, by a hash: neighbours, and words with one between them. A phrase is no more
+   frequent than its rarest word or pair, so one that is too rare ends a suffix as a piece's end does. What is frequent goes to the
+   tasks as bits of two tables of fixed size (``BITS``): a rare word or pair whose bit is set by another one is kept, which costs rows
+   but changes no count.
 2. Each position gives its suffix, cut to ``max_words`` words; equal suffixes are added up in the task.
 3. Suffixes are shuffled by language and first word, and by the further words where one first word holds more than a
    partition's share (ranges of the sorted order, so one frequent word, pair or passage is split), and sorted
@@ -111,9 +112,9 @@ def _hash(lang: str, word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8, salt=blake2b(lang.encode(), digest_size=16).digest()).digest(), "little")
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """A hash for each place and the next one."""
-    both = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
+def _pairs(h: np.ndarray, apart: int) -> np.ndarray:
+    """A hash for each place and the one ``apart`` behind it."""
+    both = (h[:-apart] * np.uint64(0x9E3779B97F4A7C15 + 2 * apart)) ^ h[apart:]
     both = (both ^ (both >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return both ^ (both >> np.uint64(32))
 
@@ -178,8 +179,12 @@ def _hashes_of(codes: _Codes, ids: np.ndarray) -> np.ndarray:
 
 
 def _pair_block(codes: _Codes, ids: np.ndarray, starts: int) -> pa.RecordBatch:
-    ids = ids[: starts + 1]
-    h, n = np.unique(_pairs(_hashes_of(codes, ids))[(ids[:-1] > 0) & (ids[1:] > 0)], return_counts=True)
+    h, found = _hashes_of(codes, ids), []
+    for apart in (1, 2):
+        known = np.all([ids[k : len(ids) - apart + k] > 0 for k in range(apart + 1)], axis=0)
+        known[starts:] = False
+        found.append(_pairs(h, apart)[known] if len(ids) > apart else h[:0])
+    h, n = np.unique(np.concatenate(found), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
 
@@ -187,15 +192,16 @@ def _suffix_block(pair_flags: Broadcast, max_words: int) -> Block:
     """The suffixes at the places that a block owns, each once with its count."""
 
     def of_block(codes: _Codes, ids: np.ndarray, starts: int) -> pa.RecordBatch:
-        after = np.zeros(len(ids), bool)  # whether a suffix goes on behind a place
-        after[:-1] = (ids[:-1] > 0) & (ids[1:] > 0) & _flagged(pair_flags.value, _pairs(_hashes_of(codes, ids)))
+        h = _hashes_of(codes, ids)
+        next_to = np.zeros(len(ids), bool)  # whether a place and the next one are a frequent pair, and it and the one after that
+        next_to[:-1] = (ids[:-1] > 0) & (ids[1:] > 0) & _flagged(pair_flags.value, _pairs(h, 1))
+        over = np.zeros(len(ids), bool)
+        over[:-2] = _flagged(pair_flags.value, _pairs(h, 2)) if len(ids) > 2 else False
         grid = np.zeros((max_words, starts), np.int64)
-        grid[0], alive = ids[:starts], np.ones(starts, bool)
+        grid[0], at = ids[:starts], np.arange(starts)
         for k in range(1, max_words):
-            on = after[k - 1 : k - 1 + starts]
-            alive[: len(on)] &= on
-            alive[len(on) :] = False
-            at = np.flatnonzero(alive)
+            at = at[at + k < len(ids)]
+            at = at[next_to[at + k - 1] & (over[at + k - 2] if k > 1 else True)]
             grid[k, at] = ids[at + k]
         grid = grid[:, grid[0] > 0]
         pairs = [grid[k] << 32 | (grid[k + 1] if k + 1 < max_words else 0) for k in range(0, max_words, 2)]
@@ -213,8 +219,8 @@ def _suffix_block(pair_flags: Broadcast, max_words: int) -> Block:
 
 
 def frequent_pairs(docs: DataFrame, words: Broadcast, least: int) -> DataFrame:
-    """``h``: hashes of the pairs of frequent words that stand ``least`` times or more."""
-    found = _in_blocks(docs, words, 1, _pair_block, "h long, n long")
+    """``h``: hashes of the pairs of frequent words, next to each other or with one between, that stand ``least`` times or more."""
+    found = _in_blocks(docs, words, 2, _pair_block, "h long, n long")
     return found.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
 
 
@@ -279,8 +285,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORD
     words = words if words is not None else word_counts(docs)
     frequent = _bits(words.filter(F.col("f") >= least).select("h"))
     pairs = _bits(frequent_pairs(docs, frequent, least))
-    sorted_ = suffixes(docs, frequent, pairs, max_words).repartitionByRange(F.col("lang").desc(), F.col("suffix").desc())
-    sorted_ = sorted_.sortWithinPartitions(F.col("lang").desc(), F.col("suffix").desc())
+    table = written(suffixes(docs, frequent, pairs, max_words), "suffixes")  # its ranges are told from a sample, so it is read twice
+    order = F.col("lang").desc(), F.col("suffix").desc()
+    sorted_ = table.repartitionByRange(*order).sortWithinPartitions(*order)
     counts = sorted_.mapInArrow(_count_prefixes(least), "lang string, phrase string, f long")
     counts = counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")
