@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,8 @@ from burstpick.config import CullConfig
 from burstpick.functions import vision
 from burstpick.functions.jpeg import decode_jpeg
 from burstpick.operators import select, stack
-from burstpick.tables import written
+from burstpick.operators.report import throughput
+from burstpick.tables import discard, written
 
 
 @dataclass(frozen=True)
@@ -25,17 +27,65 @@ class Cull:
     totals: DataFrame
 
 
+def _placed(photos: DataFrame, scenes: DataFrame) -> DataFrame:
+    """``photos`` with their scenes, written once: keepers and verdicts both read it."""
+    return written(scenes.select("scene_id", "pos_in_scene", "image_id").join(photos.drop("scene_id", "pos_in_scene"), "image_id"), "scored")
+
+
+def _judged(placed: DataFrame, keepers: DataFrame) -> DataFrame:
+    return select.assign_verdicts_in_scene(placed.drop("verdict", "reject_reason").join(keepers, "scene_id"))
+
+
+def _slim(photos: DataFrame, judged: DataFrame) -> DataFrame:
+    return judged.select(*[f"`{c}`" for c in photos.columns if c not in ("scene_id", "pos_in_scene", "verdict", "reject_reason")], "verdict", "reject_reason")
+
+
 def cull_scored(photos: DataFrame, config: CullConfig, by: list[str] | None = None) -> Cull:
     """From ``photos (image_id, ts_ms, phash, sharpness_score, has_face, blink_detected)``, already scored."""
     scenes = stack.stack_scenes(photos, config.burst_threshold_secs, config.phash_similarity_threshold, by)
     scenes = written(scenes, "scenes")
-    scored = written(scenes.select("scene_id", "pos_in_scene", "image_id").join(photos.drop("scene_id", "pos_in_scene"), "image_id"), "scored")
-    keepers = select.pick_scene_keepers(scored)
-    verdicts = select.assign_verdicts_in_scene(scored.drop("verdict", "reject_reason").join(keepers, "scene_id"))
-    verdicts = verdicts.select(*[f"`{c}`" for c in photos.columns if c not in ("scene_id", "pos_in_scene", "verdict", "reject_reason")], "verdict", "reject_reason")
+    placed = _placed(photos, scenes)
+    keepers = select.pick_scene_keepers(placed)
+    verdicts = _slim(photos, _judged(placed, keepers))
     return Cull(scenes, keepers, verdicts, select.cull_totals(scenes, verdicts))
 
 
+@dataclass(frozen=True)
+class Run:
+    """A cull in a folder, and what was counted while its verdicts were written."""
+
+    cull: Cull
+    images: int
+    scenes: int
+    keepers: int
+    rejects: int
+    unrated: int
+    seconds: float
+
+    @property
+    def ms_per_image(self) -> float:
+        return throughput(self.seconds, self.images)
+
+
+def run_cull(photos: DataFrame, config: CullConfig, folder: str, by: list[str] | None = None) -> Run:
+    """``cull_scored``, run now: scenes, keepers and verdicts as Parquet in ``folder``. Totals are an ``Observation`` of the pass that
+    writes the verdicts, in its last stage, so nothing is read again for them and a task that is repeated counts once."""
+    began, seen = time.monotonic(), Observation("cull")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    scenes = kept(stack.stack_scenes(photos, config.burst_threshold_secs, config.phash_similarity_threshold, by), "scenes")
+    placed = _placed(photos, scenes)
+    keepers = kept(select.pick_scene_keepers(placed), "keepers")
+    verdicts = kept(_slim(photos, _judged(placed, keepers).observe(seen, *select.observed_totals())), "verdicts")
+    discard(placed)
+    totals = seen.get
+    row = photos.sparkSession.createDataFrame([tuple(totals.values())], ", ".join(f"{c} long" for c in totals))
+    return Run(Cull(scenes, keepers, verdicts, row), **totals, seconds=time.monotonic() - began)
+
+
 #: Bytes of decoded photos that a worker holds at once, but for one that is larger.
 BUFFER = 256 << 20
 

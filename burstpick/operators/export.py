@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +96,37 @@ def export_xmp(images: DataFrame, verdicts: DataFrame, tool: str = TOOL) -> tupl
     return export_summary(status), export_errors(status)
 
 
+@dataclass(frozen=True)
+class Exported:
+    """Sidecars that were written: ``status`` as of ``write_files`` beside ``xmp_path, n``, and the counts of the run."""
+
+    status: DataFrame
+    files_written: int
+    files_skipped: int
+    n_errors: int
+    seconds: float
+
+    @property
+    def errors(self) -> DataFrame:
+        return export_errors(self.status)
+
+
+def run_export(images: DataFrame, verdicts: DataFrame, tool: str = TOOL) -> Exported:
+    """``export_xmp`` with counts: entries are read once, by the pass that writes the files, and an ``Observation`` behind its last
+    shuffle counts those that ask for none."""
+    began, seen = time.monotonic(), Observation("export")
+    rated = F.col("verdict") != UNRATED
+    entries = export_entries(images, verdicts).withColumn("xmp_path", xmp_path(F.col("raw_file_path")))
+    won = entries.groupBy("xmp_path").agg(
+        F.max_by("verdict", F.when(rated, F.col("image_id"))).alias("verdict"), F.count_if(rated).alias("n"), F.count_if(~rated).alias("n_skipped"),
+    )
+    won = won.observe(seen, F.coalesce(F.sum("n_skipped"), F.lit(0)).alias("files_skipped")).filter(F.col("n") > 0)
+    status = write_files(won.select(F.col("xmp_path").alias("path"), xmp_content(F.col("verdict"), tool).alias("content"), "n"))
+    status = status.withColumnRenamed("path", "xmp_path")
+    done = export_summary(status).first()
+    return Exported(status, done["files_written"], seen.get["files_skipped"], done["n_errors"], time.monotonic() - began)
+
+
 def write_previews(df: DataFrame, folder: str) -> DataFrame:
     """Writes ``{image_id}.jpg``, now, and returns ``image_id, preview_path, error``; a failed write is told and the row stays."""
     path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image_id").cast("string"), F.lit(".jpg"))

@@ -57,3 +57,10 @@ def cull_totals(scenes: DataFrame, verdicts: DataFrame) -> DataFrame:
     counts = verdicts.agg(F.count(F.lit(1)).alias("images"), of(KEEPER).alias("keepers"), of(REJECT).alias("rejects"), of(UNRATED).alias("unrated"))
     n = scenes.select("scene_id").distinct().agg(F.count(F.lit(1)).alias("scenes"))
     return counts.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def observed_totals() -> list[Column]:
+    """The same of rows with ``pos_in_scene, verdict`` as aggregates for an ``Observation``: a scene is its first photo."""
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    scenes = F.count_if(F.col("pos_in_scene") == 1).alias("scenes")
+    return [F.count(F.lit(1)).alias("images"), scenes, of(KEEPER).alias("keepers"), of(REJECT).alias("rejects"), of(UNRATED).alias("unrated")]

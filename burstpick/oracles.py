@@ -167,6 +167,8 @@ def _sql() -> dict[str, str]:
     out["assign_verdicts"] = _with(*CULLED) + " SELECT image_id, verdict, reject_reason FROM verdicts"
     counts = "count(*) FILTER (verdict = 'keeper') AS keepers, count(*) FILTER (verdict = 'reject') AS rejects, count(*) FILTER (verdict = 'unrated') AS unrated"
     out["cull_totals"] = _with(*CULLED) + f" SELECT count(*) AS images, {counts}, (SELECT count(DISTINCT scene_id) FROM scenes) AS scenes FROM verdicts"
+    out["cull_run"] = _with(*CULLED) + f""" SELECT count(*) AS images, {counts}, (SELECT count(DISTINCT scene_id) FROM scenes) AS scenes,
+      count(*) FILTER (reject_reason = 'blink') AS blinks FROM verdicts"""
     out["verdicts_by_shoot"] = _with(*CULLED) + f" SELECT shoot_id, count(*) AS images, {counts} FROM verdicts GROUP BY shoot_id"
     out["verdict_label"] = _with(*CULLED) + """ SELECT image_id, CASE verdict WHEN 'keeper' THEN '"Keeper"' WHEN 'reject' THEN '{"Reject":{"reason":"Blink"}}' ELSE '"Unrated"' END AS json, verdict AS label FROM verdicts"""
     out["effective_verdicts"] = _with(*CULLED, OVERRIDES_SQL) + """ SELECT image_id, coalesce(override, verdict, 'unrated') AS effective_verdict
@@ -201,6 +203,8 @@ def _sql() -> dict[str, str]:
     out["export_xmp"] = _with(EXPORT_REQUESTS_SQL) + f""", e AS ({entries}), w AS (
       SELECT 'IMG_' || (image_id // 10) || '.xmp' AS file_name, arg_max(verdict, image_id) AS verdict FROM e WHERE verdict <> 'unrated' GROUP BY 1
     ) SELECT file_name, sha256({content}) AS content_sha256 FROM w"""
+    out["export_run"] = _with(EXPORT_REQUESTS_SQL) + f""", e AS ({entries}) SELECT count(*) FILTER (verdict <> 'unrated') AS files_written,
+      count(*) FILTER (verdict = 'unrated') AS files_skipped, 0::BIGINT AS n_errors FROM e"""
     out["scene_report"] = _with(*CULLED) + f""" SELECT s.scene_id, count(*) AS n_images,
       coalesce(any_value({NAME.format('c.file_path')}), 'none') AS keeper
       FROM scenes s LEFT JOIN keepers k USING (scene_id) LEFT JOIN captures c ON c.image_id = k.keeper_id GROUP BY s.scene_id"""

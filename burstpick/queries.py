@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from burstpick.config import CullConfig
 from burstpick.functions import imaging, vision
-from burstpick.jobs.cull import analyze_images, analyze_previews, cull, cull_scored
+from burstpick.jobs.cull import analyze_images, analyze_previews, cull, cull_scored, run_cull
 from burstpick.jobs.ingest import ingest_photos
 from burstpick.operators import export, report, review, select, stack
 from burstpick.operators.file_sink import write_files
@@ -316,6 +316,21 @@ def export_xmp(spark, sf_dir):
     return found.select("file_name", F.sha2("content", 256).alias("content_sha256"))
 
 
+def export_run(spark, sf_dir):
+    """The counts of a run that writes sidecars, observed as it writes."""
+    photos, folder = _photos(spark, sf_dir), _folder(spark, "sidecars")
+    coarse = photos.withColumn("file_path", F.concat(F.lit(folder + "/IMG_"), F.floor(F.col("image_id") / 10).cast("string"), F.lit(".CR2")))
+    done = export.run_export(coarse, standin.export_requests(photos))
+    return spark.createDataFrame([(done.files_written, done.files_skipped, done.n_errors)], "files_written long, files_skipped long, n_errors long")
+
+
+def cull_run(spark, sf_dir):
+    """The totals of a run that writes scenes, keepers and verdicts, observed as it writes, beside what stands in the folder."""
+    done = run_cull(_photos(spark, sf_dir), CONFIG, _folder(spark, "cull"), BY)
+    blinks = done.cull.verdicts.agg(F.count_if(F.col("reject_reason") == "blink").alias("blinks"))
+    return done.cull.totals.withColumn("_one", F.lit(1)).join(blinks.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def manifest_scores(spark, sf_dir):
     """A manifest for each shoot, read back: its scores."""
     photos = _photos(spark, sf_dir)
@@ -543,6 +558,6 @@ QUERIES = {
         export_errors, export_xmp, manifest_scores, manifest_scenes, manifest_totals, preview_dimensions, decoded_images, image_gray,
         image_focus, image_hash, image_resize, image_letterbox, image_tensor, score_sharpness, model_scores, analyzed_images, culled_images,
         decoded_jpegs, nms_rows, manifest_document, manifest_document_totals, analyzed_previews, culled_previews, ingested_photos, list_files,
-        image_tensor_digest, decode_yolo_classes,
+        image_tensor_digest, decode_yolo_classes, cull_run, export_run,
     )
 } | {f"filter_scenes_{mode}": _filtered(mode) for mode in ("all", "keepers", "rejects")}

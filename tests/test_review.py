@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstpick.config import CullConfig
-from burstpick.jobs.cull import cull_scored
+from burstpick.jobs.cull import cull_scored, run_cull
 from burstpick.operators import export, report, review, select
 
 SCORES = "image_id long, sharpness_score double, blink_detected boolean"
@@ -147,6 +147,36 @@ def test_write_sidecars(spark, tmp_path):
     assert (tmp_path / "A.xmp").read_text() == export.xmp_text("reject")
 
 
+def test_run_of_an_export(spark, tmp_path):
+    """Counts of one pass: two entries of one path count as written, skipped ones beside rated ones, an error of a file."""
+    rows = [
+        (1, f"{tmp_path}/A.CR2", "keeper"), (2, f"{tmp_path}/A.DNG", "reject"), (3, f"{tmp_path}/A.NEF", "unrated"), (4, f"{tmp_path}/B.NEF", "other"),
+        (5, f"{tmp_path}/none/C.NEF", "keeper"),
+    ]
+    entries = spark.createDataFrame(rows, "image_id long, file_path string, verdict string")
+    done = export.run_export(entries.drop("verdict"), entries.select("image_id", "verdict"))
+    assert (done.files_written, done.files_skipped, done.n_errors) == (2, 2, 1) and done.seconds > 0
+    assert [r["error"] for r in done.errors.collect()] == [f"{tmp_path}/none/C.xmp: No such file or directory"]
+    assert sorted(os.listdir(tmp_path)) == ["A.xmp"] and (tmp_path / "A.xmp").read_text() == export.xmp_text("reject")
+    none = export.run_export(entries.drop("verdict").limit(0), entries.select("image_id", "verdict"))
+    assert (none.files_written, none.files_skipped, none.n_errors) == (0, 0, 0)
+
+
+def test_run_of_a_cull(spark, tmp_path):
+    """Totals are observed by the pass that writes: as those of the tables, and nothing where there are no photos."""
+    rows = [(i, i // 3 * 5000, None, float(i % 4), True, i % 5 == 0, i % 2) for i in range(200)]
+    photos = spark.createDataFrame(rows, "image_id long, ts_ms long, phash long, sharpness_score double, has_face boolean, blink_detected boolean, s long")
+    done = run_cull(photos.repartition(7), CullConfig(), str(tmp_path / "run"), ["s"])
+    want = cull_scored(photos, CullConfig(), ["s"])
+    assert done.cull.totals.select(want.totals.columns).first() == want.totals.first()
+    assert {c: getattr(done, c) for c in want.totals.columns} == want.totals.first().asDict() and done.ms_per_image == done.seconds * 5
+    for name in ("scenes", "keepers", "verdicts"):
+        assert sorted(map(repr, getattr(done.cull, name).collect())) == sorted(map(repr, getattr(want, name).collect()))
+        assert spark.read.parquet(str(tmp_path / "run" / name)).count() == getattr(want, name).count()
+    none = run_cull(photos.limit(0), CullConfig(), str(tmp_path / "none"), ["s"])
+    assert (none.images, none.scenes, none.keepers, none.rejects, none.unrated) == (0, 0, 0, 0, 0) and none.cull.verdicts.count() == 0
+
+
 def test_previews_written(spark, tmp_path):
     df = spark.createDataFrame([(1, b"abc"), (2, b"")], "image_id long, preview_data binary")
     assert all(r["error"] is None for r in export.write_previews(df, str(tmp_path)).collect())
