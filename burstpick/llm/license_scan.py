@@ -8,12 +8,18 @@ number or letter before it belongs to it. Known sentences get their identifiers,
 are tried in order, longest notices first; a rule whose identifiers stand in the sequence one after another names its
 licence and takes them out, so a shorter rule cannot claim them again.
 
+A line ``SPDX-License-Identifier:`` is an expression: each name between ``OR``, ``AND``, ``WITH`` and brackets gives its own identifier
+(a gap, if it is not known), so all licences and exceptions of the line are listed. A dated heading of
+a licence's own text is a sentence like others; headings such as ``MIT License`` also stand in prose and are none. A text without any of CUES, words of which each known sentence holds one, is a gap as a whole and is not parsed.
+
 Defined cases: a null or empty text has no sentence and no licence. Repeated rows count each. An empty table gives
 an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +68,20 @@ SENTENCES = {
     39: "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     40: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     41: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    42: "licensed under the mit license",
+    43: "licensed under the mit license see license",
+    44: "released under the mit license see license",
+    45: "this project is licensed under the mit license",
+    46: "this project is licensed under the mit license see the license file for details",
+    47: "apache license version 2 0 january 2004",
+    48: "gnu general public license version 3 29 june 2007",
+    49: "gnu general public license version 2 june 1991",
+    50: "gnu lesser general public license version 3 29 june 2007",
+    51: "gnu lesser general public license version 2 1 february 1999",
+    52: "gnu affero general public license version 3 19 november 2007",
+    53: "boost software license version 1 0 august 17th 2003",
+    54: "licensed under the apache license 2 0",
+    55: "this project is licensed under the apache license 2 0",
 }
 #: Further licences that are known by their one-line tag; their identifiers are FIRST_TAG and on.
 TAGS = [
@@ -69,7 +89,11 @@ TAGS = [
     "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "Unlicense", "Zlib",
 ]
 FIRST_TAG = 101
-SENTENCES |= {i: "spdx license identifier " + tag.lower().replace("-", " ").replace(".", " ") for i, tag in enumerate(TAGS, FIRST_TAG)}
+#: Exceptions that may follow ``WITH``; their identifiers are FIRST_EXCEPTION and on.
+EXCEPTIONS = ["Autoconf-exception-3.0", "Bison-exception-2.2", "Classpath-exception-2.0", "Font-exception-2.0", "GCC-exception-3.1", "Linux-syscall-note", "LLVM-exception"]
+FIRST_EXCEPTION = 201
+SPDX = "spdx license identifier "
+SENTENCES |= {i: SPDX + tag.lower().replace("-", " ").replace(".", " ") for first, tags in ((FIRST_TAG, TAGS), (FIRST_EXCEPTION, EXCEPTIONS)) for i, tag in enumerate(tags, first)}
 #: Ordered rules: licence, identifiers one after another.
 RULES = [
     ("BSD-3-Clause", (22, 41, 18, 19, 20)),
@@ -109,6 +133,16 @@ RULES = [
     ("Apache-2.0", (8,)),
     ("GPL-3.0-only", (9,)),
     *[(tag, (i,)) for i, tag in enumerate(TAGS, FIRST_TAG)],
+    *[(tag, (i,)) for i, tag in enumerate(EXCEPTIONS, FIRST_EXCEPTION)],
+    ("Apache-2.0", (47,)),
+    ("GPL-3.0-only", (48,)),
+    ("GPL-2.0-only", (49,)),
+    ("LGPL-3.0-only", (50,)),
+    ("LGPL-2.1-only", (51,)),
+    ("AGPL-3.0-only", (52,)),
+    ("BSL-1.0", (53,)),
+    *[("MIT", (i,)) for i in range(42, 47)],
+    *[("Apache-2.0", (i,)) for i in (54, 55)],
     ("MIT", (1,)),
     ("Apache-2.0", (2,)),
     ("GPL-3.0-only", (3,)),
@@ -135,19 +169,47 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "[ ;\n]*[|][ |;\n]*", "|"), " ?[;\n][ ;\n]*", "\n")
 
 
-def wrapped(sentence: str) -> str:
-    """Pattern of a known sentence, wherever its lines end; ``v.`` ends no sentence."""
-    return r"[ \n]".join(sentence.split(" ")).replace(r"]v[ \n]", r"]v[ |\n]")
+def cues() -> list[str]:
+    """Few words of six letters or more such that each known sentence holds one of them."""
+    left, found = set(SENTENCES.values()), []
+    words = sorted({w for s in left for w in s.split(" ") if len(w) >= 6})
+    while left:
+        found.append(max(words, key=lambda w: sum(w in s for s in left)))
+        left = {s for s in left if found[-1] not in s}
+    return found
+
+
+CUES = cues()
+#: Between the names of an expression; ``or later`` is part of a name and stands as one word while names are parted.
+OPERATOR = "(?:or|and|with)"
+LATER = " or later", " orlater"
+#: Sentence -> its identifier, ``or later`` as one word in the names of expressions.
+CODES = {s.replace(*LATER) if s.startswith(SPDX) else s: code((i,)) for i, s in SENTENCES.items()}
+
+
+def known_pattern(between: str, sentence_end: str) -> str:
+    """Pattern of all known sentences, with the patterns that stand between words and, also, behind ``v.``, which ends no sentence.
+    An expression may be wrapped between known names; one with others ends with its line."""
+    wrapped = lambda s: between.join(s.split(" ")).replace(f"{between}v{between}", f"{between}v(?:{between}|{sentence_end})")
+    by_length = sorted(SENTENCES.values(), key=len, reverse=True)
+    name = f"(?:{'|'.join(wrapped(s.removeprefix(SPDX)) for s in by_length if s.startswith(SPDX))})"
+    head = between.join(SPDX.split())
+    spdx = f"{head}{between}{name}(?:{between}{OPERATOR}{between}{name})*|{SPDX.rstrip()}(?: [a-z0-9]+)+"
+    return "|".join([wrapped(s) for s in by_length if not s.startswith(SPDX)] + [spdx])
 
 
 def sequence(text: Column) -> Column:
     """Identifiers of the text's sentences, each as ``NNN;``; a run of unknown sentences as one GAP."""
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, code((i,)))])
-    any_known = "|".join(wrapped(s) for s in sorted(SENTENCES.values(), key=len, reverse=True))
-    marked = F.regexp_replace(normalised(text), f"([|\n])(?:{LIST_MARK}[ |])?({any_known})(?=[|\n])", "$1{$2{")
-    of_part = lambda s: F.when(s.rlike("[a-z0-9]"), F.coalesce(F.try_element_at(known, F.translate(s, "|\n", "  ")), F.lit(GAP))).otherwise("")
-    codes = F.transform(F.split(marked, "[{]"), of_part)
-    return F.regexp_replace(F.array_join(codes, ""), f"({GAP})+", GAP)
+    known = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    marked = F.regexp_replace(normalised(text), f"([|\n])(?:{LIST_MARK}[ |])?({known_pattern('[ \n]', '[|]')})(?=[|\n])", "$1{$2{")
+    of_one = lambda s: F.coalesce(F.try_element_at(known, s), F.lit(GAP))
+    names = lambda s: F.split(F.replace(F.substring(s, len(SPDX) + 1, 2**31 - 1), F.lit(LATER[0]), F.lit(LATER[1])), f" {OPERATOR} ")
+    of_known = lambda s: F.when(s.startswith(SPDX), F.array_join(F.transform(names(s), lambda x: of_one(F.concat(F.lit(SPDX), x))), "")).otherwise(of_one(s))
+    of_part = lambda s: F.when(s.rlike("[a-z0-9]"), of_known(F.translate(s, "|\n", "  "))).otherwise("")
+    codes = F.regexp_replace(F.array_join(F.transform(F.split(marked, "[{]"), of_part), ""), f"({GAP})+", GAP)
+    lower = F.translate(text, UPPER, LOWER)
+    cue = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(c)) for c in CUES])
+    return F.when(cue, codes).when(text.rlike("[A-Za-z0-9]"), GAP).otherwise("")
 
 
 def match_rules(seq: Column) -> Column:
@@ -165,7 +227,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     commas, each licence once."""
     seq = sequence(F.coalesce(F.col("text"), F.lit("")))
     found = docs.select("doc_id", seq.alias("sequence"))
-    names = F.filter(F.split(match_rules(F.col("sequence")), ","), lambda x: x != "")
+    rules = F.when(F.col("sequence").isin("", GAP), "").otherwise(match_rules(F.col("sequence")))
+    names = F.filter(F.split(rules, ","), lambda x: x != "")
     n_known = F.length(F.replace("sequence", F.lit(GAP), F.lit(""))) / len(GAP)
     return found.select("doc_id", n_known.cast("long").alias("n_known"), "sequence", F.array_join(F.array_distinct(names), ",").alias("licenses"))
 
@@ -173,14 +236,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB's SQL over ``documents``. Its patterns cannot look ahead, so each place where a sentence ends or may end
     stands twice, and a known sentence takes one before and one after it."""
-    known = ", ".join(f"('{s}', '{code((i,))}')" for i, s in SENTENCES.items())
+    known = ", ".join(f"('{s}', '{c}')" for s, c in CODES.items())
     steps = "".join(
         f", s{n} AS (SELECT row, doc_id, sequence, replace(seq, '{code(ids)}', '{GAP}') AS seq,"
         f" found || CASE WHEN contains(seq, '{code(ids)}') THEN '{name},' ELSE '' END AS found FROM s{n - 1})"
         for n, (name, ids) in enumerate(RULES, 1)
     )
-    between = r"(?: |\n\n)"
-    any_known = "|".join(between.join(s.split(" ")).replace(f"{between}v{between}", rf"{between}v(?: |\n\n|\|\|)") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    any_known = known_pattern(r"(?: |\n\n)", r"\|\|")
     return rf"""
 WITH known(sentence, code) AS (VALUES {known}), lower AS (
   SELECT row_number() OVER () AS row, doc_id, chr(10) || translate(coalesce(text, ''), '{UPPER}|{{', '{LOWER}  ') || chr(10) AS t FROM documents
@@ -193,10 +255,15 @@ WITH known(sentence, code) AS (VALUES {known}), lower AS (
 ), parts AS (
   SELECT row, i, translate(replace(replace(string_split(t, '{{')[i], '||', '|'), chr(10) || chr(10), chr(10)), '|' || chr(10), '  ') AS sentence
   FROM marked, unnest(range(1, len(string_split(t, '{{')) + 1)) AS u(i)
+), named AS (
+  SELECT row, i, 0 AS j, sentence FROM parts WHERE NOT starts_with(sentence, '{SPDX}') UNION ALL
+  SELECT row, i, j, '{SPDX}' || string_split_regex(replace(sentence[{len(SPDX) + 1}:], '{LATER[0]}', '{LATER[1]}'), ' {OPERATOR} ')[j]
+  FROM parts, unnest(range(1, len(string_split_regex(replace(sentence[{len(SPDX) + 1}:], '{LATER[0]}', '{LATER[1]}'), ' {OPERATOR} ')) + 1)) AS u(j)
+  WHERE starts_with(sentence, '{SPDX}')
 ), coded AS (
-  SELECT row, i, coalesce(code, '{GAP}') AS code FROM parts LEFT JOIN known USING (sentence) WHERE regexp_matches(sentence, '[a-z0-9]')
+  SELECT row, i, j, coalesce(code, '{GAP}') AS code FROM named LEFT JOIN known USING (sentence) WHERE regexp_matches(sentence, '[a-z0-9]')
 ), joined AS (
-  SELECT row, any_value(doc_id) AS doc_id, regexp_replace(coalesce(string_agg(code, '' ORDER BY i), ''), '({GAP})+', '{GAP}', 'g') AS sequence
+  SELECT row, any_value(doc_id) AS doc_id, regexp_replace(coalesce(string_agg(code, '' ORDER BY i, j), ''), '({GAP})+', '{GAP}', 'g') AS sequence
   FROM lower LEFT JOIN coded USING (row) GROUP BY row
 ), s0 AS (SELECT row, doc_id, sequence, sequence AS seq, '' AS found FROM joined){steps}, hit AS (
   SELECT doc_id, sequence, list_filter(string_split(found, ','), lambda x: x <> '') AS l FROM s{len(RULES)}

@@ -238,6 +238,34 @@ NOTICES = [
 ]
 
 
+#: Lines with expressions and headings of whole licence texts, their identifiers and licences.
+EXPRESSIONS = [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "007;008;", "MIT,Apache-2.0"),
+    ("/* SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-or-later */", "007;105;110;", "MIT,BSD-3-Clause,GPL-2.0-or-later"),
+    ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "109;203;", "GPL-2.0-only,Classpath-exception-2.0"),
+    ("// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception\nint x;", "008;207;000;", "Apache-2.0,LLVM-exception"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later OR\n LGPL-2.1-or-later", "110;114;", "GPL-2.0-or-later,LGPL-2.1-or-later"),
+    ("SPDX-License-Identifier: MIT OR LicenseRef-Own-1.0 OR ISC\nMIT License", "007;000;112;000;", "MIT,ISC"),
+    ("SPDX-License-Identifier: Own\n", "000;", ""), ("SPDX-License-Identifier: MIT OR", "000;", ""), ("SPDX-License-Identifier:", "000;", ""),
+    ("see SPDX-License-Identifier: MIT OR ISC", "000;", ""),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", "048;000;", "GPL-3.0-only"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n   http", "047;000;", "Apache-2.0"),
+    ("Eclipse Public License - v 2.0\n\nTHE", "000;", ""), ("Boost Software License - Version 1.0 - August 17th, 2003", "053;", "BSL-1.0"),
+    ("Licensed under the MIT license.", "042;", "MIT"), ("Released under the MIT License, see LICENSE", "044;", "MIT"), ("## License\n\nMIT License", "000;", ""),
+    ("the mit licence", "000;", ""), ("\u0130 \u212a", "", ""), ("no words known", "000;", ""), ("7", "000;", ""), (" .;| ", "", ""),
+]
+
+
+def test_expressions_and_headings(spark):
+    df = spark.createDataFrame([(n, t) for n, (t, _, _) in enumerate(EXPRESSIONS)], "doc_id long, text string")
+    got = [(t, r["sequence"], r["licenses"]) for (t, _, _), r in zip(EXPRESSIONS, license_scan.license_scan(df).orderBy("doc_id").collect(), strict=True)]
+    assert got == EXPRESSIONS
+
+
+def test_each_known_sentence_has_a_cue():
+    assert all(any(c in s for c in license_scan.CUES) for s in license_scan.SENTENCES.values()) and len(license_scan.CUES) < 10
+
+
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
 def test_standard_notices(spark, mark):
     ways = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: f"Copyright 2020 A. Body\n\n{t}\n\nimport os", lambda t: "\n".join(" ".join(p.split()) for p in t.split("\n\n"))]
@@ -266,6 +294,7 @@ def test_sql_is_the_same_function(spark):
     texts = [m + x.replace("\n", "\n" + m) for m in ("", "# ", " * ") for x, _, _ in NOTICES]
     texts += [f"Copyright 2020 A. Body\n\n{x}\r\n\r\nimport os" for x, _, _ in NOTICES] + ["\n".join(" ".join(p.split()) for p in x.split("\n\n")) for x, _, _ in NOTICES]
     texts += [f"Released under the MIT License\n{GPL}", "Released under\n\nthe MIT License", "Released under. The MIT License", "a {b} | c; Licensed under CC BY 4.0; d", "", None, ";;\n|", "(a) " + BSD_2]
+    texts += [m + x for m in ("", "# ") for x, _, _ in EXPRESSIONS]
     texts += ["All rights reserved. Released under the MIT License. All rights reserved"]
     rows = list(enumerate(texts))
     con = duckdb.connect()
