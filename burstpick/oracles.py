@@ -6,6 +6,7 @@ from burstpick.operators.review import KEEPER, REJECT
 from burstpick.sources.standin import ACTIONS_SQL, CAPTURES_SQL, EXIF_SQL, EXPORT_REQUESTS_SQL, HEADS, JPEGS_SQL, LANDMARKS_SQL, OVERRIDES_SQL, PATCHES_SQL, YOLO_SQL
 
 #: What a sidecar must say, by verdict.
+#: The sidecar's text before and after its rating (XMP, ISO 16684-1), spelled out as the expectation.
 _HEAD = """<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?>
 <x:xmpmeta xmlns:x="adobe:ns:meta/">
   <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">

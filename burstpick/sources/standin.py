@@ -178,9 +178,9 @@ def _hex_of(tile: Column, upwards: bool) -> Column:
 
 
 def _spread(slim: DataFrame) -> DataFrame:
-    """The rows of a small file dealt to all cores, as each is much work later on; a table of many splits as it is."""
+    """The rows of a small file dealt to all cores, as each is much work later on; a table of many files as it is."""
     cores = slim.sparkSession.sparkContext.defaultParallelism
-    return slim if slim.rdd.getNumPartitions() >= cores else slim.repartition(cores, "image_id")
+    return slim if len(slim.inputFiles()) >= cores else slim.repartition(cores, "image_id")
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
