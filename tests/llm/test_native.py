@@ -135,6 +135,7 @@ def test_license(spark, edges):
     assert license_scan.license_scan(edges.limit(0)).count() == 0
 
 
+#: Notices of public licences.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
