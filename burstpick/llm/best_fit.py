@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstpick.llm.common import arrow_rows, written
+from burstpick.llm.common import arrow_rows, give_back, written
 from burstpick.llm.word_tokens import word_ids
 
 CAPACITY = 2048
@@ -46,6 +46,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY)
     tokenizer = tokenizer or default_tokenizer()
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         ids, part, rows_of = word_ids(tokenizer), TaskContext.get().partitionId(), arrow_rows(PIECES)
         seen = [0] * (capacity + 1)
         for batch in batches:

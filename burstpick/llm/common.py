@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from burstpick.tables import discard, shared_dir, written
 
-__all__ = ["WHITE", "WORD_BYTES", "arrow_rows", "blocks", "boxed", "discard", "let", "read", "shared_dir", "written"]
+__all__ = ["WHITE", "WORD_BYTES", "arrow_rows", "blocks", "boxed", "discard", "give_back", "let", "read", "shared_dir", "written"]
 
 #: The characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -33,6 +34,14 @@ def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[at:]
 
 
+def give_back() -> None:
+    """Gives the system the memory that earlier tasks of this worker have freed: workers are used again by later stages, and what they
+    keep for themselves counts beside what those need."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` computed once a row however often ``use`` (or a lambda within it) reads it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
