@@ -45,9 +45,9 @@ from burstpick.llm.components import components
 
 #: One shingle in so many stands in the first part of the order.
 LEVELS = 4
-#: Bits a key of the filters that keep out of shuffles what surely has no partner (some passes; a join follows), and the most
-#: bits of one (log 2: 32 MB). Beyond that a filter lets more pass, and the join does the work.
-KEY_BITS, MOST_BITS = 8, 28
+#: Bits a key of the filters that keep out of shuffles what surely has no partner (some passes; a join follows), the same where
+#: whole sets pass, and the most bits of one (log 2: 32 MB). Beyond that a filter lets more pass, and the join does the work.
+KEY_BITS, SET_BITS, MOST_BITS = 8, 128, 28
 #: A list of so many nodes is scanned in blocks; a block's nodes and shingles: about these many.
 LONG_LIST, BLOCK_DOCS, BLOCK_SHINGLES = 12, 512, 1 << 18
 #: Rows of a table of ids that is broadcast (8 bytes each).
@@ -242,9 +242,10 @@ def _signatures(prefix: Column, n: Column, percent: int, small: int) -> Column:
     return F.concat(F.when(100 * n >= percent * small, singles).otherwise(none), F.when(n <= small, pairs).otherwise(none))
 
 
-def _filter(keys: DataFrame) -> tuple[Broadcast[np.ndarray], int]:
-    """A bitmap for the 64-bit hashes ``keys (key)``, by their highest bits, and log 2 of its size; built by Spark, 4 KB a row."""
-    bits = min(MOST_BITS, max(15, (KEY_BITS * keys.count()).bit_length()))
+def _filter(keys: DataFrame, a_key: int = KEY_BITS) -> tuple[Broadcast[np.ndarray], int]:
+    """A bitmap for the 64-bit hashes ``keys (key)``, by their highest bits (``a_key`` for each), and log 2 of its size; built by
+    Spark, 4 KB a row."""
+    bits = min(MOST_BITS, max(15, (a_key * keys.count()).bit_length()))
     one = F.shiftrightunsigned("key", 64 - bits) + 1  # Spark counts bits from 1 on, 32,768 to a row
     own = keys.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
     out = np.zeros((1 << bits) // 8, np.uint8)
@@ -329,7 +330,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) ->
     own = written(classes.join(wanted.distinct(), "cid").select("cid", "digest", F.col("first").alias("doc_id")), "wanted")
     known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64("doc_id").alias("key")
-    maybe, bits = _filter(own.select(key))
+    maybe, bits = _filter(own.select(key), SET_BITS)
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +343,8 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) ->
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(map(digest_of, sets), pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "digest", "shingles"])
 
     sets = known.select("doc_id", "text", key).mapInArrow(take, "doc_id long, digest binary, shingles array<long>")
-    sets = written(sets.join(own, ["doc_id", "digest"]).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
+    sets = sets.dropDuplicates(["doc_id", "digest"]).join(own, ["doc_id", "digest"])  # one class each: the sets are shuffled once for both
+    sets = written(sets.select("cid", "shingles"), "sets")
     discard(own)
     return sets
 

@@ -190,6 +190,27 @@ def test_join_edges(spark, edges):
     assert kept.columns == edges.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, 7, None, 2**60 + 1]))
 
 
+def test_sets_travel_once(spark, monkeypatch):
+    """Hardly any set but the wanted ones leaves its text's task, and none is dealt out twice before it is written."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c"), "id").alias("text"))
+    classes = docs.filter("doc_id < 3000").select(F.col("doc_id").alias("cid"), F.col("doc_id").alias("first"), "text")
+    digest = F.udf(lambda x: ngram_join.digest_of(ngram_join.shingles(x, 4)), "binary")
+    classes = ngram_join.written(classes.select("cid", "first", digest("text").alias("digest")), "classes")
+    filters, plans, make, write = [], {}, ngram_join._filter, ngram_join.written
+    monkeypatch.setattr(ngram_join, "_filter", lambda *a: filters.append(make(*a)) or filters[-1])
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ngram_join._sets(docs.unionByName(docs), classes, classes.select("cid"), 4)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["cid"]: r["shingles"] for r in got.collect()} == {i: ngram_join.shingles(f"a b c {i}", 4).view(np.int64).tolist() for i in range(3000)}
+    assert got.count() == 3000
+    assert plans["sets"].count("Exchange hashpartitioning") == 2  # the sets, and the wanted classes
+    (bitmap, bits), rng = filters[0], np.random.default_rng(1)
+    assert ngram_join._passes(bitmap.value, bits, rng.integers(-(2**63), 2**63 - 1, 100_000)).mean() < 0.02
+
+
 def test_rows_of_one_id(spark):
     """Two texts under one doc_id are one node: what either links with is joined."""
     base = [[f"{c}{i}" for i in range(40)] for c in "ab"]
