@@ -3,10 +3,11 @@
 Texts (A-Z lower-cased) are split into pieces at sentence marks and line ends, and pieces into words at blanks and tabs. A phrase is
 a run of words within a piece. Phrases are counted as in Suffix-sigma (Berberich and Bedathur, 2013):
 
-1. Words are counted first, then pairs of frequent words, by a hash. A phrase is no more frequent than its rarest word or pair, so
-   one that is too rare ends a suffix as a piece's end does. What is frequent goes to the tasks as bits of two tables of fixed size
-   (``BITS``): a rare word or pair whose bit is set by another one is kept, which costs rows but changes no count.
-2. Each position gives its suffix, cut to ``max_words`` words; equal suffixes are added up in the task.
+1. Words are counted first, then pairs of frequent words, by the hashes of both. A phrase is no more frequent than its rarest word
+   or pair, so one that is too rare ends a suffix as a piece's end does. What is frequent goes to the tasks as bits of two tables of
+   fixed size (``BITS``): a rare word or pair whose bit is set by another one is kept, which costs rows but changes no count.
+2. With that, phrases of one and two words are counted. Each position that three words or more go on from gives its suffix, cut to
+   ``max_words`` words; equal suffixes are added up in the task. Should two words share a hash, pairs are counted by suffixes too.
 3. Suffixes are shuffled by language and first word, and by the further words where one first word holds more than a
    partition's share (ranges of the sorted order, so one frequent word, pair or passage is split), and sorted
    reverse-lexicographically. One stack counts all prefixes: a phrase leaves it when the next suffix doesn't start with it. Only
@@ -111,9 +112,9 @@ def _hash(lang: str, word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8, salt=blake2b(lang.encode(), digest_size=16).digest()).digest(), "little")
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """A hash for each place and the next one."""
-    both = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash for each pair of words of these hashes."""
+    both = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
     both = (both ^ (both >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return both ^ (both >> np.uint64(32))
 
@@ -179,16 +180,18 @@ def _hashes_of(codes: _Codes, ids: np.ndarray) -> np.ndarray:
 
 def _pair_block(codes: _Codes, ids: np.ndarray, starts: int) -> pa.RecordBatch:
     ids = ids[: starts + 1]
-    h, n = np.unique(_pairs(_hashes_of(codes, ids))[(ids[:-1] > 0) & (ids[1:] > 0)], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+    both, n = np.unique((ids[:-1] << 32 | ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)], return_counts=True)
+    a, b = _hashes_of(codes, both >> 32), _hashes_of(codes, both & 0xFFFFFFFF)
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
 
-def _suffix_block(pair_flags: Broadcast, max_words: int) -> Block:
-    """The suffixes at the places that a block owns, each once with its count."""
+def _suffix_block(pair_flags: Broadcast, max_words: int, min_words: int) -> Block:
+    """The suffixes of ``min_words`` words or more at the places that a block owns, each once with its count."""
 
     def of_block(codes: _Codes, ids: np.ndarray, starts: int) -> pa.RecordBatch:
+        h = _hashes_of(codes, ids)
         after = np.zeros(len(ids), bool)  # whether a suffix goes on behind a place
-        after[:-1] = (ids[:-1] > 0) & (ids[1:] > 0) & _flagged(pair_flags.value, _pairs(_hashes_of(codes, ids)))
+        after[:-1] = (ids[:-1] > 0) & (ids[1:] > 0) & _flagged(pair_flags.value, _pairs(h[:-1], h[1:]))
         grid = np.zeros((max_words, starts), np.int64)
         grid[0], alive = ids[:starts], np.ones(starts, bool)
         for k in range(1, max_words):
@@ -197,7 +200,7 @@ def _suffix_block(pair_flags: Broadcast, max_words: int) -> Block:
             alive[len(on) :] = False
             at = np.flatnonzero(alive)
             grid[k, at] = ids[at + k]
-        grid = grid[:, grid[0] > 0]
+        grid = grid[:, grid[min_words - 1] > 0]
         pairs = [grid[k] << 32 | (grid[k + 1] if k + 1 < max_words else 0) for k in range(0, max_words, 2)]
         order = np.lexsort(pairs[::-1])
         new = np.ones(len(order), bool)
@@ -213,18 +216,35 @@ def _suffix_block(pair_flags: Broadcast, max_words: int) -> Block:
 
 
 def frequent_pairs(docs: DataFrame, words: Broadcast, least: int) -> DataFrame:
-    """``h``: hashes of the pairs of frequent words that stand ``least`` times or more."""
-    found = _in_blocks(docs, words, 1, _pair_block, "h long, n long")
-    return found.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
+    """``a, b, n``: hashes of both words of the pairs of frequent words that stand ``least`` times or more, and how often they do."""
+    found = _in_blocks(docs, words, 1, _pair_block, "a long, b long, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def suffixes(docs: DataFrame, words: Broadcast, pairs: Broadcast, max_words: int = MAX_WORDS) -> DataFrame:
-    """``lang, suffix, n``: the suffixes of all pieces, cut to ``max_words`` words, each word followed by a blank."""
-    return _in_blocks(docs, words, max_words - 1, _suffix_block(pairs, max_words), "lang string, suffix string, n long")
+def _hashed(pairs: DataFrame) -> DataFrame:
+    """``h`` of ``pairs (a, b)``."""
+
+    def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch[c].to_numpy().view(np.uint64) for c in "ab")
+            yield pa.RecordBatch.from_arrays([pa.array(_pairs(a, b).view(np.int64))], names=["h"])
+
+    return pairs.select("a", "b").mapInArrow(of_partition, "h long")
+
+
+def _ambiguous(words: DataFrame) -> bool:
+    """Whether two words share a hash."""
+    return bool(words.groupBy("h").count().filter(F.col("count") > 1).limit(1).count())
+
+
+def suffixes(docs: DataFrame, words: Broadcast, pairs: Broadcast, max_words: int = MAX_WORDS, min_words: int = 1) -> DataFrame:
+    """``lang, suffix, n``: the suffixes of all pieces that have ``min_words`` words or more, cut to ``max_words``, each word followed
+    by a blank."""
+    return _in_blocks(docs, words, max_words - 1, _suffix_block(pairs, max_words, min_words), "lang string, suffix string, n long")
 
 
-def _count_prefixes(least: int):
-    """The stack over one partition's sorted suffixes."""
+def _count_prefixes(least: int, min_words: int):
+    """The stack over one partition's sorted suffixes; prefixes of fewer than ``min_words`` words don't come out."""
 
     def of_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, words, counts = None, [], []  # the open prefixes: words[:k] has stood counts[k - 1] times beside those inside longer ones
@@ -237,7 +257,7 @@ def _count_prefixes(least: int):
                 f = counts.pop()
                 if counts:
                     counts[-1] += f
-                if f >= least or ends or len(words) <= old:
+                if len(words) >= min_words and (f >= least or ends or len(words) <= old):
                     found.append((lang, " ".join(words), f))
                 words.pop()
             old = min(old, depth)
@@ -276,15 +296,28 @@ def _count_prefixes(least: int):
 def phrase_counts(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, words: DataFrame | None = None) -> DataFrame:
     """``lang, phrase, n_words, f``: all phrases of 1 to ``max_words`` words of ``docs (lang, text)`` that stand ``least`` times or more.
     ``words`` may give their ``word_counts``."""
-    words = words if words is not None else word_counts(docs)
-    frequent = _bits(words.filter(F.col("f") >= least).select("h"))
-    pairs = _bits(frequent_pairs(docs, frequent, least))
-    table = written(suffixes(docs, frequent, pairs, max_words), "suffixes")  # its ranges are told from a sample, so it is read twice
+    words = words if words is not None else written(word_counts(docs), "words")
+    often = words.filter(F.col("f") >= least)
+    found = often.select("lang", "phrase", F.lit(1).alias("n_words"), "f")
+    if max_words < 2:
+        return found
+    frequent = _bits(often.select("h"))
+    pairs = written(frequent_pairs(docs, frequent, least), "pairs")
+    flags = _bits(_hashed(pairs))
+    counted = 1 if _ambiguous(words) else 2
+    if counted == 2:
+        side = lambda h, part: often.select("lang", F.col("h").alias(h), F.col("phrase").alias(part))
+        both = pairs.join(side("a", "left"), "a").join(side("b", "right"), ["lang", "b"])
+        found = found.unionByName(both.select("lang", F.concat_ws(" ", "left", "right").alias("phrase"), F.lit(2).alias("n_words"), F.col("n").alias("f")))
+    if max_words == counted:
+        return found
+    # a table: its ranges are told from a sample, so it is read twice
+    table = written(suffixes(docs, frequent, flags, max_words, counted + 1), "suffixes")
     order = F.col("lang").desc(), F.col("suffix").desc()
     sorted_ = table.repartitionByRange(*order).sortWithinPartitions(*order)
-    counts = sorted_.mapInArrow(_count_prefixes(least), "lang string, phrase string, f long")
+    counts = sorted_.mapInArrow(_count_prefixes(least, counted + 1), "lang string, phrase string, f long")
     counts = counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")
+    return found.unionByName(counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f"))
 
 
 def cut_score() -> Column:

@@ -209,6 +209,20 @@ def test_phrases_over_partitions_and_flushes(spark, monkeypatch):
     assert got == {p: c for p, c in want.items() if c >= 5}
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_short_phrases_need_no_suffixes(spark, monkeypatch, shared):
+    """Words and pairs are counted before suffixes are made, unless two words share a hash."""
+    rng = random.Random(3)
+    docs = [("en", f"{x} alone. two words! a few words go on {x}") for x in phrases_of(rng, 60)]
+    tables, write = {}, collocations.written
+    monkeypatch.setattr(collocations, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    monkeypatch.setattr(collocations, "_ambiguous", lambda words: shared, raising=False)
+    got = collocations.collocations(spark.createDataFrame(docs, "lang string, text string"), 5)
+    assert sorted(map(tuple, got.collect())) == mined(docs, 5)
+    sizes = {len(r["suffix"].split()) for r in tables["suffixes"].collect()}
+    assert min(sizes) == (2 if shared else 3) and max(sizes) == 5
+
+
 def test_collocations_edges(spark, edges):
     assert collocations.collocations(edges.limit(0)).count() == 0
     rows = [(r["lang"], r["text"]) for r in edges.select("lang", "text").collect()]
