@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from burstpick.functions.geometry import MIN_SIDE
 RIGHT_EYE = (33, 159, 158, 133, 153, 145)
 LEFT_EYE = (362, 380, 374, 263, 386, 385)
 MESH_POINTS = 468
+#: Bytes of results that a batch of pixel functions holds before it goes on.
+HELD = 4 << 20
 #: What a letterbox tells of itself.
 TRANSFORM = ("scale", "pad_x", "pad_y", "orig_width", "orig_height")
 
@@ -159,45 +162,65 @@ def _rows(images: pd.DataFrame) -> Iterator[dict]:
     return ({"height": int(h), "width": int(w), "nChannels": int(n), "data": d} if d is not None else {"height": 0, "width": 0, "nChannels": 0, "data": None} for h, w, n, d in zip(*parts, strict=True))
 
 
-def pixel_function(of_pixels: Callable[[np.ndarray], object], return_type: str) -> Callable[[Column | str], Column]:
-    """A column function of images from one of RGB pixels; null where an image was not decoded."""
+def _arrow_rows(images: pa.StructArray) -> Iterator[dict]:
+    """The same of a column in Arrow; the bytes are not copied."""
+    parts = dict(zip((f.name for f in images.type), images.flatten(), strict=True))
+    sides = (parts[c].to_pylist() for c in ("height", "width", "nChannels"))
+    return ({"height": h, "width": w, "nChannels": n, "data": d.as_buffer()} for h, w, n, d in zip(*sides, parts["data"], strict=True))
 
-    def of_images(images: pd.DataFrame) -> pd.Series:
-        decoded = map(pixels, _rows(images))
-        return pd.Series([None if rgb is None else of_pixels(rgb) for rgb in decoded], dtype=object)
 
-    return F.pandas_udf(of_images, return_type)
+def of_batches(of_pixels: Callable[[np.ndarray], object], kind: pa.DataType, batches: Iterable[pa.StructArray]) -> Iterator[pa.Array]:
+    """The results of batches of images, in batches of their own that end at HELD bytes: a tensor is several times its photo."""
+    for images in batches:
+        held, size = [], 0
+        for rgb in map(pixels, _arrow_rows(images)):
+            held.append(None if rgb is None else of_pixels(rgb))
+            size += getattr(held[-1], "nbytes", 0) or (len(held[-1]) if isinstance(held[-1], bytes) else 8)
+            if size >= HELD:
+                yield pa.array(held, kind)
+                held, size = [], 0
+        if held:
+            yield pa.array(held, kind)
+
+
+def pixel_function(of_pixels: Callable[[np.ndarray], object], return_type: str, kind: pa.DataType) -> Callable[[Column | str], Column]:
+    """A column function of images from one of RGB pixels, with its result's type in Arrow; null where an image was not decoded."""
+
+    def of_images(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return of_batches(of_pixels, kind, batches)
+
+    return F.arrow_udf(of_images, return_type)
 
 
 def to_gray(image: Column | str) -> Column:
     """8-bit luma, a byte a pixel, row by row."""
-    return pixel_function(lambda rgb: imaging.to_gray(rgb).tobytes(), "binary")(image)
+    return pixel_function(lambda rgb: imaging.to_gray(rgb).tobytes(), "binary", pa.binary())(image)
 
 
 def variance_of_laplacian(image: Column | str) -> Column:
-    return pixel_function(lambda rgb: imaging.variance_of_laplacian(imaging.to_gray(rgb)), "double")(image)
+    return pixel_function(lambda rgb: imaging.variance_of_laplacian(imaging.to_gray(rgb)), "double", pa.float64())(image)
 
 
 def estimate_noise(image: Column | str) -> Column:
-    return pixel_function(lambda rgb: imaging.estimate_noise(imaging.to_gray(rgb)), "double")(image)
+    return pixel_function(lambda rgb: imaging.estimate_noise(imaging.to_gray(rgb)), "double", pa.float64())(image)
 
 
 def perceptual_hash(image: Column | str) -> Column:
-    return pixel_function(lambda rgb: imaging.perceptual_hash(imaging.to_gray(rgb)), "long")(image)
+    return pixel_function(lambda rgb: imaging.perceptual_hash(imaging.to_gray(rgb)), "long", pa.int64())(image)
 
 
 def resize_exact(image: Column | str, w: int, h: int) -> Column:
     """RGB bytes at the new size."""
-    return pixel_function(lambda rgb: imaging.resize_exact(rgb, w, h).tobytes(), "binary")(image)
+    return pixel_function(lambda rgb: imaging.resize_exact(rgb, w, h).tobytes(), "binary", pa.binary())(image)
 
 
 def letterbox(image: Column | str, w: int = 640, h: int = 640) -> Column:
     """RGB bytes of the canvas; its transform is ``letterbox_transform``."""
-    return pixel_function(lambda rgb: imaging.letterbox(rgb, w, h)[0].tobytes(), "binary")(image)
+    return pixel_function(lambda rgb: imaging.letterbox(rgb, w, h)[0].tobytes(), "binary", pa.binary())(image)
 
 
 def to_tensor(image: Column | str, mean=(0.0, 0.0, 0.0), std=(1.0, 1.0, 1.0), layout: str = "NCHW") -> Column:
-    return pixel_function(lambda rgb: imaging.to_tensor(rgb, mean, std, layout).ravel(), "array<float>")(image)
+    return pixel_function(lambda rgb: imaging.to_tensor(rgb, mean, std, layout).ravel(), "array<float>", pa.list_(pa.float32()))(image)
 
 
 def _focus(rgb: np.ndarray | None, box: Mapping | None) -> tuple:

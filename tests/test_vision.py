@@ -1,6 +1,7 @@
 """Pixels, boxes, landmarks, and the analysis of decoded images."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -341,3 +342,27 @@ def test_letterbox_at_another_scale():
     canvas, t = imaging.letterbox(img, 45, 50)
     assert t == (0.5, 0.0, 10.0, 90.0, 60.0)
     assert (canvas[10:40] == imaging.resize_exact(img, 45, 30)).all() and (canvas[:10] == 114).all() and (canvas[40:] == 114).all()
+
+
+def test_results_leave_in_small_batches():
+    """A tensor is several times its photo, so the results of one batch of photos go on in several; null where none was decoded."""
+    rgb = np.random.default_rng(0).integers(0, 255, (48, 40, 3)).astype(np.uint8)
+    row = {"height": 48, "width": 40, "nChannels": 3, "data": rgb[..., ::-1].tobytes()}
+    rows = [None if i == 7 else row | {"data": b""} if i == 8 else row for i in range(900)]
+    kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("data", pa.binary())])
+    tensor = lambda x: imaging.to_tensor(x).ravel()
+    found = list(vision.of_batches(tensor, pa.list_(pa.float32()), iter([pa.array(rows, kind), pa.array([], kind), pa.array(rows[:1], kind)])))
+    assert len(found) > 3 and max(b.nbytes for b in found) < vision.HELD + 100_000
+    values = [v for b in found for v in b]
+    assert [i for i, v in enumerate(values) if not v.is_valid] == [7, 8] and len(values) == 901
+    assert all(np.array_equal(values[i].values.to_numpy(), tensor(rgb)) for i in (0, 9, 899, 900))
+
+
+def test_pixel_functions_beside_each_other(spark):
+    """Several of them in one row, of images that were decoded and of some that were not."""
+    gray = np.arange(48 * 40, dtype=np.uint8).reshape(48, 40, 1)
+    rows = [(1, ("", 48, 40, 1, 0, gray.tobytes())), (2, ("", -1, -1, -1, -1, b"")), (3, None)]
+    df = spark.createDataFrame(rows, "id int, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    got = {r["id"]: r for r in df.select("id", vision.to_gray("image").alias("g"), vision.estimate_noise("image").alias("n"), vision.to_tensor("image").alias("t")).collect()}
+    assert got[1]["g"] == gray.tobytes() and got[1]["n"] == imaging.estimate_noise(gray[..., 0]) and len(got[1]["t"]) == 3 * gray.size
+    assert all(got[i][c] is None for i in (2, 3) for c in "gnt")
