@@ -366,3 +366,11 @@ def test_pixel_functions_beside_each_other(spark):
     got = {r["id"]: r for r in df.select("id", vision.to_gray("image").alias("g"), vision.estimate_noise("image").alias("n"), vision.to_tensor("image").alias("t")).collect()}
     assert got[1]["g"] == gray.tobytes() and got[1]["n"] == imaging.estimate_noise(gray[..., 0]) and len(got[1]["t"]) == 3 * gray.size
     assert all(got[i][c] is None for i in (2, 3) for c in "gnt")
+
+
+def test_photos_are_made_once_for_all_their_tensors(spark, tables):
+    """The digest of both layouts is one pass over the photos: no join, and no photo or tensor in an exchange."""
+    from burstpick import queries
+
+    plan = queries.image_tensor_digest(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan parquet") == 1 and plan.count("ArrowEvalPython") == 2
