@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from burstpick.config import CullConfig
 from burstpick.jobs.cull import cull_scored, run_cull
 from burstpick.operators import export, report, review, select
+from burstpick.sources import files
 
 SCORES = "image_id long, sharpness_score double, blink_detected boolean"
 SCENES = "scene_id long, pos_in_scene long, image_id long"
@@ -268,3 +269,17 @@ def test_document_of_nothing_and_of_one(spark, tmp_path):
         assert json.loads(open(path).read())["total_images"] == n
         scenes, scores, totals = export.read_manifest(spark, path)
         assert (scenes.count(), scores.count(), totals.first()["total_scenes"], totals.first()["processing_time_secs"]) == (n, n, n, 0.5)
+
+
+def test_files_of_one_folder_are_dealt_out(spark, tmp_path):
+    """Sidecars are written by many tasks, however small their rows, into folders made on demand; the files of one folder are read by many."""
+    paths = F.concat(F.lit(f"{tmp_path}/"), F.col("id") % 2, F.lit("/IMG_"), F.col("id"), F.lit(".CR2"))
+    images = spark.range(200).select(F.col("id").alias("image_id"), paths.alias("file_path"))
+    verdicts = images.select("image_id", F.lit("keeper").alias("verdict"))
+    entries = export.export_entries(images, verdicts)
+    assert export.sidecars(entries).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    summary, errors = export.export_xmp(images, verdicts, fan_out=True)
+    assert summary.first()["files_written"] == 200 and errors.count() == 0
+    found = files.list_folders(spark, spark.createDataFrame([(f"{tmp_path}/0",), (f"{tmp_path}/none",)], "folder string").coalesce(1))
+    assert sum(1 for n in found.rdd.glom().map(len).collect() if n) > 8 and found.count() == 100
+    assert {r["content"].decode() for r in files.read_bytes(found).collect()} == {export.xmp_text("keeper")}
